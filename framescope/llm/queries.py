@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pii, quality, topk
+from . import html_text, language_id, pii, quality, sharding, topk
 from .common import table
 
 
@@ -42,9 +42,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality, op4_pii, op6_top_k)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality, op4_pii, op6_top_k, op7_html_text, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": OP6_SQL}
+    return {"op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents")}

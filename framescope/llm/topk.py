@@ -171,6 +171,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0)
                 a, b, s = _best(qid, q, pid, p, np.frombuffer(r["least"]), k)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    found = sent.join(buckets.select("bucket", "ids", "matrix"), "bucket").select("q_ids", "q_matrix", "least", "ids", "matrix").mapInArrow(answered, "query_id long, vec_id long, score long")
+    # buckets and query blocks both grow with the table: never broadcast
+    found = sent.join(buckets.select("bucket", "ids", "matrix").hint("merge"), "bucket").select("q_ids", "q_matrix", "least", "ids", "matrix").mapInArrow(answered, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, pii, quality, sharding, topk
+from . import html_text, language_id, mixing, pii, quality, sharding, topk
 from .common import table
 
 
@@ -50,9 +50,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality, op4_pii, op6_top_k, op7_html_text, op8_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality, op4_pii, op6_top_k, op7_html_text, op8_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents")}
+    return {"op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents"), "op10_mixing": mixing.oracle("documents")}

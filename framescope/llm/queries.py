@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, mixing, pii, quality, sharding, topk
+from . import decontamination, html_text, language_id, mixing, pii, quality, sharding, topk
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,8 +59,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality, op4_pii, op6_top_k, op7_html_text, op8_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_pii, op6_top_k, op7_html_text, op8_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents"), "op10_mixing": mixing.oracle("documents")}
+    return {"op2_decontamination": decontamination.oracle("documents"), "op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents"), "op10_mixing": mixing.oracle("documents")}

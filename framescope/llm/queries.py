@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, mixing, pii, quality, sharding, topk
+from . import decontamination, html_text, jaccard_join, language_id, mixing, pii, quality, sharding, topk
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return topk.top_k(rows, F.col("id") % 20 == 0, k=20, scale=64.0)
@@ -59,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_pii, op6_top_k, op7_html_text, op8_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_pii, op5_jaccard_join, op6_top_k, op7_html_text, op8_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

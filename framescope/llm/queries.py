@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard_join, language_id, mixing, pii, quality, sharding, topk
+from . import decontamination, html_text, jaccard_join, language_id, mixing, pii, quality, repeats, sharding, topk
 from .common import table
 
 
@@ -58,12 +58,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_pii, op5_jaccard_join, op6_top_k, op7_html_text, op8_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_pii, op5_jaccard_join, op6_top_k, op7_html_text, op8_sharding, op9_repeats, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

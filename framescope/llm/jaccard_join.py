@@ -4,9 +4,11 @@ A document's set holds its distinct WIDTH-word shingles (hashes). Documents link
 100 |A and B| >= 75 |A or B|, that is 7 |A and B| >= 3 (|A| + |B|). Documents with equal sets form
 one class, so copies cost one row each and are never paired.
 
-Shingles are hashed into GROUPS groups; a class is the point of its counts per group. The overlap of
-two classes is at most the sum of the minima of their coordinates, and over an R-tree node's box the
-minima with the box's upper corner bound all points inside.
+Shingles are hashed into groups, about a quarter as many as the set has members; a class is the point
+of its counts per group. (Numbers of groups are powers of two, so the finer of two points folds onto
+the coarser one's groups.) The overlap of two classes is at most the sum of the minima of their
+coordinates, and over an R-tree node's box the minima with the box's upper corner bound all points
+inside.
 
 1. Linked sets share one of their first n - ceil(0.75 n) + 1 shingles in any fixed order; rare
    shingles come first, judged by a histogram of hash buckets over all documents. Spark deals classes
@@ -15,8 +17,9 @@ minima with the box's upper corner bound all points inside.
    bounded by size and by the minima of the count vectors, survivors verified on the whole sets.
    Groups of near copies, however large, become connected with a number of pairs linear in them.
 3. Tree round: buckets that still hold classes of several components go through R-trees of their
-   points (large buckets tile by tile); pairs of different components within the bounds are
-   verified. No other link can be missing, since links inside a component change nothing.
+   points (large buckets tile by tile, buckets of the same classes once); pairs of different
+   components within the bounds are verified. No other link can be missing, since links inside a
+   component change nothing.
 4. Components over all verified links.
 
 Classes are named by 64-bit hashes of their sets together with their sizes. A document with fewer
@@ -38,7 +41,8 @@ from .common import cut
 from .components import components
 from .kernel import Words, lists, mix, shingles, slices
 
-WIDTH, GROUPS, TILE, LEAF = 5, 64, 1024, 32
+WIDTH, TILE, LEAF, SMALL = 5, 1024, 32, 64
+_LEVELS = (4, 16)  # least and most bits of a group's number
 _BUCKETS = 1 << 16
 _SET = np.uint64(0xA0761D6478BD642F)
 
@@ -53,6 +57,11 @@ def _name(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return count, mix(total + count.astype(np.uint64)).view(np.int64)
 
 
+def levels(n: np.ndarray) -> np.ndarray:
+    """Bits of the group numbers for sets of n members."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 4)), *_LEVELS).astype(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: size, class and count vector; on a task's last row, counts of hash buckets."""
     seen = np.zeros(_BUCKETS, np.int64)
@@ -62,8 +71,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, value = shingles(Words(data, offsets), WIDTH)
             seen += np.bincount((value >> np.uint64(48)).astype(np.int64), minlength=_BUCKETS)
             n, cls = _name(doc, value, b - a)
-            counts = np.bincount(doc * GROUPS + (value & np.uint64(GROUPS - 1)).astype(np.int64), minlength=(b - a) * GROUPS)
-            counts = lists(counts.reshape(-1, GROUPS)[n > 0].ravel().astype(np.int32), np.where(n > 0, GROUPS, 0), pa.int32())
+            groups = np.where(n > 0, 1 << levels(n), 0)
+            counts = np.bincount((np.cumsum(groups) - groups)[doc] + (value.astype(np.int64) & (groups - 1)[doc]), minlength=groups.sum())
+            counts = lists(counts.astype(np.int32), groups, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(cls, mask=n == 0), counts, pa.nulls(b - a, pa.list_(pa.int64()))], names)
     if seen.any():
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), lists(seen, np.array([_BUCKETS]), pa.int64())], names)
@@ -129,19 +139,37 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fits(n_a: Column, n_b: Column, counts_a: Column, counts_b: Column) -> Column:
     """Whether sizes and the summed coordinate minima allow a link."""
-    most = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
-    return (4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)) & (7 * most >= 3 * (n_a + n_b))
+    g = F.least(F.size(counts_a), F.size(counts_b))
+    folded = lambda x: F.when(F.size(x) > g, F.zip_with(F.slice(x, 1, g), F.slice(x, g + 1, g), lambda u, v: u + v)).otherwise(x)
+    most = F.aggregate(F.zip_with(folded(counts_a), folded(counts_b), lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
+    return F.when(4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b), 7 * most >= 3 * (n_a + n_b)).otherwise(False)
+
+
+def _bounded(n: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the minima allow each pair, some million coordinates at a time."""
+    out = np.zeros(len(i), bool)
+    size = max(1, (1 << 20) // counts.shape[1])
+    for s in range(0, len(i), size):
+        a, b = i[s : s + size], j[s : s + size]
+        out[s : s + size] = 7 * np.minimum(counts[a], counts[b]).sum(axis=1) >= 3 * (n[a] + n[b])
+    return out
 
 
 def tree_pairs(n: np.ndarray, counts: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i in left and j in right, of different components that the bounds allow.
 
-    The points of left are packed into leaves by size and heaviest coordinates; a query visits the
-    leaves whose box allows an overlap, then their points."""
-    spread = counts[left].std(axis=0).argmax() if len(left) else 0
+    The points of left are packed into leaves by size and their most spread coordinate; a query
+    visits the leaves whose box allows an overlap, then their points. Few points are one leaf."""
+    if len(left) <= SMALL:
+        i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+        kept = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+        i, j = i[kept], j[kept]
+        kept = _bounded(n, counts, i, j)
+        return i[kept], j[kept]
+    spread = counts[left].std(axis=0).argmax()
     left = left[np.lexsort((counts[left][:, spread], n[left]))]
     leaves = [left[i : i + LEAF] for i in range(0, len(left), LEAF)]
-    top = np.array([counts[x].max(axis=0) for x in leaves]).reshape(len(leaves), -1)
+    top = np.array([counts[x].max(axis=0) for x in leaves])
     low, high = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for j in right:
@@ -149,42 +177,67 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray, comp: np.ndarray, left: np.nda
         near = near[7 * np.minimum(top[near], counts[j]).sum(axis=1) >= 3 * (np.maximum(low[near], -(-3 * n[j] // 4)) + n[j])]
         if len(near):
             i = np.concatenate([leaves[x] for x in near])
-            i = i[comp[i] != comp[j]]
-            i = i[(4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (7 * np.minimum(counts[i], counts[j]).sum(axis=1) >= 3 * (n[i] + n[j]))]
+            i = i[(comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))]
+            i = i[_bounded(n, counts, i, np.full(len(i), j))]
             a.append(i)
             b.append(np.full(len(i), j))
     return np.concatenate(a), np.concatenate(b)
 
 
+def _group_pairs(n: np.ndarray, comp: np.ndarray, tile: np.ndarray, level: np.ndarray, values: np.ndarray, first: np.ndarray, crossing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one bucket (or pair of its tiles), level by level: points of a level meet
+    one another and the points of the next finer level, folded. crossing: of two tiles only."""
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for k in np.unique(level):
+        own = np.flatnonzero(level == k)
+        rows = np.concatenate([own, np.flatnonzero(level == k + 1)])
+        if len(rows) < 2 or comp[rows].min() == comp[rows].max():
+            continue
+        g = 1 << int(k)
+        counts = np.stack([values[f : f + (g << (x - k))].reshape(-1, g).sum(axis=0) for f, x in zip(first[rows], level[rows], strict=True)])
+        at, to = np.arange(len(own)), np.arange(len(rows))
+        sides = [(at[tile[own] == t], to[tile[rows] != t]) for t in np.unique(tile[own])] if crossing else [(at, to)]
+        for left, right in sides:
+            i, j = tree_pairs(n[rows], counts, comp[rows], left, right)
+            out[0].append(rows[i])
+            out[1].append(rows[j])
+    return np.concatenate(out[0]), np.concatenate(out[1])
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, lo, hi: candidate pairs of each (key, tile pair)."""
-
-    def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        n, cls, comp, tile = (np.asarray(t.column(x)) for x in ("n", "cls", "comp", "tile"))
-        counts = np.asarray(t.column("counts").combine_chunks().flatten(), np.int64).reshape(-1, GROUPS)
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        left, right = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
-        i, j = tree_pairs(n, counts, comp, left, right)
-        a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-        pair = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    """Rows sorted by bucket, lo, hi: candidate pairs. Whole groups, about 16k rows at a time."""
+
+    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        bucket, lo, hi, tile, cls, comp, n = (np.asarray(t.column(x)) for x in ("bucket", "lo", "hi", "tile", "cls", "comp", "n"))
+        counts = t.column("counts").combine_chunks()
+        values, first = np.asarray(counts.flatten()).astype(np.int32), np.asarray(counts.offsets).astype(np.int64)
+        first, level = (first - first[0])[:-1], levels(n)
+        cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1), len(bucket)]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            i, j = _group_pairs(n[s:e], comp[s:e], tile[s:e], level[s:e], values, first[s:e], lo[s] != hi[s])
+            a.append(cls[s:e][i])
+            b.append(cls[s:e][j])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
-    at = None
+    rows = 0
     for batch in batches:
-        key, lo, hi = (np.asarray(batch.column(x)) for x in ("key", "lo", "hi"))
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1), len(key)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if s == e:
-                continue
-            here = (key[s], lo[s], hi[s])
-            if here != at and held:
+        if not batch.num_rows:
+            continue
+        if rows >= 1 << 14:
+            here, last = (np.stack([np.asarray(x.column(c)) for c in ("bucket", "lo", "hi")]) for x in (batch, held[-1]))
+            turns = np.flatnonzero((here != last[:, -1:]).any(axis=0))
+            if len(turns):
+                held.append(batch.slice(0, turns[0]))
                 yield from out(held)
-                held = []
-            at = here
-            held.append(batch.slice(s, e - s))
-    if held:
+                held, rows, batch = [], 0, batch.slice(turns[0])
+        held.append(batch)
+        rows += batch.num_rows
+    if rows:
         yield from out(held)
 
 
@@ -268,15 +321,19 @@ def join(docs: DataFrame) -> DataFrame:
 def _residual(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate pairs of classes of different components that share a bucket."""
     comp = labels.select(F.col("node").alias("cls"), F.col("label"))
-    members = shared.select("key", "cls").join(comp, "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("comp"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    left = cut(members.join(mixed, "key"))
+    members = cut(shared.select("key", "cls").join(comp, "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("comp")))
+    # a passage's shingles have buckets of the same classes: one of them speaks for all
+    mixed = (
+        members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+        .where("lo <> hi").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    )
+    left = cut(members.join(mixed, "key").select(F.col("key").alias("bucket"), "size", "cls", "comp"))
     points = left.join(classes.select("cls", "n", "counts"), "cls")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     points = points.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     points = points.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    points = points.select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "cls", "comp", "n", "counts")
-    return points.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_trees, "a long, b long").distinct()
+    points = points.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "cls", "comp", "n", "counts")
+    return points.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_trees, "a long, b long").distinct()
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .kernel import _tables, grams, mix, slices
 
-LENGTH, GRAM, HOT = 50, 16, 2048
+LENGTH, GRAM, HOT = 50, 16, 16384
 
 
 class Anchors:

@@ -276,7 +276,7 @@ def similarity_map(pairs: DataFrame, feature: str, **common) -> DataFrame:
             for r in batch.to_pylist():
                 x, y = (pixels.decode(r[k], r["dtype"], r["n"], r["rows"], r["width"]) for k in ("r", "d"))
                 if unit.crop:
-                    x, y = (v[..., unit.crop : v.shape[-1] - unit.crop] for v in (x, y))
+                    x, y = (v[:, unit.crop : v.shape[1] - unit.crop, unit.crop : v.shape[2] - unit.crop] for v in (x, y))
                 if unit.luma:
                     x, y = pixels.luma(x, unit.luma, r["peak"]), pixels.luma(y, unit.luma, r["peak"])
                 for _ in range(unit.scale):

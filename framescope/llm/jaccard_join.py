@@ -4,15 +4,16 @@ A document's set holds its distinct WIDTH-word shingles (hashes). Documents link
 100 |A and B| >= 75 |A or B|, that is 7 |A and B| >= 3 (|A| + |B|). Documents with equal sets form
 one class, so copies cost one row each and are never paired.
 
-Shingles are hashed into groups, about a quarter as many as the set has members; a class is the point
+Shingles are hashed into groups, about as many as the set has members; a class is the point
 of its counts per group. (Numbers of groups are powers of two, so the finer of two points folds onto
 the coarser one's groups.) The overlap of two classes is at most the sum of the minima of their
 coordinates, and over an R-tree node's box the minima with the box's upper corner bound all points
 inside.
 
 1. Linked sets share one of their first n - ceil(0.75 n) + 1 shingles in any fixed order; rare
-   shingles come first, judged by a histogram of hash buckets over all documents. Spark deals classes
-   out by those shingles; a shingle that one class alone has ends here.
+   shingles come first, judged by 2**22 counters of hash buckets over all documents (a fixed size;
+   the order decides how much work is done, never what is found). Spark deals classes out by those
+   shingles; a shingle that one class alone has ends here.
 2. Hub round: within a shingle's bucket every class is paired with the first one only. Pairs are
    bounded by size and by the minima of the count vectors, survivors verified on the whole sets.
    Groups of near copies, however large, become connected with a number of pairs linear in them.
@@ -42,8 +43,8 @@ from .components import components
 from .kernel import Words, lists, mix, shingles, slices
 
 WIDTH, TILE, LEAF, SMALL = 5, 1024, 32, 64
-_LEVELS = (4, 16)  # least and most bits of a group's number
-_BUCKETS = 1 << 16
+_LEVELS = (5, 18)  # least and most bits of a group's number
+_COUNTERS, _CHUNK = 22, 1 << 16  # bits of a counter's number; counters sent in a row
 _SET = np.uint64(0xA0761D6478BD642F)
 
 
@@ -59,24 +60,52 @@ def _name(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def levels(n: np.ndarray) -> np.ndarray:
     """Bits of the group numbers for sets of n members."""
-    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 4)), *_LEVELS).astype(np.int64)
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1))), *_LEVELS).astype(np.int64)
+
+
+def _counter(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(64 - _COUNTERS)).astype(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: size, class and count vector; on a task's last row, counts of hash buckets."""
-    seen = np.zeros(_BUCKETS, np.int64)
-    names = ["doc_id", "n", "cls", "counts", "seen"]
+    """Per document: size, class and count vector; after a task's last, its counters in chunks."""
+    seen = np.zeros(1 << _COUNTERS, np.uint32)
+    names = ["doc_id", "n", "cls", "counts", "chunk", "seen"]
     for batch in batches:
         for a, b, data, offsets in slices(batch.column("text")):
             doc, value = shingles(Words(data, offsets), WIDTH)
-            seen += np.bincount((value >> np.uint64(48)).astype(np.int64), minlength=_BUCKETS)
+            np.add.at(seen, _counter(value), 1)
             n, cls = _name(doc, value, b - a)
             groups = np.where(n > 0, 1 << levels(n), 0)
             counts = np.bincount((np.cumsum(groups) - groups)[doc] + (value.astype(np.int64) & (groups - 1)[doc]), minlength=groups.sum())
-            counts = lists(counts.astype(np.int32), groups, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(cls, mask=n == 0), counts, pa.nulls(b - a, pa.list_(pa.int64()))], names)
-    if seen.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), lists(seen, np.array([_BUCKETS]), pa.int64())], names)
+            counts = lists(counts.astype(np.int16), groups, pa.int16())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(cls, mask=n == 0), counts, pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names)
+    for i in range(len(seen) // _CHUNK):
+        part = seen[i * _CHUNK : (i + 1) * _CHUNK]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int16())), pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a chunk of those in the partition, holding the sums so far alone."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, part in zip(batch.column("chunk").to_pylist(), batch.column("seen"), strict=True):
+            total.setdefault(i, np.zeros(_CHUNK, np.uint64))
+            total[i] += np.frombuffer(part.as_buffer(), np.uint32)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], ["chunk", "seen"])
+
+
+def _ranks(rows: DataFrame) -> np.ndarray:
+    """16-bit rank of each counter, by rising count."""
+    parts = rows.where("chunk is not null").select("chunk", "seen").mapInArrow(_summed, "chunk int, seen binary")
+    seen = np.zeros(1 << _COUNTERS, np.uint32)
+    for r in parts.repartition("chunk").mapInArrow(_summed, "chunk int, seen binary").collect():  # all counters once
+        seen[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["seen"], np.uint32)
+    rank = np.empty(1 << _COUNTERS, np.uint16)
+    rank[np.argsort(seen, kind="stable")] = np.arange(1 << _COUNTERS) >> (_COUNTERS - 16)
+    return rank
 
 
 def _prefixes(rank):
@@ -95,7 +124,7 @@ def _prefixes(rank):
                         fresh[i] = True
                 kept = fresh[doc]
                 doc, value = doc[kept], value[kept]
-                order = np.lexsort(((place[(value >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (value & np.uint64((1 << 48) - 1)), doc))
+                order = np.lexsort(((place[_counter(value)].astype(np.uint64) << np.uint64(48)) | (value & np.uint64((1 << 48) - 1)), doc))
                 doc, value = doc[order], value[order]
                 n = np.where(fresh, n, 0)
                 at = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
@@ -140,7 +169,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fits(n_a: Column, n_b: Column, counts_a: Column, counts_b: Column) -> Column:
     """Whether sizes and the summed coordinate minima allow a link."""
     g = F.least(F.size(counts_a), F.size(counts_b))
-    folded = lambda x: F.when(F.size(x) > g, F.zip_with(F.slice(x, 1, g), F.slice(x, g + 1, g), lambda u, v: u + v)).otherwise(x)
+    folded = lambda x: F.when(F.size(x) > g, F.zip_with(F.slice(x, 1, g), F.slice(x, g + 1, g), lambda u, v: (u + v).cast("short"))).otherwise(x)
     most = F.aggregate(F.zip_with(folded(counts_a), folded(counts_b), lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
     return F.when(4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b), 7 * most >= 3 * (n_a + n_b)).otherwise(False)
 
@@ -292,12 +321,8 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
-    rows = cut(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n long, cls long, counts array<int>, seen array<long>"))
-    seen = np.zeros(_BUCKETS, np.int64)
-    for r in rows.where("n = -1").select(F.posexplode("seen").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # _BUCKETS rows
-        seen[r["at"]] = r["n"]
-    rank = np.empty(_BUCKETS, np.uint64)
-    rank[np.argsort(seen, kind="stable")] = np.arange(_BUCKETS, dtype=np.uint64)
+    rows = cut(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n long, cls long, counts array<short>, chunk int, seen binary"))
+    rank = _ranks(rows)
     known = rows.where("n > 0 and doc_id is not null")
     classes = cut(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")))
     named = docs.where("doc_id is not null").select("text")

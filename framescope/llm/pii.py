@@ -232,10 +232,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with text masked: base spans and revealing terms by their kind in brackets, terms of
     REMOVE or more deleted. All other columns stay; null text stays null."""
 
+    names = docs.columns
+
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = [None if t is None else _masked(t, s or "", r or []) for t, s, r in zip(*(batch.column(x).to_pylist() for x in ("text", "__spans", "__removed")), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if x == "text" else batch.column(x) for x in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if x == "text" else batch.column(x) for x in names], names)
 
     spans = find(docs).groupBy("doc_id").agg(F.first("spans").alias("__spans"), F.first("removed").alias("__removed"))
     return docs.join(spans, "doc_id", "left").mapInArrow(masked, docs.schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framescope.functions import pixels
 from framescope.functions.pixels import LUMA, MS_SSIM_WEIGHTS, gaussian
 from framescope.operators import logs, pooling, scoring
 from framescope.operators.pairing import KEYS, pair
@@ -220,6 +221,45 @@ def _ms_ssim_sql(clip: str, source: str, side: int, weights: tuple[float, ...])
     return f"WITH {', '.join(ctes)}\nSELECT '{clip}' AS clip_id, f::BIGINT AS frame_no, round({product}, 6) AS float_ms_ssim FROM t0 {joins}"
 
 
+def _ssimulacra2_sql(clip: str, source: str, side: int) -> str:
+    """All scales as window functions, zero outside the frame, on the long relation of linear light."""
+    text, size, _ = _px(source, side, side)
+    linear = lambda v: f"CASE WHEN {v} / 255 <= 0.04045 THEN {v} / 255 / 12.92 ELSE (({v} / 255 + 0.055) / 1.055) ** 2.4 END"
+    ctes = [text, f"l0 AS (SELECT f, c, y, x, {linear('r')} AS a, {linear('d')} AS b FROM px)"]
+    taps, bias = [float(t) for t in pixels.cosine_taps()], pixels._BIAS
+
+    def blur(e: str) -> str:
+        at = lambda k: f"({e})" if k == 0 else f"coalesce({'lead' if k > 0 else 'lag'}({e}, {abs(k)}) OVER w, 0)"
+        return " + ".join(f"{t!r} * {at(k - 5)}" for k, t in enumerate(taps))
+
+    s = 0
+    while s < 6 and size >= 8:
+        if s:
+            ctes.append(f"l{s} AS (SELECT f, c, y // 2 AS y, x // 2 AS x, avg(a) AS a, avg(b) AS b FROM l{s - 1} GROUP BY ALL)")
+            size = -(-size // 2)
+        wide = ", ".join(f"max(CASE WHEN c = {c} THEN {v} END) AS {v}{c}" for v in "ab" for c in range(3))
+        cone = ", ".join(f"cbrt(greatest({' + '.join(f'{float(m)!r} * {v}{c}' for c, m in enumerate(row))} + {bias!r}, 0)) - cbrt({bias!r}) AS {v}_{n}" for v in "ab" for n, row in zip("lms", pixels._OPSIN, strict=True))
+        forms = ("({v}_l - {v}_m) * 7 + 0.42", "({v}_l + {v}_m) / 2 + 0.01", "{v}_s - ({v}_l + {v}_m) / 2 + 0.55")
+        rows = " UNION ALL ".join(f"SELECT f, {c} AS c, y, x, {form.format(v='a')} AS p, {form.format(v='b')} AS q FROM o{s}" for c, form in enumerate(forms))
+        groups = {"mp": "p", "mq": "q", "both_": "p * p + q * q", "gap": "(p - q) * (p - q)"}
+        across = ", ".join(f"{blur(e)} AS {n}" for n, e in groups.items())
+        down = ", ".join(f"{blur(n)} AS {n}" for n in groups)
+        norms = ", ".join(f"avg({m}) AS {m}0, avg({m} ** 4) ** 0.25 AS {m}1" for m in ("st", "ring", "lost"))
+        ctes += [
+            f"o{s} AS (SELECT f, y, x, {cone} FROM (SELECT f, y, x, {wide} FROM l{s} GROUP BY f, y, x))", f"x{s} AS ({rows})",
+            f"h{s} AS (SELECT f, c, y, x, p, q, {across} FROM x{s} WINDOW w AS (PARTITION BY f, c, y ORDER BY x))",
+            f"v{s} AS (SELECT f, c, y, x, p, q, {down} FROM h{s} WINDOW w AS (PARTITION BY f, c, x ORDER BY y))",
+            f"d{s} AS (SELECT f, c, (mp - mq) ** 2 AS g, both_ - mp * mp - mq * mq + 0.0009 AS den, gap, (abs(q - mq) - abs(p - mp)) / (1 + abs(p - mp)) AS e FROM v{s})",
+            f"n{s} AS (SELECT f, c, {norms} FROM (SELECT f, c, greatest((gap - g + g * (den - gap + g)) / den, 0) AS st, greatest(e, 0) AS ring, greatest(-e, 0) AS lost FROM d{s}) GROUP BY f, c)",
+        ]
+        s += 1
+    weights = iter(pixels._WEIGHTS)
+    terms = [f"{float(next(weights))!r} * abs((SELECT {m}{n} FROM n{k} WHERE n{k}.f = t.f AND n{k}.c = {c}))" for c in range(3) for k in range(s) for n in range(2) for m in ("st", "ring", "lost")]
+    ctes.append(f"t AS (SELECT DISTINCT f FROM px), z AS (SELECT f, ({' + '.join(x for x in terms if not x.startswith('0.0 '))}) * 0.9562382616834844 AS s FROM t)")
+    ctes.append("u AS (SELECT f, 2.326765642916932 * s - 0.020884521182843837 * s * s + 6.248496625763138e-05 * s * s * s AS s FROM z)")
+    return f"WITH {', '.join(ctes)}\nSELECT '{clip}' AS clip_id, f::BIGINT AS frame_no, round(CASE WHEN s > 0 THEN 100 - 10 * s ** 0.6276336467831387 ELSE 100 END, 6) AS ssimulacra2 FROM u"
+
+
 def _pool_sql(features: list[str], **options) -> str:
     text, columns = _scores_sql(features, "emb64", **options)
     rows = " UNION ALL ".join(f"SELECT clip_id, '{c}' AS prop, round({c}, 6) AS v FROM sc" for c in columns)
@@ -258,6 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "pooled_infinite": _pool_sql(["psnr", "mse", "ssim"], same=True),
         "worst_frames": f"WITH {worst}\nSELECT clip_id, frame_no, round(psnr, 6) AS psnr FROM sc ORDER BY 3, 1, 2 LIMIT 3",
         "loss": f"WITH {loss}\nSELECT clip_id, frame_no, round(1 - float_ssim, 6) AS loss_ssim, round(1 - gms, 6) AS loss_gms, round(l1, 6) AS loss_l1, round(charbonnier, 6) AS loss_charbonnier, round(huber, 6) AS loss_huber FROM sc",
+        "ssimulacra2": _ssimulacra2_sql("rgb64", "rgb", 64),
         "log_csv": _log_sql("csv"), "log_sub": _log_sql("sub"),
     }
     for name in ALL:

@@ -4,7 +4,7 @@ A document's set holds its distinct WIDTH-word shingles (hashes). Documents link
 100 |A and B| >= 75 |A or B|, that is 7 |A and B| >= 3 (|A| + |B|). Documents with equal sets form
 one class, so copies cost one row each and are never paired.
 
-Shingles are hashed into groups, about as many as the set has members; a class is the point
+Shingles are hashed into groups, over half as many as the set has members; a class is the point
 of its counts per group. (Numbers of groups are powers of two, so the finer of two points folds onto
 the coarser one's groups.) The overlap of two classes is at most the sum of the minima of their
 coordinates, and over an R-tree node's box the minima with the box's upper corner bound all points
@@ -18,7 +18,7 @@ inside.
    bounded by size and by the minima of the count vectors, survivors verified on the whole sets.
    Groups of near copies, however large, become connected with a number of pairs linear in them.
 3. Tree round: buckets that still hold classes of several components go through R-trees of their
-   points (large buckets tile by tile, buckets of the same classes once); pairs of different
+   points (buckets with the same first class together, large ones tile by tile); pairs of different
    components within the bounds are verified. No other link can be missing, since links inside a
    component change nothing.
 4. Components over all verified links.
@@ -60,7 +60,7 @@ def _name(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def levels(n: np.ndarray) -> np.ndarray:
     """Bits of the group numbers for sets of n members."""
-    return np.clip(np.ceil(np.log2(np.maximum(n, 1))), *_LEVELS).astype(np.int64)
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), *_LEVELS).astype(np.int64)
 
 
 def _counter(value: np.ndarray) -> np.ndarray:
@@ -346,14 +346,12 @@ def join(docs: DataFrame) -> DataFrame:
 def _residual(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate pairs of classes of different components that share a bucket."""
     comp = labels.select(F.col("node").alias("cls"), F.col("label"))
-    members = cut(shared.select("key", "cls").join(comp, "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("comp")))
-    # a passage's shingles have buckets of the same classes: one of them speaks for all
-    mixed = (
-        members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-        .where("lo <> hi").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-    )
-    left = cut(members.join(mixed, "key").select(F.col("key").alias("bucket"), "size", "cls", "comp"))
-    points = left.join(classes.select("cls", "n", "counts"), "cls")
+    members = cut(shared.join(comp, "cls", "left").select("key", "hub", "cls", F.coalesce("label", "cls").alias("comp")))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    # near copies share many buckets with the same first member: their union is searched once
+    left = cut(members.join(mixed, "key").select(F.col("hub").alias("bucket"), "cls", "comp").distinct())
+    size = left.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
+    points = left.join(size, "bucket").join(classes.select("cls", "n", "counts"), "cls")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     points = points.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     points = points.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))

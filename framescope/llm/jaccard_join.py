@@ -4,8 +4,9 @@ A document's set holds its distinct WIDTH-word shingles (hashes). Documents link
 100 |A and B| >= 75 |A or B|, that is 7 |A and B| >= 3 (|A| + |B|). Documents with equal sets form
 one class, so copies cost one row each and are never paired.
 
-Shingles are hashed into groups, over half as many as the set has members; a class is the point
-of its counts per group. (Numbers of groups are powers of two, so the finer of two points folds onto
+Shingles are hashed into groups, at least twice as many as the set has members up to 2**11 of them,
+and over half as many in longer sets, whose points would be large; a class is the point of its
+counts per group. (Numbers of groups are powers of two, so the finer of two points folds onto
 the coarser one's groups.) The overlap of two classes is at most the sum of the minima of their
 coordinates, and over an R-tree node's box the minima with the box's upper corner bound all points
 inside.
@@ -44,6 +45,7 @@ from .kernel import Words, lists, mix, shingles, slices
 
 WIDTH, TILE, LEAF, SMALL = 5, 1024, 32, 64
 _LEVELS = (5, 18)  # least and most bits of a group's number
+_FINE = 11  # up to so many bits, groups outnumber a set's members twice
 _COUNTERS, _CHUNK = 22, 1 << 16  # bits of a counter's number; counters sent in a row
 _SET = np.uint64(0xA0761D6478BD642F)
 
@@ -60,7 +62,8 @@ def _name(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def levels(n: np.ndarray) -> np.ndarray:
     """Bits of the group numbers for sets of n members."""
-    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), *_LEVELS).astype(np.int64)
+    whole = np.ceil(np.log2(np.maximum(n, 1)))
+    return np.clip(np.maximum(whole - 1, np.minimum(whole + 1, _FINE)), *_LEVELS).astype(np.int64)
 
 
 def _counter(value: np.ndarray) -> np.ndarray:

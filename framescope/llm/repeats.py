@@ -51,7 +51,7 @@ class Anchors:
             self.at = np.zeros(0, np.int64)
         else:
             # leftmost minimum of `wide` grams from each position, by doubling
-            low, where, span = value, np.arange(len(value)), 1
+            low, where, span = value, np.arange(len(value), dtype=np.int32 if len(value) < 1 << 31 else np.int64), 1
             while span < wide:
                 step = min(span, wide - span)
                 left = low[: len(low) - step] <= low[step:]
@@ -62,7 +62,8 @@ class Anchors:
                 if n >= LENGTH:
                     whole[a] += 1
                     whole[a + n - LENGTH + 1] -= 1
-            self.at = np.unique(where[np.cumsum(whole[:-1]) > 0])
+            where = where[np.cumsum(whole[:-1]) > 0]  # leftmost minima never move back
+            self.at = where[np.concatenate([np.ones(min(1, len(where)), bool), where[1:] != where[:-1]])].astype(np.int64)
         self.doc = np.searchsorted(offsets, self.at, "right") - 1
         self.key = value[self.at] if len(self.at) else np.zeros(0, np.uint64)
         self.left = np.minimum(self.at - offsets[self.doc], LENGTH - GRAM)

@@ -4,8 +4,10 @@ A document leaks an item if some window of as many words as the item has a weigh
 similarity of SIMILAR or more with it, over shingles of WIDTH words weighted by multiplicity
 (an item of fewer words is one shingle; a document shorter than the item is one window).
 
-1. Such a window shares a shingle with the item, so only windows laid by a shared shingle's place in
-   the item are formed; the shingle lookup is a hash join against the benchmark, without a shuffle.
+1. A window and an item of a and b shingles that are so similar share at least 3 (a + b) / 7 of them.
+   The shingle lookup, a hash join against the benchmark without a shuffle, gives the places of a
+   document's shingles that items of one size hold; every start whose window has that many of them
+   is kept, in whatever order they stand there.
 2. Each distinct window gets a 64-bit SimHash. Two fingerprints within RADIUS bits differ by at most
    RADIUS div BLOCKS bits in one of BLOCKS blocks, so the index holds, for every item and block, all
    values that near; a window looks up its blocks among items of its size and finds every
@@ -13,7 +15,8 @@ similarity of SIMILAR or more with it, over shingles of WIDTH words weighted by
 3. The exact similarity decides.
 
 Everything is DataFrame functions. The benchmark is broadcast only up to BROADCAST_ROWS index rows
-(counted first); above that the same joins shuffle. Texts never leave their scan.
+(counted first), the starts likewise; above that the same joins shuffle. The lookup shuffles places of
+shared shingles, not texts; the texts of documents with starts are read once more.
 
 Null or empty text leaks nothing; null or empty items are never leaked. Documents that repeat a
 doc_id are told apart by their text. An empty table or benchmark: nothing leaks. Extra columns of
@@ -27,6 +30,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WIDTH, SIMILAR = 5, 0.75
 BITS, BLOCKS, RADIUS = 64, 8, 23
 BROADCAST_ROWS = 2_000_000
@@ -47,11 +52,20 @@ def _shingles(words: Column, width: Column | int) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """Bit b is set if more than half of the hashes, with multiplicity, have it."""
-    def bit(b: Column) -> Column:
-        votes = F.aggregate(hashes, F.lit(0), lambda a, x: a + F.when(F.call_function("getbit", x, b) == 1, 1).otherwise(-1))
-        return F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    def code(lane: int) -> Column:
+        """Bits b, b + lane, ... are counted together, in lanes of that many bits of one number."""
+        ones, out = sum(1 << i for i in range(0, BITS, lane)), F.lit(0).cast("long")
+        for b in range(lane):
+            sums = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, b).bitwiseAND(F.lit(ones)))
+            more = F.transform(F.array(*[F.lit(i) for i in range(0, BITS, lane)]), lambda i: F.struct(i.alias("i"), F.lit(b).alias("b")))
+            # one pass over the lanes of sums
+            pack = F.aggregate(F.transform(F.array(sums), lambda v: F.aggregate(more, F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(
+                F.when(F.call_function("shiftright", v, m["i"]).bitwiseAND(F.lit((1 << lane) - 1)) * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), m["i"] + m["b"])).otherwise(F.lit(0).cast("long"))))),
+                F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+            out = out.bitwiseOR(pack)
+        return out
+
+    return F.when(F.size(hashes) < 1 << 16, code(16)).otherwise(code(32))
 
 
 def _block(code: Column, j: int) -> Column:
@@ -70,12 +84,32 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _starts(places: Column, m: Column, n: Column) -> Column:
+    """Starts of the windows of n words, in a document of m, with enough of the ascending places to
+    reach SIMILAR. With `need` places wanted, the window that begins at s has places i to i + need - 1
+    if s is from place[i + need - 1] - (its last shingle's offset) to place[i]; past place[i - 1], so
+    that each start comes once."""
+    width = F.least(n, F.lit(WIDTH))
+    inside = F.greatest(F.lit(1), F.least(n, m) - width + 1)
+    need = F.ceil((n - width + 1 + inside) * F.lit(3) / F.lit(7)).cast("int")
+    last = F.greatest(F.lit(0), m - n)
+
+    def begun(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get(places, i + need - 1) - inside + 1, F.when(i > 0, F.get(places, i - 1) + 1).otherwise(F.lit(0)))
+        high = F.least(F.get(places, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    none = F.array().cast("array<int>")
+    return F.when(F.size(places) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - need), begun))).otherwise(none)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, start (word), similarity of every leaking window."""
     items = (
         benchmark.select("item_id", _words(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
-        .withColumn("item", _shingles(F.col("words"), WIDTH)).withColumn("code", simhash(F.col("item")))
+        .withColumn("item", _shingles(F.col("words"), WIDTH))
     )
+    items = cut(cut(items).withColumn("code", simhash(F.col("item"))))  # shingles are not computed anew for each bit
     lookup = items.select(F.least("n", F.lit(WIDTH)).alias("width"), "n", F.posexplode("item").alias("place", "shingle")).distinct()
     widths = sorted(r["width"] for r in lookup.select("width").distinct().collect())  # 1 to WIDTH
     text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
@@ -83,13 +117,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for width in widths or [WIDTH]:
         found = (
             text.where(F.size("words") >= width).select("*", F.posexplode(_shingles(F.col("words"), width)).alias("at", "shingle"))
-            .join(lookup.where(F.col("width") == width), "shingle")
-            .withColumn("start", F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.size("words") - F.col("n"))))
-            .select("doc_id", "text_hash", "n", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words"))
+            .join(lookup.where(F.col("width") == width), "shingle").select("doc_id", "text_hash", F.size("words").alias("m"), "n", "at")
         )
         hits = found if hits is None else hits.unionByName(found)
-    windows = hits.groupBy("doc_id", "text_hash", "n", "start").agg(F.first("words").alias("words"))
-    windows = windows.withColumn("window", _shingles(F.col("words"), WIDTH)).withColumn("code", simhash(F.col("window"))).drop("words")
+    places = hits.groupBy("doc_id", "text_hash", "m", "n").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    starts = _sized(cut(places.select("doc_id", "text_hash", "n", _starts(F.col("places"), F.col("m"), F.col("n")).alias("starts")).where(F.size("starts") > 0))).alias("b")
+    a = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").alias("a")
+    laid = a.join(starts, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")))
+    width = F.least("n", F.lit(WIDTH))
+    laid = laid.select("a.doc_id", "a.text_hash", "n", "starts", _words(F.col("text")).alias("words")).select("*", F.explode("starts").alias("start"))
+    # the text's words once for each start; grouped, so that the shingles are computed before their bits
+    laid = laid.select("doc_id", "text_hash", "n", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words"))
+    windows = laid.groupBy("doc_id", "text_hash", "n", "start").agg(F.first("words").alias("words"))
+    windows = cut(windows.withColumn("window", _shingles(F.col("words"), width)).drop("words"))
+    windows = cut(windows.withColumn("code", simhash(F.col("window"))))
     near = RADIUS // BLOCKS
     masks = [sum(1 << b for b in bits) for k in range(near + 1) for bits in combinations(range(_SIZE), k)]
     index = items.select(

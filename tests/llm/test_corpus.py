@@ -231,6 +231,29 @@ def test_decontamination(spark):
     assert decontamination.by_document(df.limit(0), bench).count() == 0 and decontamination.clean(df, bench.limit(0)).count() == df.count()
 
 
+def test_decontamination_of_reordered_items(spark):
+    a, b = prose(900, 20, 10**6), prose(901, 20, 10**6)
+    items = [f"{a} {b}", prose(902, 30, 6), prose(903, 23, 10**6), "x y x"]
+    texts = [f"{prose(904, 30, 9000)} {b} {a} {prose(905, 31, 9000)}", f"{b} {a}", prose(906, 400, 6), f"{items[1][9:]} {items[1]}", " ".join(items[2].split()[:20]), f"{prose(907, 9, 9000)} {items[2]} {items[2]}", "x y x y x", f"{a} {prose(908, 20, 9000)} {b}"]
+
+    def shingles(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            w, x = t.split(), x.split()
+            for start in range(max(0, len(w) - len(x)) + 1):
+                p, q = shingles(w[start : start + len(x)]), shingles(x)
+                like = (p & q).total() / (p | q).total()
+                if like >= decontamination.SIMILAR:
+                    want[d, i, start] = like
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start): r.similarity for r in decontamination.leaks(docs(spark, texts), bench).collect()}
+    assert {(0, 0), (1, 0), (4, 2), (5, 2), (6, 3)} <= {k[:2] for k in want} and got == pytest.approx(want)
+    assert {r.doc_id for r in decontamination.clean(docs(spark, texts), bench).collect()} == set(range(len(texts))) - {k[0] for k in want}
+
+
 def test_hamming_index_guarantees_the_radius():
     rng = np.random.default_rng(5)
     near = decontamination.RADIUS // decontamination.BLOCKS

@@ -251,9 +251,47 @@ def test_decontamination_of_reordered_items(spark):
     bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.start): r.similarity for r in decontamination.leaks(docs(spark, texts), bench).collect()}
     assert {(0, 0), (1, 0), (4, 2), (5, 2), (6, 3)} <= {k[:2] for k in want} and got == pytest.approx(want)
+    whole = {(r.doc_id, r.item_id, r.start): r.similarity for r in decontamination.leaks(docs(spark, texts), bench, exact=True).collect()}
+    assert whole == pytest.approx(want)
     assert {r.doc_id for r in decontamination.clean(docs(spark, texts), bench).collect()} == set(range(len(texts))) - {k[0] for k in want}
 
 
+def test_decontamination_of_edited_items_against_all_windows(spark):
+    """Recall over every window of edited items: parts changed, moved, repeated or cut."""
+    rng = np.random.default_rng(12)
+    items = [prose(920 + i, int(rng.integers(6, 40)), 10**6) for i in range(12)]
+    texts = []
+    for i in range(90):
+        w = items[i % len(items)].split()
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(0, len(w)))] = "changed"
+        turn = int(rng.integers(0, len(w))) if i % 3 == 0 else 0
+        texts.append(" ".join([*prose(950 + i, int(rng.integers(0, 9)), 9000).split(), *w[turn:], *w[:turn], *w[: i % 7]]))
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            w, x = t.split(), x.split()
+            q = Counter(tuple(x[j : j + 5]) for j in range(max(1, len(x) - 4)))
+            for start in range(max(0, len(w) - len(x)) + 1):
+                v = w[start : start + len(x)]
+                p = Counter(tuple(v[j : j + 5]) for j in range(max(1, len(v) - 4)))
+                if (p & q).total() / (p | q).total() >= decontamination.SIMILAR:
+                    want[d, i, start] = (p & q).total() / (p | q).total()
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    for exact in (False, True):
+        got = {(r.doc_id, r.item_id, r.start): r.similarity for r in decontamination.leaks(docs(spark, texts), bench, exact).collect()}
+        assert got == pytest.approx(want) and len(want) > 40
+
+
+def test_decontamination_without_broadcasts_and_with_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    item = prose(940, 25, 10**6)
+    df = docs(spark, ["clean words here", f"lead {item} tail"]).withColumn("text_hash", F.lit("x")).withColumn("id", F.lit(1)).withColumn("__text_hash", F.lit(2))
+    bench = spark.createDataFrame([(0, item), (None, item)], "item_id long, text string")
+    kept = decontamination.clean(df, bench)
+    assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_hamming_index_guarantees_the_radius():
     rng = np.random.default_rng(5)
     near = decontamination.RADIUS // decontamination.BLOCKS

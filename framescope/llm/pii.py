@@ -4,17 +4,24 @@ Base spans (e-mail, IPv4, card, phone) come from fixed patterns. A found value i
 entity c. Corpus co-occurrence then tells how strongly a term t in a document reveals c although c
 itself is masked: with document frequencies over all N documents,
 
-    IC(c) = log2(N / df(c))        PMI(c, t) = log2(N df(c,t) / (df(c) df(t)))
-
-and t discloses the share PMI / IC of c. In documents that hold c, terms with a share of at least
-GENERALISE are spans of kind `term`: those of REMOVE or more are deleted, the others generalised.
-A pair needs SUPPORT documents with different texts, or one copied document would pass for evidence.
-
-Plan: one pass finds base spans and, only where a document has an entity, its distinct terms; pairs
-are counted for entities with enough documents; df(t) is counted over every document, summed inside
-each task before the shuffle. Only rows of documents with entities ever carry text across it.
-
-Null text is empty: no spans. Repeated rows give repeated rows. Extra columns are ignored.
+    IC(c) = log2(N / df(c))        PMI(c, t) = log2(P(c | t) N / df(c))
+
+and t discloses the share PMI / IC = 1 + log2 P(c | t) / IC(c) of c. P(c | t) is df(c,t) / df(t),
+times 1 - 1 / (2 d) where d is the number of different texts that hold both: copies of one text are
+one piece of evidence, and one piece is believed by half. In documents that hold c, terms with a
+share of at least GENERALISE are spans of kind `term`: those of REMOVE or more are deleted, the others
+replaced by their general class (NUMBER, NAME, WORD). Every entity is weighed, those in a single text
+too: there a term discloses c if it hardly occurs elsewhere, df(t) < (N / df(c)) ** (1 - GENERALISE) / 2.
+
+Plan: one pass finds base spans and, only where a document has an entity, its distinct terms; df(t)
+is counted over every document, summed inside each task before the shuffle. Terms too frequent to
+disclose their entity go in the join with df(t), before pairs are counted. Rows are told apart by a
+number given in the first pass, never by doc_id; only rows with entities carry text across a shuffle.
+
+Null text is empty: no spans, and stays null when sanitised. Empty and blank texts have none. Rows
+that repeat a doc_id, or have none, are separate rows. Extra columns are ignored by `find` and kept
+by `sanitise`, whatever their names. Ties: a share equal to a threshold counts. Very long texts are
+handled whole by one task. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +33,16 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import cut
 from .kernel import Words, distinct, lists, mix, slices
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.98
+GENERALISE, REMOVE = 0.9, 0.98
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -93,6 +102,7 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = TaskContext.get().partitionId() << 33
     for batch in batches:
         text = batch.column("text")
         likely = np.asarray(pc.fill_null(pc.match_substring_regex(text, "[@0-9]"), False))
@@ -105,17 +115,20 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans[i] = _join(found)
             entities[i] = sorted({_entity(k, value[s:e]) for k, s, e in found})
         holds = np.array([bool(x) for x in entities], bool)
+        held = pc.if_else(pa.array(holds), text, pa.scalar(None, text.type))
+        whole = [batch.column("row")] if "row" in batch.schema.names else []
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(x) for x in counts), pa.array(spans), pa.array(entities, pa.list_(pa.int64())), pc.if_else(pa.array(holds), text, pa.scalar(None, text.type))],
-            ["doc_id", *(f"n_{k}" for k in KINDS), "base", "entities", "text"],
+            [pa.array(np.arange(row, row + len(text))), batch.column("doc_id"), *(pa.array(x) for x in counts), pa.array(spans), pa.array(entities, pa.list_(pa.int64())), held, *whole],
+            ["number", "doc_id", *(f"n_{k}" for k in KINDS), "base", "entities", "text", *(["row"] if whole else [])],
         )
+        row += len(text)
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, strip=True)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document with entities: its distinct terms, and a hash of its text."""
     for batch in batches:
         for a, b, data, offsets in slices(batch.column("text")):
@@ -124,7 +137,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = Words(data, offsets)
             same = np.zeros(b - a, np.uint64)
             np.add.at(same, whole.doc, mix(whole.hash + np.arange(len(whole.hash)).astype(np.uint64) - whole.first[whole.doc].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column("entities").slice(a, b - a), pa.array(same.view(np.int64)), lists(term.view(np.int64), np.bincount(doc, minlength=b - a), pa.int64())], ["entities", "same", "terms"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("number").slice(a, b - a), batch.column("entities").slice(a, b - a), pa.array(same.view(np.int64)), lists(term.view(np.int64), np.bincount(doc, minlength=b - a), pa.int64())],
+                ["number", "entities", "same", "terms"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +161,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in slices(batch.column("text")):
             words = _terms(data, offsets)
+            if not len(words.hash):
+                continue
             term = distinct(words.doc, words.hash)[1]
             term, n = np.unique(term, return_counts=True)
             held.append(term)
@@ -161,23 +178,24 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, terms and their shares of PMI / IC, for terms at or over GENERALISE."""
-    holders = found.where(F.col("text").isNotNull())
-    seen = cut(holders.select("entities", "text").mapInArrow(_pairs, "entities array<long>, same long, terms array<long>").select(F.explode("entities").alias("entity"), "same", "terms"))
-    entities = seen.groupBy("entity", "same").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("df_entity"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    pairs = (
-        seen.join(entities.select("entity"), "entity").select("entity", "same", F.explode("terms").alias("term"))
-        .groupBy("entity", "term", "same").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("df_pair"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    )
-    df = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
+    """number, telling: per row that holds one, its disclosing terms and their shares of PMI / IC (the
+    largest, where a term discloses several entities)."""
+    seen = cut(found.where(F.col("text").isNotNull()).select("number", "entities", "text").mapInArrow(_held, "number long, entities array<long>, same long, terms array<long>"))
+    each = seen.select("number", "same", "terms", F.explode_outer("entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.count("*").alias("df_entity"))
     total = F.lit(float(docs.count()))
-    share = F.log2(total * F.col("df_pair") / (F.col("df_entity") * F.col("df_term"))) / F.log2(total / F.col("df_entity"))
-    return (
-        pairs.join(entities.select("entity", "df_entity"), "entity").where(F.col("df_entity") < total).join(df, "term")
-        .select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
-        .groupBy("entity").agg(F.collect_list(F.struct("term", "share")).alias("telling"))
-    )
+    information = F.log2(total / F.col("df_entity"))
+    # the most documents a term may be in if all documents of the entity hold it
+    entities = entities.where(F.col("df_entity") < total).withColumn("most", F.col("df_entity") * F.pow(F.lit(2.0), information * (1 - GENERALISE)))
+    df = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
+    single = each.join(entities, "entity").select("number", "same", "entity", "df_entity", "most", F.explode_outer("terms").alias("term"))
+    rare = cut(single.join(df, "term").where(F.col("df_term") <= F.col("most")).select("number", "same", "entity", "term", "df_entity", "df_term"))
+    texts = rare.groupBy("entity", "term", "same").agg(F.count("*").alias("n"), F.first("df_entity").alias("df_entity"), F.first("df_term").alias("df_term"))
+    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("df_pair"), F.count("*").alias("texts"), F.first("df_entity").alias("df_entity"), F.first("df_term").alias("df_term"))
+    likely = F.col("df_pair") / F.col("df_term") * (1 - 1 / (2 * F.col("texts")))
+    pairs = pairs.select("entity", "term", (1 + F.log2(likely) / information).alias("share")).where(F.col("share") >= GENERALISE)
+    telling = rare.select("number", "entity", "term").join(pairs, ["entity", "term"]).groupBy("number", "term").agg(F.max("share").alias("share"))
+    return telling.groupBy("number").agg(F.collect_list(F.struct("term", "share")).alias("telling"))
 
 
 def _all_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,40 +227,57 @@ def _all_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(out, pa.string()), pa.array(removed, pa.list_(pa.int64()))], [*keep, "spans", "removed"])
 
 
+_COUNTS = ", ".join(f"n_{k} long" for k in KINDS)
+
+
+def _found(docs: DataFrame, keep: bool) -> tuple[DataFrame, DataFrame]:
+    """The first pass over docs, with docs' own columns in `row` if kept, and each row's disclosing terms."""
+    schema = StructType.fromDDL(f"number long, doc_id long, {_COUNTS}, base string, entities array<long>, text string")
+    rows = docs.select("doc_id", "text", *([F.struct("*").alias("row")] if keep else []))
+    found = cut(rows.mapInArrow(_find, StructType([*schema.fields, *([StructField("row", docs.schema)] if keep else [])])))
+    return found, disclosing(docs, found)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """For every row: doc_id, n_email, n_ip, n_card, n_phone, base (spans of the patterns), spans
     (all, by start), removed (starts of the term spans to delete instead of generalise)."""
-    columns = ", ".join(f"n_{k} long" for k in KINDS)
-    found = cut(docs.select("doc_id", "text").mapInArrow(_find, f"doc_id long, {columns}, base string, entities array<long>, text string"))
-    each = found.where(F.col("text").isNotNull()).select("doc_id", F.explode("entities").alias("entity")).distinct()
-    terms = each.join(disclosing(docs, found), "entity").groupBy("doc_id").agg(F.flatten(F.collect_list("telling")).alias("telling"))
-    return found.join(terms, "doc_id", "left").select(*found.columns, "telling").mapInArrow(_all_spans, f"doc_id long, {columns}, base string, spans string, removed array<long>")
+    found, telling = _found(docs, False)
+    return found.join(telling, "number", "left").select(*(c for c in found.columns if c != "number"), "telling").mapInArrow(_all_spans, f"doc_id long, {_COUNTS}, base string, spans string, removed array<long>")
 
 
-def _masked(text: str, spans: str, removed: list[int]) -> str:
+def _general(word: str) -> str:
+    """The class that stands for a generalised term."""
+    return "[NUMBER]" if any(x.isdigit() for x in word) else "[NAME]" if word[:1].isupper() else "[WORD]"
+
+
+def masked(text: str, spans: str, removed: list[int]) -> str:
+    """text with base spans by their kind in brackets, terms by their class or deleted; of spans that
+    overlap, the first one counts and the rest of a later one goes with it."""
     out, at = [], 0
     for kind, start, end in (x.split(":") for x in spans.split(",") if x):
-        if int(start) >= at:
-            out += [text[at : int(start)], "" if kind == "term" and int(start) in removed else f"[{kind.upper()}]"]
-            at = int(end)
+        start, end = int(start), int(end)
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]" if kind != "term" else "" if start in removed else _general(text[start:end])]
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with text masked: base spans and revealing terms by their kind in brackets, terms of
-    REMOVE or more deleted. All other columns stay; null text stays null."""
-
+    """docs with text masked: base spans by their kind in brackets, revealing terms by their class, terms
+    of REMOVE or more deleted. All other columns stay; null text stays null."""
     names = docs.columns
 
-    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [None if t is None else _masked(t, s or "", r or []) for t, s, r in zip(*(batch.column(x).to_pylist() for x in ("text", "__spans", "__removed")), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if x == "text" else batch.column(x) for x in names], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _all_spans(batches):
+            row = batch.column("row")
+            text, spans, removed = row.field("text").to_pylist(), batch.column("spans").to_pylist(), batch.column("removed").to_pylist()
+            new = pa.array([None if x is None else masked(x, s, r) for x, s, r in zip(text, spans, removed, strict=True)], row.field("text").type)
+            yield pa.RecordBatch.from_arrays([new if x == "text" else row.field(x) for x in names], names)
 
-    spans = find(docs).groupBy("doc_id").agg(F.first("spans").alias("__spans"), F.first("removed").alias("__removed"))
-    return docs.join(spans, "doc_id", "left").mapInArrow(masked, docs.schema)
+    found, telling = _found(docs, True)
+    return found.join(telling, "number", "left").select("row", "base", "text", "telling").mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The counts and spans of find, with the hash of the base spans."""
+    """The counts and spans of find, with the hash of the base spans and the number of deleted terms."""
     return find(docs).select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", F.size("removed").alias("n_removed"))

@@ -1,58 +1,69 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows, in an order by hash, form blocks of BLOCK rows. With weight w its block j (from
-0) is released at slot floor(j / w) and due by slot ceil((j + 1) / w); each slot goes to the released
-block with the earliest deadline (ties: source name). So after any t slots a source has had t w
-blocks to within less than one block, as long as no source has run out.
-
-Weights are whole shares of a period of PERIOD slots, so the schedule repeats and one period, of a
-fixed number of slots, says where every block goes: block b of a source with k slots a period has
-slot (b div k) PERIOD + place[b mod k]. Ranks inside a source come from counts of hash ranges plus
-the rank inside one range; no task sees a whole source, however much of the table it holds.
+Each source's rows, in an order by hash, form blocks of BLOCK rows. With whole weights that sum to W
+a source of weight w has its block j (from 0) released at slot floor(j W / w) and due by slot
+ceil((j + 1) W / w); each slot goes to the released block with the earliest deadline (ties: source
+name). So after any t slots a source has had t w / W blocks to within less than one block, as long
+as no source has run out. Weights are taken exactly as given (divided by their common divisor only).
+
+The schedule repeats after W slots, so one period says where every block goes: block b of a source
+has slot (b div w) W + place[b mod w]. The driver lays out at most one period, and of that no more
+than what comes before the first source runs out: one number a slot, never one a row. Ranks inside a
+source come from counts of hash ranges plus the rank inside one range; no task sees a whole source,
+however much of the table it holds.
 
 All rows are kept: `mixed` is true up to the first slot whose source has no block left; later rows
 keep their slots, behind the mix. Null source is a source of its own. Repeated rows are separate
 rows. A source without a given weight gets none of the mix: it follows after all others (mixed
-false). An empty table gives an empty result.
+false; release and deadline null). Null doc_id ranks as an empty string. Texts of any length, null or
+empty ones are carried, not read but for a hash that breaks ties. An empty table gives an empty
+result. Extra columns stay in `in_order`, whatever their names, and are dropped by `mix`.
 """
 
 from __future__ import annotations
 
-from math import isqrt
+from functools import reduce
+from heapq import heappop, heappush
+from math import gcd, isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-BLOCK, PERIOD = 64, 1024
+BLOCK = 64
+BROADCAST_SLOTS = 1 << 22  # slots of a period that are broadcast as one number each
 _NULL = "\x00"
-_BITS, _RANGE = 48, 10
-
-
-def shares(weights: dict[str, int], period: int = PERIOD) -> dict[str, int]:
-    """Slots a period of each source: one each, the rest in proportion, left-overs to the largest
-    remainders (ties: name)."""
-    names = sorted(x for x, w in weights.items() if w > 0)
-    if len(names) > period:
-        raise ValueError(f"{len(names)} sources need a period of as many slots; it has {period}")
-    total, free = sum(weights[x] for x in names), period - len(names)
-    out = {x: 1 + free * weights[x] // total for x in names}
-    spare = period - sum(out.values()) if names else 0
-    for x in sorted(names, key=lambda x: (-(free * weights[x] % total), x))[:spare]:
-        out[x] += 1
-    return out
-
-
-def schedule(slots: dict[str, int], period: int = PERIOD) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period."""
-    done = dict.fromkeys(slots, 0)
-    out: dict[str, list[int]] = {x: [] for x in slots}
-    for t in range(period if slots else 0):
-        ready = [(-(-(done[x] + 1) * period // k), x) for x, k in slots.items() if done[x] < k and done[x] * period // k <= t]
-        _, x = min(ready)
-        out[x].append(t)
-        done[x] += 1
-    return out
+_BITS, _GROUP = 48, 1 << 16  # rows of a source that one task ranks, about
+
+
+def reduced(weights: dict[str, int]) -> dict[str, int]:
+    """The positive weights over their common divisor."""
+    kept = {x: int(w) for x, w in weights.items() if w > 0}
+    divisor = reduce(gcd, kept.values(), 0)
+    return {x: w // divisor for x, w in kept.items()}
+
+
+def schedule(weights: dict[str, int], most: int | None = None) -> dict[str, list[int]]:
+    """The slots of each source's blocks in one period, or in its first `most` slots."""
+    total = sum(weights.values())
+    slots: dict[str, list[int]] = {x: [] for x in weights}
+    later: list[tuple[int, int, str]] = []  # (release, deadline, source)
+    ready: list[tuple[int, str]] = []
+
+    def release(x: str) -> None:
+        j, w = len(slots[x]), weights[x]
+        heappush(later, (j * total // w, -(-(j + 1) * total // w), x))
+
+    for x in weights:
+        release(x)
+    for t in range(total if most is None else min(total, most)):
+        while later and later[0][0] <= t:
+            _, due, x = heappop(later)
+            heappush(ready, (due, x))
+        _, x = heappop(ready)
+        slots[x].append(t)
+        release(x)
+    return slots
 
 
 def tempered(counts: dict[str, int]) -> dict[str, int]:
@@ -64,47 +75,56 @@ def _source() -> Column:
     return F.coalesce(F.col("source"), F.lit(_NULL))
 
 
-def placed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """docs with __block, __place (in the block), __slot, __release, __deadline, __mixed."""
+def placed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """row (a struct of docs' columns), source_key, block, place (in the block), slot, release,
+    deadline, mixed."""
     spark = docs.sparkSession
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, _BITS // 4), 16, 10).cast("long")
-    rows = docs.withColumn("__source", _source()).withColumn("__key", key).withColumn("__range", F.shiftrightunsigned("__key", _BITS - _RANGE))
-    counts = rows.groupBy("__source", "__range").agg(F.count("*").alias("__n"))
-    ahead = counts.select("__source", "__range", (F.sum("__n").over(Window.partitionBy("__source").orderBy("__range")) - F.col("__n")).alias("__ahead"))
-    sizes = {r["__source"]: r["n"] for r in rows.groupBy("__source").agg(F.count("*").alias("n")).collect()}  # one row a source
-    slots = shares(tempered(sizes) if weights is None else {x: weights.get(x, 0) for x in sizes}, period)
-    where = schedule(slots, period)
+    sizes = {r["s"]: r["n"] for r in docs.groupBy(_source().alias("s")).agg(F.count("*").alias("n")).collect()}  # one row a source
+    whole = reduced(tempered(sizes) if weights is None else {x: weights.get(x, 0) for x in sizes})
+    period = sum(whole.values())
     blocks = {x: -(-n // block) for x, n in sizes.items()}
-    horizon = min((blocks[x] // k * period + where[x][blocks[x] % k] for x, k in slots.items()), default=0)
-    last = max((-(-blocks[x] // k) for x, k in slots.items()), default=0) * period
-    ordered = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", F.xxhash64("text"))
-    ranked = rows.withColumn("__rank", F.row_number().over(ordered)).join(ahead, ["__source", "__range"]).withColumn("__rank", F.col("__ahead") + F.col("__rank") - 1)
-    if slots:
-        per = F.element_at(F.create_map(*[F.lit(v) for x, k in slots.items() for v in (x, k)]), F.col("__source")).cast("long")
-        table = F.element_at(F.create_map(*[v for x, s in where.items() for v in (F.lit(x), F.array(*map(F.lit, s)))]), F.col("__source"))
-    else:
-        per, table = F.lit(None).cast("long"), F.array().cast("array<int>")
-    b = F.col("__block")
-    slot = F.expr("__block div __per") * period + F.element_at(table, (F.pmod(b, F.col("__per")) + 1).cast("int"))
-    return (
-        ranked.withColumn("__block", F.expr(f"__rank div {block}")).withColumn("__place", (F.col("__rank") % block).cast("int")).withColumn("__per", per)
-        .withColumn("__slot", F.coalesce(slot, F.lit(last) + b).cast("long"))
-        .withColumn("__release", F.expr(f"__block * {period} div __per")).withColumn("__deadline", F.expr(f"((__block + 1) * {period} + __per - 1) div __per"))
-        .withColumn("__mixed", F.col("__per").isNotNull() & (F.col("__slot") < horizon))
+    # the first block that a source lacks is due by this slot, so the mix ends before it
+    ends = min((-(-(blocks[x] + 1) * period // w) for x, w in whole.items()), default=0)
+    where = schedule(whole, ends)
+    full = ends >= period
+    horizon = min((blocks[x] // w * period + where[x][blocks[x] % w] for x, w in whole.items() if full or blocks[x] < len(where[x])), default=0)
+    behind = max((-(-blocks[x] // w) for x, w in whole.items()), default=0) * period  # past every slot of the schedule
+    rank_bits = max(0, -(-max(sizes.values(), default=0) // _GROUP) - 1).bit_length()
+    rows = docs.select(F.struct("*").alias("row"), _source().alias("source_key"), key.alias("key"), "doc_id", F.xxhash64("text").alias("tie"))
+    rows = rows.withColumn("range", F.shiftrightunsigned("key", _BITS - rank_bits))
+    counts = rows.groupBy("source_key", "range").agg(F.count("*").alias("n"))
+    ahead = counts.select("source_key", "range", (F.sum("n").over(Window.partitionBy("source_key").orderBy("range")) - F.col("n")).alias("ahead"))
+    ordered = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "tie")
+    ranked = rows.withColumn("rank", F.row_number().over(ordered)).join(ahead, ["source_key", "range"]).withColumn("rank", F.col("ahead") + F.col("rank") - 1)
+    ranked = ranked.select("row", "source_key", F.expr(f"rank div {block}").alias("block"), (F.col("rank") % block).cast("int").alias("place"))
+    plan = spark.createDataFrame([(x, i, whole.get(x), where.get(x, [])) for i, x in enumerate(sorted(sizes))], "source_key string, nth long, w long, slots array<int>")
+    if sum(map(len, where.values())) <= BROADCAST_SLOTS:
+        ranked = ranked.join(F.broadcast(plan), "source_key")
+        at = F.get("slots", F.expr("block % w").cast("int"))
+    else:  # the same lookup as a join of single slots
+        each = plan.select("source_key", F.posexplode("slots").alias("turn", "at"))
+        ranked = ranked.join(F.broadcast(plan.drop("slots")), "source_key").withColumn("turn", F.expr("block % w")).join(each, ["source_key", "turn"], "left")
+        at = F.col("at")
+    in_plan = at.isNotNull() if full else at.isNotNull() & (F.col("block") < F.col("w"))
+    slot = F.when(in_plan, F.expr("block div w") * period + at).otherwise(F.lit(behind) + F.col("block") * len(sizes) + F.col("nth")).cast("long")
+    return ranked.select(
+        "row", "source_key", "block", "place", slot.alias("slot"), F.expr(f"block * {period}L div w").alias("release"), F.expr(f"((block + 1) * {period}L + w - 1) div w").alias("deadline"),
+        (in_plan & (slot < horizon)).alias("mixed"),
     )
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, source, block, place, slot, release, deadline, mixed for every row of docs."""
-    return placed(docs, weights, block).select("doc_id", "source", *(F.col(f"__{x}").alias(x) for x in ("block", "place", "slot", "release", "deadline", "mixed")))
+    return placed(docs.select("doc_id", "source", "text"), weights, block).select("row.doc_id", "row.source", "block", "place", "slot", "release", "deadline", "mixed")
 
 
 def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
     """The rows and columns of docs, sorted by slot: written files hold the mix in reading order."""
-    return placed(docs, weights, block).orderBy("__slot", "__source", "__place").select(*docs.columns)
+    return placed(docs, weights, block).orderBy("slot", "source_key", "place").select("row.*")
 
 
-def oracle(source: str, block: int = BLOCK, period: int = PERIOD) -> str:
+def oracle(source: str, block: int = BLOCK) -> str:
     """mix over a table in SQL, the schedule by recursion over the slots of a period."""
     return f"""
 WITH RECURSIVE d AS (
@@ -112,29 +132,25 @@ WITH RECURSIVE d AS (
 ), c AS (
   SELECT s, count(*) AS n, greatest(1, floor(sqrt(count(*))))::BIGINT AS w FROM d GROUP BY s
 ), f AS (
-  SELECT s, n, w, sum(w) OVER () AS total, {period} - count(*) OVER () AS free FROM c
-), g AS (
-  SELECT s, n, 1 + (free * w) // total AS k, row_number() OVER (ORDER BY (free * w) % total DESC, s) AS o, {period} - sum(1 + (free * w) // total) OVER () AS spare FROM f
-), h AS (
-  SELECT s, n, (k + CASE WHEN o <= spare THEN 1 ELSE 0 END)::BIGINT AS k, row_number() OVER (ORDER BY s) AS i FROM g
+  SELECT s, n, w // (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) FROM c) AS w, row_number() OVER (ORDER BY s) AS i FROM c
 ), l AS (
-  SELECT list(k ORDER BY i) AS ks FROM h
+  SELECT list(w ORDER BY i) AS ws, sum(w)::BIGINT AS total FROM f
 ), e AS (
-  SELECT -1 AS t, list_transform(ks, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick, 0::BIGINT AS idx, ks FROM l WHERE len(ks) > 0
+  SELECT -1 AS t, list_transform(ws, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick, 0::BIGINT AS idx, ws, total FROM l WHERE len(ws) > 0
   UNION ALL
-  SELECT t + 1, list_transform(done, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p, done[p], ks
+  SELECT t + 1, list_transform(done, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p, done[p], ws, total
   FROM (
-    SELECT t, done, ks, list_min(list_transform(ks, lambda k, i: CASE WHEN done[i] < k AND done[i] * {period} // k <= t + 1
-             THEN (((done[i] + 1) * {period} + k - 1) // k) * 10000 + i ELSE 1000000000000 END)) % 10000 AS p FROM e WHERE t < {period} - 1
+    SELECT t, done, ws, total, list_min(list_transform(ws, lambda w, i: CASE WHEN done[i] * total // w <= t + 1
+             THEN (((done[i] + 1) * total + w - 1) // w) * 10000 + i ELSE 1000000000000000 END)) % 10000 AS p FROM e WHERE t < total - 1
   )
 ), r AS (
   SELECT d.*, row_number() OVER (PARTITION BY s ORDER BY key, doc_id, text) - 1 AS rank FROM d
 ), z AS (
-  SELECT r.doc_id, r.source, r.rank // {block} AS block, (r.rank % {block})::INT AS place, h.k, h.i FROM r JOIN h USING (s)
+  SELECT r.doc_id, r.source, r.rank // {block} AS block, (r.rank % {block})::INT AS place, f.w, f.i FROM r JOIN f USING (s)
 ), y AS (
-  SELECT min(((((n + {block} - 1) // {block}) // k) * {period} + e.t)) AS horizon FROM h JOIN e ON e.pick = h.i AND e.idx = ((n + {block} - 1) // {block}) % k
+  SELECT min((((n + {block} - 1) // {block}) // w) * total + e.t) AS horizon FROM f JOIN e ON e.pick = f.i AND e.idx = ((n + {block} - 1) // {block}) % w
 )
-SELECT doc_id, source, block, place, ((block // k) * {period} + e.t)::BIGINT AS slot, (block * {period}) // k AS release,
-       ((block + 1) * {period} + k - 1) // k AS deadline, (block // k) * {period} + e.t < horizon AS mixed
-FROM z JOIN e ON e.pick = z.i AND e.idx = z.block % z.k, y
+SELECT doc_id, source, block, place, ((block // w) * total + e.t)::BIGINT AS slot, (block * total) // w AS release,
+       ((block + 1) * total + w - 1) // w AS deadline, (block // w) * total + e.t < horizon AS mixed
+FROM z JOIN e ON e.pick = z.i AND e.idx = z.block % z.w, y
 """

@@ -7,14 +7,19 @@ counts the exact bytes below candidate boundaries (256 probes inside each interv
 a splitter) over all partitions and keeps the probed interval that the splitter falls in, until an
 interval is one key. Only then do the rows move, once.
 
-Each shard is cut the same way into RUNS runs, so that no task has to sort a whole shard: a row's
-slot is the count of the shard's runs before its own plus its rank inside the run. Per round the
-driver gets at most shards * RUNS * 256 sums, whatever the input's size. A hot text may span several
-runs and shards: its copies are split by doc_id.
+Each shard is cut the same way into runs, at least RUNS and of about RUN_ROWS rows, so that no task has
+to sort a whole shard: a row's slot is the count of the shard's runs before its own plus its rank
+inside the run. Per round the driver gets at most 256 sums a run. A hot text may span several runs
+and shards: its copies are split by doc_id.
+
+`order` replaces the key by two given columns: shards are then stretches of that order (the pipeline
+gives the reading order of a mix). `keep` lets all columns of docs come through, texts included; those
+named like one of the result's are replaced.
 
 size: UTF-8 bytes of the text (null: none) plus 16; crc32 of null text is that of no bytes. Rows with
-the same doc_id and text are one key and share a shard; null doc_id sorts first. Extra columns do not
-come through. An empty table gives an empty result.
+the same doc_id and text are one key and share a shard; null doc_id sorts first. Without `keep`, extra
+columns do not come through. An empty table gives an empty result. Texts of any length are only
+measured and hashed.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from fractions import Fraction
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -29,22 +35,36 @@ from pyspark.sql import Window
 from .common import cut
 
 SHARDS, RUNS, OVERHEAD = 40, 8, 16
+RUN_ROWS = 4_000_000
 _BITS, _STEP, _HEAD = 48, 8, 10
 _LEAST = -(1 << 63)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the order key (k1, k2) of each row; text goes no further."""
+def keyed(docs: DataFrame, order: tuple[Column, Column] | None = None, keep: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32 and the order key (k1, k2) of each row; text goes no further unless
+    kept in `row`, a struct of docs' columns."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    k1, k2 = order or (F.conv(F.substring(F.md5(raw), 1, _BITS // 4), 16, 10), F.col("doc_id"))
     return docs.select(
         "doc_id",
         (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.conv(F.substring(F.md5(raw), 1, _BITS // 4), 16, 10).cast("long").alias("k1"),
-        F.coalesce(F.col("doc_id"), F.lit(_LEAST)).alias("k2"),
+        k1.cast("long").alias("k1"),
+        F.coalesce(k2.cast("long"), F.lit(_LEAST)).alias("k2"),
+        *([F.struct("*").alias("row")] if keep else []),
     )
 
 
+def reading_order(docs: DataFrame) -> tuple[Column, Column] | None:
+    """The place of each row in the written files docs is read from: part number and row in it; none
+    if docs does not come from Parquet files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    return F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) AS long)"), F.lit(0)), F.col("_metadata.row_index")
+
+
 def _narrowed(rows: DataFrame, keys: list[Column], bits: int, targets: dict[int, tuple], share: Fraction, found: dict) -> dict[int, tuple]:
     """Radix rounds over the last of keys, an unsigned `bits`-bit number; targets: {i: (values of the
     other keys and common prefix of the last one, bytes before it)}. Returns the same with whole
@@ -110,16 +130,20 @@ def _place(cuts: list[tuple[int, int]]) -> Column:
     return low + F.size(F.filter(own, lambda x: (x["a"] < F.col("k1")) | ((x["a"] == F.col("k1")) & (x["b"] < F.col("k2")))))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
-    rows = cut(keyed(docs))
-    placed = rows.withColumn("run", _place(splitters(rows, shards * RUNS)))
-    counts = placed.groupBy("run").agg(F.count("*").alias("n")).withColumn("shard", F.floor(F.col("run") / RUNS).cast("int"))
-    # shards * RUNS rows
+def shard(docs: DataFrame, shards: int = SHARDS, order: tuple[Column, Column] | None = None, keep: bool = False) -> DataFrame:
+    """doc_id (with keep: all columns of docs), size, text_crc32, law, shard, slot, grown_shard for
+    every row of docs."""
+    rows = cut(keyed(docs, order))
+    runs = max(RUNS, -(-rows.count() // (shards * RUN_ROWS)))
+    placed = (keyed(docs, order, keep) if keep else rows).withColumn("run", _place(splitters(rows, shards * runs)))
+    counts = placed.groupBy("run").agg(F.count("*").alias("n")).withColumn("shard", F.floor(F.col("run") / runs).cast("int"))
+    # shards * runs rows
     ahead = counts.select("run", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("run")) - F.col("n")).alias("ahead"))
     rank = F.row_number().over(Window.partitionBy("run").orderBy("k1", "k2", "text_crc32", "size"))
+    new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in new] if keep else [F.col("doc_id")]
     return placed.withColumn("rank", rank).join(F.broadcast(ahead), "run").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        *own, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 

@@ -120,9 +120,59 @@ def test_base_spans_against_the_patterns():
         assert pii.base_spans(t) == slow_base(t), t
 
 
-def test_pii_digest_and_sanitising(spark):
+def slow_terms(text):
+    """(term, start, end) of every word, without up to four marks at either end."""
+    marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        s, e = m.span()
+        for _ in range(4):
+            e -= e > s and text[e - 1] in marks
+            s += e > s and text[s] in marks
+        if e > s:
+            yield text[s:e].translate(LOW), s, e
+
+
+def slow_disclosure(texts):
+    """Per row: (start, end, share) of the terms that disclose one of its entities."""
+    plain = lambda k, v: (k, v.lower() if k in ("email", "ip") else re.sub("[^0-9]", "", v))
+    spans = [slow_base(t) for t in texts]
+    entities = [{plain(k, t[s:e]) for k, s, e in b} for t, b in zip(texts, spans, strict=True)]
+    terms = [{w for w, _, _ in slow_terms(t)} for t in texts]
+    df_term, df_entity = Counter(w for x in terms for w in x), Counter(c for x in entities for c in x)
+    n, share = len(texts), {}
+    for c in df_entity:
+        holders = [i for i, x in enumerate(entities) if c in x]
+        ic = np.log2(n / len(holders))
+        for w in set().union(*(terms[i] for i in holders)):
+            both = [i for i in holders if w in terms[i]]
+            p = len(both) / df_term[w] * (1 - 1 / (2 * len({tuple(texts[i].split()) for i in both})))
+            share[c, w] = 1 + np.log2(p) / ic
+    out = []
+    for t, b, found in zip(texts, spans, entities, strict=True):
+        rows = [(s, e, max((share[c, w] for c in found), default=0)) for w, s, e in slow_terms(t) if not any(x < e and s < y for _, x, y in b)]
+        out.append([r for r in rows if r[2] >= pii.GENERALISE])
+    return out
+
+
+def secret_texts():
     secret = [f"contact zebrafish{'' if i % 2 else ','} at bob.smith@mail.example.com about item {prose(i, 8)}" for i in range(6)]
-    texts = [*secret, *[prose(50 + i, 30) for i in range(30)], *edge_texts(), "mail x@y.zz or 10.0.0.1"]
+    alone = ["The lonely Quokka wrote from 10.9.8.7 to w1 w2", "The lonely Quokka wrote from 10.9.8.7 to w1 w2", "call 7351 or +1 (415) 555-2671 w3"]
+    return [*secret, *alone, *[prose(50 + i, 30) for i in range(2100)], *edge_texts(), "mail x@y.zz or 10.0.0.1"]
+
+
+def test_pii_terms_against_a_slow_count(spark):
+    texts = secret_texts()
+    want = slow_disclosure(texts)
+    got = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+    for i, rows in enumerate(want):
+        spans = sorted([(s, 5, f"term:{s}:{e}") for s, e, _ in rows] + [(s, [k for k, _ in PATTERNS].index(k), f"{k}:{s}:{e}") for k, s, e in slow_base(texts[i])])
+        assert got[i].spans == ",".join(x for *_, x in spans), texts[i]
+        assert got[i].removed == [s for s, _, x in rows if x >= pii.REMOVE]
+    assert want[0] and want[6] and want[8] and not any(want[9:2100])
+
+
+def test_pii_digest_and_sanitising(spark):
+    texts = secret_texts()
     df = doubled(docs(spark, texts))
     found = pii.find(df).collect()
     assert len(found) == df.count()
@@ -130,15 +180,29 @@ def test_pii_digest_and_sanitising(spark):
     for i, t in enumerate(texts):
         base = [f"{k}:{s}:{e}" for k, s, e in slow_base(t)]
         assert by[i].base == ",".join(base) and set(base) <= set(by[i].spans.split(",")) | {""}
-    assert "term" in by[0].spans and not by[20].spans
-    k, s, e = next(x for x in by[0].spans.split(",") if x.startswith("term")).split(":")
-    assert texts[0][int(s) : int(e)] in ("contact", "zebrafish", "about", "at", "item")
     d = {r.doc_id: r for r in pii.digest(df).collect()}
     assert d[len(texts) - 1].base_sha256 == hashlib.sha256(by[len(texts) - 1].base.encode()).hexdigest() and d[0].n_email == 1
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect()}
-    assert "bob.smith" not in clean[0] and "zebrafish" not in clean[0] and clean[len(texts) - 1] == "mail [EMAIL] or [IP]"
-    assert clean[6] == texts[6] and pii.sanitise(df).columns == df.columns
-    assert pii.digest(df.limit(0)).count() == 0
+    assert "bob.smith" not in clean[0] and "zebrafish" not in clean[0]
+    assert clean[6] == "[NAME] [WORD] [NAME] [WORD] [WORD] [IP] [WORD] w1 w2"
+    assert clean[10] == texts[10] and pii.digest(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0
+
+
+def test_sanitising_rows_without_or_with_one_doc_id(spark):
+    rows = [(None, "write to ann@mail.com now", "n"), (1, "a much longer text in here then write ann@mail.com now", "x"), (1, "ip 10.0.0.1", "y"), (None, None, "z"), (2, "", "e"), (3, " \t", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __spans string").withColumn("__removed", F.lit(1)).withColumn("row", F.lit("r")).withColumn("number", F.lit(5))
+    got = pii.sanitise(df)
+    assert got.columns == df.columns
+    out = {r["__spans"]: r.text for r in got.collect()}
+    assert len(out) == 6 and not any("ann@" in (t or "") or "10.0" in (t or "") for t in out.values())
+    assert "[EMAIL]" in out["n"] and "[EMAIL]" in out["x"] and "[IP]" in out["y"] and (out["z"], out["e"], out["b"]) == (None, "", " \t")
+    assert pii.masked("ab cd", "email:0:4,phone:2:5", []) == "[EMAIL]"
+
+
+@pytest.mark.parametrize("texts", [[None], [""], [" \n", None, ""]])
+def test_pii_of_partitions_without_words(spark, texts):
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert pii.digest(df).where("spans = ''").count() == len(texts)
 
 
 # ---- near duplicates ----
@@ -377,6 +441,13 @@ def test_sharding_edges(spark):
     assert sharding.shard(df).count() == df.count() and sharding.shard(df.limit(0)).count() == 0 and sharding.shard(df.limit(1)).count() == 1
 
 
+def test_sharding_keeps_columns(spark):
+    df = docs(spark, ["b", None, "c", "b"]).withColumn("k1", F.lit("x")).withColumn("row", F.lit("y"))
+    got = sharding.shard(df, 2, keep=True)
+    assert [c for c in df.columns if c != "shard"] == got.columns[: len(df.columns) - 1]
+    assert sorted((r.doc_id, r.text or "", r.k1, r.row, r.key) for r in got.collect()) == [(0, "b", "x", "y", "k"), (1, "", "x", "y", "k"), (2, "c", "x", "y", "k"), (3, "b", "x", "y", "k")]
+
+
 # ---- repeats ----
 
 def slow_repeats(texts):
@@ -435,33 +506,72 @@ def test_interval_tree():
 
 # ---- mixing ----
 
-def test_schedule_stays_within_a_block():
+def key_of(x):
+    return x if isinstance(x, str) else "\x00"
+
+
+def test_schedule_stays_within_a_block_of_the_targets():
     rng = np.random.default_rng(10)
-    for _ in range(20):
-        slots = mixing.shares({f"s{i}": int(w) for i, w in enumerate(rng.integers(1, 1000, int(rng.integers(1, 30))))}, 256)
-        place = mixing.schedule(slots, 256)
-        assert sorted(t for s in place.values() for t in s) == list(range(256))
-        for x, k in slots.items():
-            done = np.cumsum(np.isin(np.arange(256), place[x]))
-            assert (abs(done - np.arange(1, 257) * k / 256) < 1).all()
-    with pytest.raises(ValueError):
-        mixing.shares({str(i): 1 for i in range(5)}, 4)
-
-
-def test_mixing(spark):
+    cases = [{f"s{i}": int(w) for i, w in enumerate(rng.integers(1, 300, int(rng.integers(1, 30))))} for _ in range(15)]
+    for given in [*cases, {"a": 700, "b": 200, "c": 100, "d": 1}, {"a": 5, "b": 10}, {str(i): 1 for i in range(1500)}]:
+        weights = mixing.reduced(given)
+        total = sum(weights.values())
+        place = mixing.schedule(weights)
+        assert sorted(t for s in place.values() for t in s) == list(range(total))
+        for x, w in list(weights.items())[:40]:
+            t = np.arange(total)
+            done = np.cumsum(np.isin(t, place[x]))
+            assert (abs(done - (t + 1) * given[x] / sum(given.values())) < 1).all()
+        part = mixing.schedule(weights, total // 3)
+        assert all(part[x] == [t for t in place[x] if t < total // 3] for x in weights)
+    assert mixing.schedule({}) == {} and mixing.reduced({"a": 0}) == {}
+
+
+def deviates(got, weights, block):
+    """The most that any source is off its target, in blocks, over the mixed slots."""
+    mixed = got[got.mixed].drop_duplicates("slot").sort_values("slot")
+    assert list(mixed.slot) == list(range(len(mixed)))
+    total, worst = sum(weights.values()), 0
+    for s, w in weights.items():
+        done = np.cumsum([key_of(x) == s for x in mixed.source])
+        worst = max(worst, abs(done - np.arange(1, len(done) + 1) * w / total).max(initial=0))
+    return worst, len(mixed)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 22, 0])
+def test_mixing(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", broadcast)
+    monkeypatch.setattr(mixing, "_GROUP", 100)
     df = docs(spark, [prose(i, 5) for i in range(900)] + edge_texts(), sources=("a", "a", "a", "b", None))
     got = mixing.mix(df, block=8).toPandas()
     assert len(got) == df.count() and not got.duplicated(["slot", "place"]).any()
-    mixed = got[got.mixed]
-    weights = {k: v / 1024 for k, v in mixing.shares(mixing.tempered(Counter(x if isinstance(x, str) else "\x00" for x in got.source))).items()}
-    for t in range(int(mixed.slot.max()) + 1):
-        upto = mixed[mixed.slot <= t].drop_duplicates("slot")
-        assert len(upto) == t + 1
-        for s, w in weights.items():
-            n = sum((x if isinstance(x, str) else "\x00") == s for x in upto.source)
-            assert abs(n - (t + 1) * w) < 1
-    assert (got.release <= got.slot).all() and (got.slot < got.deadline).all()
+    assert deviates(got, mixing.tempered(Counter(map(key_of, got.source))), 8)[0] < 1
+    scheduled = got[got.mixed]
+    assert (scheduled.release <= scheduled.slot).all() and (scheduled.slot < scheduled.deadline).all()
     only = mixing.mix(df, {"b": 1}, 8).toPandas()
-    assert set(only[only.mixed].source) == {"b"} and len(only) == len(got)
-    rows = mixing.in_order(doubled(df))
-    assert rows.columns == df.columns and rows.count() == doubled(df).count() and mixing.mix(df.limit(0)).count() == 0
+    assert set(only[only.mixed].source) == {"b"} and len(only) == len(got) and not only.duplicated(["slot", "place"]).any()
+    rows = mixing.in_order(doubled(df).withColumn("__rank", F.lit("mine")).withColumn("slot", F.lit("s")).withColumn("row", F.lit(1)))
+    assert rows.columns[-3:] == ["__rank", "slot", "row"] and {(r["__rank"], r.slot) for r in rows.collect()} == {("mine", "s")}
+    assert rows.count() == doubled(df).count() and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_mixing_of_many_periods_and_of_a_tiny_source(spark):
+    weights = {"a": 7, "b": 2, "c": 1, "d": 1}
+    rows = [(i, "t", "ab"[i % 9 >= 7] if i % 10 else "cd"[i % 20 // 10]) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, 2).toPandas()
+    worst, n = deviates(got, weights, 2)
+    assert worst < 1 and n > 100 * 11
+    tiny = spark.createDataFrame([*rows, (9999, "t", "tiny")], "doc_id long, text string, source string")
+    got = mixing.mix(tiny, weights | {"tiny": 1}, 2).toPandas()
+    assert deviates(got, weights | {"tiny": 1}, 2)[0] < 1
+    # weights whose period is far longer than the table, so only a part of it is laid out
+    big = {"a": 700_000_001, "b": 200_000_003, "c": 100_000_007, "d": 90_000_001}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), big, 2).toPandas()
+    worst, n = deviates(got, big, 2)
+    assert worst < 1 and n > 500 and len(got) == 4000 and not got.duplicated(["slot", "place"]).any()
+
+
+def test_mixing_of_more_sources_than_rows_in_a_block(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
+    got = mixing.mix(df, block=2).toPandas()
+    assert len(got) == 3000 and got.mixed.all() and not got.duplicated(["slot", "place"]).any()

@@ -31,3 +31,24 @@ def test_run(spark, tmp_path):
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns, name
     assert Counter(bool(re.search("!!", t or "")) for i, t in enumerate(texts) if i in set(got.doc_id))[True] == 0
+
+
+def test_shards_follow_the_mix(spark, tmp_path):
+    """run's rows, read shard by shard, are the mix of what decontamination keeps; without the mixing
+    stage they are not."""
+    from framescope.llm import mixing
+    from framescope.llm.common import cut
+
+    rows = [(i, f"text {i} " * (1 + i % 7), "en", "abbbbbbb"[i % 8], 3) for i in range(2000)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    *_, (_, mix), (_, shard) = pipeline.STAGES
+    got = shard(spark, cut(mix(spark, docs, "")), "").toPandas().sort_values(["shard", "slot"])
+    want = mixing.mix(docs).toPandas().sort_values(["slot", "place"])
+    assert list(got.doc_id) == list(want.doc_id) and set(docs.columns) < set(got.columns)
+    assert list(got.text) == [rows[i][1] for i in got.doc_id]
+    size = got["size"].to_numpy()
+    assert list(got["shard"]) == [int(b * 40 // size.sum()) for b in size.cumsum() - size]
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    without = shard(spark, docs, "").toPandas().sort_values(["shard", "slot"])
+    assert list(without.doc_id) != list(got.doc_id)
+    assert shard(spark, spark.createDataFrame(rows[:5], docs.schema), "").count() == 5

@@ -33,7 +33,7 @@ from pyspark.sql import Window
 BLOCK = 64
 BROADCAST_SLOTS = 1 << 22  # slots of a period that are broadcast as one number each
 _NULL = "\x00"
-_BITS, _GROUP = 48, 1 << 16  # rows of a source that one task ranks, about
+_BITS, _GROUP = 48, 1 << 12  # rows of a source that one task ranks, about
 
 
 def reduced(weights: dict[str, int]) -> dict[str, int]:
@@ -75,8 +75,8 @@ def _source() -> Column:
     return F.coalesce(F.col("source"), F.lit(_NULL))
 
 
-def placed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """row (a struct of docs' columns), source_key, block, place (in the block), slot, release,
+def placed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, keep: tuple[str, ...] = ("*",)) -> DataFrame:
+    """row (a struct of docs' columns, or of those to keep), source_key, block, place (in the block), slot, release,
     deadline, mixed."""
     spark = docs.sparkSession
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, _BITS // 4), 16, 10).cast("long")
@@ -91,7 +91,7 @@ def placed(docs: DataFrame, weights: dict[str, int] | None = None, block: int =
     horizon = min((blocks[x] // w * period + where[x][blocks[x] % w] for x, w in whole.items() if full or blocks[x] < len(where[x])), default=0)
     behind = max((-(-blocks[x] // w) for x, w in whole.items()), default=0) * period  # past every slot of the schedule
     rank_bits = max(0, -(-max(sizes.values(), default=0) // _GROUP) - 1).bit_length()
-    rows = docs.select(F.struct("*").alias("row"), _source().alias("source_key"), key.alias("key"), "doc_id", F.xxhash64("text").alias("tie"))
+    rows = docs.select(F.struct(*keep).alias("row"), _source().alias("source_key"), key.alias("key"), "doc_id", F.xxhash64("text").alias("tie"))
     rows = rows.withColumn("range", F.shiftrightunsigned("key", _BITS - rank_bits))
     counts = rows.groupBy("source_key", "range").agg(F.count("*").alias("n"))
     ahead = counts.select("source_key", "range", (F.sum("n").over(Window.partitionBy("source_key").orderBy("range")) - F.col("n")).alias("ahead"))
@@ -116,7 +116,7 @@ def placed(docs: DataFrame, weights: dict[str, int] | None = None, block: int =
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, source, block, place, slot, release, deadline, mixed for every row of docs."""
-    return placed(docs.select("doc_id", "source", "text"), weights, block).select("row.doc_id", "row.source", "block", "place", "slot", "release", "deadline", "mixed")
+    return placed(docs, weights, block, ("doc_id", "source")).select("row.doc_id", "row.source", "block", "place", "slot", "release", "deadline", "mixed")
 
 
 def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:

@@ -6,13 +6,19 @@ t / (|q| L) is the least cosine a member needs to matter. In a bucket where that
 its length prunes (a prefix by falling length); where it is high, the query's heaviest coordinates
 F bound the product by q_F.p_F + |q_rest| |p_rest| first. Survivors' products are verified.
 
-Products are exact: components are quantised to integers, multiplied in float64 while below 2**53
-(else in Python integers). Queries and buckets meet block by block: query blocks are sent only to
-the buckets their thresholds leave, as packed matrices, so no row pairs are ever formed.
+A query block first meets the longest buckets, up to SEEDS of them and SEED_BYTES, one after the
+other, each tightening its thresholds for the next; then it is sent, with them, to those of the other
+buckets that its thresholds leave. Blocks and buckets are packed matrices, so no row pairs are ever
+formed; each pair of them gives at most k rows a query, and a window keeps k a query, limited in each
+task before the shuffle.
 
-Vectors that are null or hold null or non-finite components take no part; vectors of another
-dimension than most of the table's fail loudly inside numpy. Ties go to the smaller id. An empty
-table gives no rows; fewer than k candidates give all of them. Repeated ids are separate candidates.
+Products are exact: components are quantised to integers, multiplied in float64 while below 2**53
+(else in Python integers; a score past 64 bits fails the job). Vectors that are null or hold null or non-finite components, and rows of
+null id, take no part. A vector is compared only with vectors of as many components. Ties go to the
+smaller id. Rows that repeat an id are separate candidates and separate queries, each of which leaves
+out itself alone; their answers stand under one query_id with ranks of their own. An empty vector
+scores 0 with other empty ones. An empty table gives no rows; fewer than k candidates give all of
+them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import cut
 
 BUCKET, BLOCK = 4096, 512
+SEEDS, SEED_BYTES = 4, 32 << 20
 _LOW_COSINE = 0.3  # under it, coordinates prune too little to pay
 _FOCUS = 16
+_PACKED = "dim int, n long, longest double, ids binary, rows binary, matrix binary"
+_FOUND = "query_id long, query_row long, vec_id long, vec_row long, score long"
 
 
 def quantised(column: Column, scale: float) -> Column:
@@ -38,22 +48,25 @@ def quantised(column: Column, scale: float) -> Column:
 
 
 def _packed(size: int):
-    """A partition's rows (id, v, norm) become matrices of up to size rows by falling norm."""
+    """A partition's rows (id, row, dim, v, norm) become matrices of one dimension, of up to size rows
+    by falling norm."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            t = t.sort_by([("norm", "descending"), ("id", "ascending")])
-            for i in range(0, t.num_rows, size):
-                part = t.slice(i, size).combine_chunks()
-                matrix = np.asarray(part.column("v").combine_chunks().flatten(), np.int64)
-                norms = np.asarray(part.column("norm"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.num_rows]), pa.array([norms.max()]), pa.array([np.asarray(part.column("id"), np.int64).tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())],
-                    ["n", "longest", "ids", "matrix"],
-                )
+            t = pa.Table.from_batches(held).sort_by([("dim", "ascending"), ("norm", "descending"), ("id", "ascending"), ("row", "ascending")])
+            dims = np.asarray(t.column("dim"))
+            edges = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1), len(dims)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                for i in range(a, b, size):
+                    part = t.slice(i, min(size, b - i)).combine_chunks()
+                    raw = lambda c: pa.array([np.asarray(part.column(c), np.int64).tobytes()], pa.binary())  # noqa: B023, E731
+                    matrix = np.asarray(part.column("v").combine_chunks().flatten(), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([dims[i]], pa.int32()), pa.array([part.num_rows]), pa.array([np.asarray(part.column("norm")).max()]), raw("id"), raw("row"), pa.array([matrix.tobytes()], pa.binary())],
+                        ["dim", "n", "longest", "ids", "rows", "matrix"],
+                    )
 
         for batch in batches:
             held.append(batch)
@@ -67,111 +80,142 @@ def _packed(size: int):
     return pack
 
 
-def _matrix(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids_ = np.frombuffer(ids, np.int64)
-    return ids_, np.frombuffer(matrix, np.int64).reshape(len(ids_), -1)
+class Side:
+    """Vectors of one block or bucket: ids, row numbers, components."""
+
+    def __init__(self, r: dict, prefix: str = ""):
+        self.ids, self.rows = (np.frombuffer(r[prefix + x], np.int64) for x in ("ids", "rows"))
+        self.v = np.frombuffer(r[prefix + "matrix"], np.int64).reshape(len(self.ids), r["dim"])
+        self.f = self.v.astype(np.float64)
+        self.norm = np.sqrt((self.f**2).sum(axis=1))
+
 
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, row numbers, scores of a query's best
 
-def _best(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of each query's k best of one bucket with a score >= least."""
-    big = float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(q.shape[1], 1) >= 2.0**53
-    pf, qf = p.astype(np.float64), q.astype(np.float64)
-    pn, qn = np.sqrt((pf**2).sum(axis=1)), np.sqrt((qf**2).sum(axis=1))
-    outs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    longest = pn.max(initial=0.0)
+
+def best(q: Side, p: Side, least: np.ndarray, k: int) -> dict[int, Hits]:
+    """By query: the k best of one bucket with a score >= least."""
+    big = float(np.abs(q.v).max(initial=0)) * float(np.abs(p.v).max(initial=0)) * max(q.v.shape[1], 1) >= 2.0**53
+    out: dict[int, Hits] = {}
+    longest = p.norm.max(initial=0.0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        cosine = np.where(qn * longest > 0, least / (qn * longest), np.where(least <= 0, -np.inf, np.inf))
-        reach = np.where(least > 0, least / qn, -1.0)
-    prefix = np.searchsorted(-pn, -(reach * (1 - 1e-12)), "right")  # members long enough, by falling length
-    for high in (False, True):
-        chosen = np.flatnonzero((cosine >= _LOW_COSINE) == high)
-        chosen = chosen[(cosine[chosen] <= 1 + 1e-9) & (prefix[chosen] > 0)]
-        for i in chosen if high else ():
-            focus = np.argpartition(-np.abs(qf[i]), min(_FOCUS, len(qf[i]) - 1))[:_FOCUS]
-            part = pf[: prefix[i], focus]
-            rest_q = np.sqrt(max(qn[i] ** 2 - (qf[i, focus] ** 2).sum(), 0.0))
-            bound = part @ qf[i, focus] + rest_q * np.sqrt(np.maximum(pn[: prefix[i]] ** 2 - (part**2).sum(axis=1), 0.0))
-            kept = np.flatnonzero(bound >= least[i] - 1e-6 * max(1.0, abs(least[i])))
-            outs.append(_cut(qid[i : i + 1], pid[kept], _products(q[i : i + 1], p[kept], big), least[i : i + 1], k))
-        if not high and len(chosen):
-            top = int(prefix[chosen].max())
-            outs.append(_cut(qid[chosen], pid[:top], _products(q[chosen], p[:top], big), least[chosen], k))
-    if not outs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*outs, strict=True))
-
-
-def _products(q: np.ndarray, p: np.ndarray, big: bool) -> np.ndarray:
+        cosine = np.where(q.norm * longest > 0, least / (q.norm * longest), np.where(least <= 0, -np.inf, np.inf))
+        reach = np.where(least > 0, least / q.norm, -1.0)
+    prefix = np.searchsorted(-p.norm, -(reach * (1 - 1e-12)), "right")  # members long enough, by falling length
+    possible = (cosine <= 1 + 1e-9) & (prefix > 0)
+    for i in np.flatnonzero(possible & (cosine >= _LOW_COSINE)):
+        focus = np.argpartition(-np.abs(q.f[i]), min(_FOCUS, q.f.shape[1] - 1))[:_FOCUS]
+        part = p.f[: prefix[i], focus]
+        rest = np.sqrt(max(q.norm[i] ** 2 - (q.f[i, focus] ** 2).sum(), 0.0))
+        bound = part @ q.f[i, focus] + rest * np.sqrt(np.maximum(p.norm[: prefix[i]] ** 2 - (part**2).sum(axis=1), 0.0))
+        kept = np.flatnonzero(bound >= least[i] - 1e-6 * max(1.0, abs(least[i])))
+        out[i] = _cut(q.rows[i], p, kept, _products(q, p, np.array([i]), kept, big)[0], least[i], k)
+    low = np.flatnonzero(possible & (cosine < _LOW_COSINE))
+    if len(low):
+        kept = np.arange(int(prefix[low].max()))
+        for i, score in zip(low, _products(q, p, low, kept, big), strict=True):
+            out[i] = _cut(q.rows[i], p, kept, score, least[i], k)
+    return out
+
+
+def _products(q: Side, p: Side, i: np.ndarray, j: np.ndarray, big: bool) -> np.ndarray:
     if big:
-        return np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in p] for x in q], np.int64).reshape(len(q), len(p))
-    return (q.astype(np.float64) @ p.astype(np.float64).T).astype(np.int64)
-
-
-def _cut(qid: np.ndarray, pid: np.ndarray, score: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best by score and then id, of those >= least and not itself."""
-    q_out, p_out, s_out = [], [], []
-    for i in range(len(qid)):
-        kept = np.flatnonzero((score[i] >= least[i]) & (pid != qid[i]))
-        if len(kept) > k:
-            edge = np.partition(score[i, kept], len(kept) - k)[len(kept) - k]
-            kept = kept[score[i, kept] >= edge]
-        kept = kept[np.lexsort((pid[kept], -score[i, kept]))[:k]]
-        q_out.append(np.full(len(kept), qid[i]))
-        p_out.append(pid[kept])
-        s_out.append(score[i, kept])
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *q_out]), np.concatenate([empty, *p_out]), np.concatenate([empty, *s_out])
+        return np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in p.v[j]] for x in q.v[i]], np.int64).reshape(len(i), len(j))
+    return (q.f[i] @ p.f[j].T).astype(np.int64)
+
+
+def _cut(own: int, p: Side, j: np.ndarray, score: np.ndarray, least: float, k: int) -> Hits:
+    """The k best of members j by score and then id, of those >= least and not the query itself."""
+    kept = np.flatnonzero((score >= least) & (p.rows[j] != own))
+    if len(kept) > k:
+        edge = np.partition(score[kept], len(kept) - k)[len(kept) - k]
+        kept = kept[score[kept] >= edge]
+    return _first((p.ids[j[kept]], p.rows[j[kept]], score[kept]), k)
+
+
+def _first(hits: Hits, k: int) -> Hits:
+    order = np.lexsort((hits[1], hits[0], -hits[2]))[:k]
+    return tuple(x[order] for x in hits)
+
+
+def _rows(q: Side, found: dict[int, Hits]) -> pa.RecordBatch:
+    parts = [(np.full(len(h[0]), q.ids[i]), np.full(len(h[0]), q.rows[i]), *h) for i, h in found.items()]
+    columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "query_row", "vec_id", "vec_row", "score"])
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
     """vectors: id and v columns; queries: the rows that ask. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    v = quantised(F.col("v"), scale)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = cut(vectors.select("id", v.alias("v"), queries.alias("asks")).where("v is not null and id is not null").withColumn("norm", norm))
-    total = rows.count()
-    n = max(1, -(-total // BUCKET))
-    packed = "n long, longest double, ids binary, matrix binary"
-    # equal-count buckets by falling length; -norm and the id make a range key without ties
-    buckets = cut(rows.select("id", "v", "norm").repartitionByRange(n, F.desc("norm"), "id").mapInArrow(_packed(BUCKET), packed).withColumn("bucket", F.monotonically_increasing_id()))
-    asking = rows.where(F.coalesce("asks", F.lit(False))).select("id", "v", "norm")
-    m = max(1, -(-asking.count() // BLOCK))
-    blocks = asking.repartitionByRange(m, F.desc("norm"), "id").mapInArrow(_packed(BLOCK), packed).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("longest").alias("q_longest"))
-    lengths = sorted(((r["longest"], r["bucket"]) for r in buckets.select("longest", "bucket").collect()), reverse=True)  # one number a bucket
-    if not lengths:
+    rows = vectors.select("id", quantised(F.col("v"), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("v is not null and id is not null")
+    rows = cut(rows.select("*", F.size("v").alias("dim"), norm.alias("norm"), F.monotonically_increasing_id().alias("row")))
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a dimension
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    seeds = [b for _, b in lengths[:1]]
+    n = max(1, -(-sum(sizes.values()) // BUCKET))
+    members = rows.select("id", "row", "dim", "v", "norm")
+    # equal-count buckets by falling length; the id makes a range key with few ties
+    buckets = cut(members.repartitionByRange(n, "dim", F.desc("norm"), "id").mapInArrow(_packed(BUCKET), _PACKED).withColumn("bucket", F.monotonically_increasing_id()))
+    asking = rows.where("asks").select("id", "row", "dim", "v", "norm")
+    m = max(1, -(-asking.count() // BLOCK))
+    blocks = asking.repartitionByRange(m, "dim", F.desc("norm"), "id").mapInArrow(_packed(BLOCK), _PACKED).select("dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("matrix").alias("q_matrix"), F.col("longest").alias("q_longest"))
+    lengths = sorted(((r["dim"], -r["longest"], r["bucket"]) for r in buckets.select("dim", "longest", "bucket").collect()))  # one row a bucket
+    seeds, room, taken = [], SEED_BYTES, {}
+    for dim, _, bucket in sorted(lengths, key=lambda x: (-sizes[x[0]], x)):
+        if taken.get(dim, 0) < SEEDS and (room >= BUCKET * (dim + 2) * 8 or not seeds):
+            seeds.append(bucket)
+            room, taken[dim] = room - BUCKET * (dim + 2) * 8, taken.get(dim, 0) + 1
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks with their thresholds, the least of them, and the best of the seeds as an Arrow file."""
         for batch in batches:
-            least = []
-            for r in batch.to_pylist():
-                qid, q = _matrix(r["q_ids"], r["q_matrix"])
-                pid, p = _matrix(r["ids"], r["matrix"])
-                floor = np.full(len(qid), -np.inf)
-                a, _, s = _best(qid, q, pid, p, floor, k)
-                for i, x in enumerate(qid):
-                    mine = s[a == x]
-                    if len(mine) >= k:
-                        floor[i] = np.sort(mine)[len(mine) - k]
-                least.append(floor.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("q_ids", "q_matrix", "q_longest")), pa.array(least, pa.binary()), pa.array([float(np.frombuffer(x).min()) for x in least])], ["q_ids", "q_matrix", "q_longest", "least", "lowest"])
-
-    # one matrix of at most BUCKET rows: its size is bounded, so it may be broadcast
-    first = buckets.where(F.col("bucket").isin(seeds)).select("ids", "matrix", "bucket")
-    blocks = cut(blocks.withColumn("bucket", F.lit(seeds[0])).join(F.broadcast(first), "bucket").select("q_ids", "q_matrix", "q_longest", "ids", "matrix").mapInArrow(seeded, "q_ids binary, q_matrix binary, q_longest double, least binary, lowest double"))
-    reach = F.array(*[F.struct(F.lit(float(x)).alias("longest"), F.lit(b).alias("bucket")) for x, b in lengths])
-    sent = blocks.withColumn("to", F.explode(F.filter(reach, lambda x: x["longest"] * F.col("q_longest") >= F.col("lowest") * (1 - 1e-12)))).select("q_ids", "q_matrix", "least", F.col("to.bucket").alias("bucket"))
-
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+            least, answers = [], []
             for r in batch.to_pylist():
-                qid, q = _matrix(r["q_ids"], r["q_matrix"])
-                pid, p = _matrix(r["ids"], r["matrix"])
-                a, b, s = _best(qid, q, pid, p, np.frombuffer(r["least"]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["query_id", "vec_id", "score"])
-
-    # buckets and query blocks both grow with the table: never broadcast
-    found = sent.join(buckets.select("bucket", "ids", "matrix").hint("merge"), "bucket").select("q_ids", "q_matrix", "least", "ids", "matrix").mapInArrow(answered, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+                q = Side(r, "q_")
+                floor, found = np.full(len(q.ids), -np.inf), {}
+                for p in sorted(r["seeds"] or (), key=lambda x: -x["longest"]):
+                    for i, hits in best(q, Side(p | {"dim": r["dim"]}), floor, k).items():
+                        found[i] = _first(tuple(np.concatenate(x) for x in zip(found[i], hits, strict=True)), k) if i in found else hits
+                        if len(found[i][0]) >= k:
+                            floor[i] = found[i][2][k - 1]
+                least.append(floor)
+                answer = _rows(q, found)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, answer.schema) as writer:
+                    writer.write_batch(answer)
+                answers.append(sink.getvalue().to_pybytes())
+            keep = ["dim", "q_ids", "q_rows", "q_matrix", "q_longest"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in keep), pa.array([x.tobytes() for x in least], pa.binary()), pa.array([float(x.min(initial=np.inf)) for x in least], pa.float64()), pa.array(answers, pa.binary())],
+                [*keep, "least", "lowest", "answers"])
+
+    # a few matrices of at most SEED_BYTES in all: their size is bounded, so they may be broadcast
+    first = buckets.where(F.col("bucket").isin(seeds)).groupBy("dim").agg(F.collect_list(F.struct("longest", "ids", "rows", "matrix")).alias("seeds"))
+    kept = "dim int, q_ids binary, q_rows binary, q_matrix binary, q_longest double"
+    blocks = cut(blocks.join(F.broadcast(first), "dim", "left").select("dim", "q_ids", "q_rows", "q_matrix", "q_longest", "seeds").mapInArrow(seeded, f"{kept}, least binary, lowest double, answers binary"))
+    others = [(d, -x, b) for d, x, b in lengths if b not in set(seeds)]
+    reach = F.array(*[F.struct(F.lit(d).alias("dim"), F.lit(float(x)).alias("longest"), F.lit(b).alias("bucket")) for d, x, b in others])
+    found = blocks.select("answers").mapInArrow(_unpacked, _FOUND)
+    if others:
+        sent = blocks.withColumn("to", F.explode(F.filter(reach, lambda x: (x["dim"] == F.col("dim")) & (x["longest"] * F.col("q_longest") >= F.col("lowest") * (1 - 1e-12)))))
+        sent = sent.select("dim", "q_ids", "q_rows", "q_matrix", "least", F.col("to.bucket").alias("bucket"))
+
+        def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    q = Side(r, "q_")
+                    yield _rows(q, best(q, Side(r), np.frombuffer(r["least"]), k))
+
+        # buckets and query blocks both grow with the table: never broadcast
+        met = sent.join(buckets.select("bucket", "ids", "rows", "matrix").hint("merge"), "bucket")
+        found = found.unionByName(met.select("dim", "q_ids", "q_rows", "q_matrix", "least", "ids", "rows", "matrix").mapInArrow(answered, _FOUND))
+    by = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column("answers"):
+            with pa.ipc.open_stream(x.as_buffer()) as reader:
+                yield from reader

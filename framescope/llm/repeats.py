@@ -6,20 +6,26 @@ Every LENGTH-byte string holds an anchor: the leftmost least hash among its GRAM
 choice that depends on its bytes alone, so equal strings have equal anchors at equal places. Each
 anchor's *context* is all bytes of its document that a LENGTH-byte string around it can reach.
 
-1. Anchors are dealt out by hash. Documents with equal contexts form a class: all but the class's
-   smallest document lose the whole context. Anchors of one document end here.
+1. Documents with equal contexts form a class: all but the class's smallest document lose the whole
+   context. Tasks settle that among their own FLUSH anchors before anything moves, so a copied
+   document costs a row a task; then anchors are dealt out by hash. An anchor with more than SPREAD
+   contexts among those FLUSH (it has over SPREAD / FLUSH of all rows) is dealt out by context
+   instead, with a mark to its own place. Anchors of one document end here.
 2. Where an anchor has several classes, one context of each is fetched. Sorted by what follows the
    anchor they are a suffix array sampled at anchors; its longest-common-prefix array is scanned with
    a stack into the tree of common-prefix intervals. For each interval and each left extension that
    its depth leaves to reach LENGTH, members are parted by the bytes before the anchor (the left
    diversity test); each part is a repeat with all its occurrences, and all but the smallest
    document's lose it.
+   (A class found in several places has a context in each, and the same test parts their documents.)
 3. Anchors with more than HOT classes (the edges of a passage that very many documents share) do not
    go to one task: their strings are dealt out singly, minima combined before the shuffle.
 4. A last pass over the texts marks and cuts the bytes.
 
 Null text is empty. Null doc_id is neither smaller nor larger than any other: such rows stay whole.
-Rows that repeat a doc_id do not affect one another. Extra columns are ignored.
+Rows that repeat a doc_id do not affect one another. Extra columns are ignored. Texts of fewer than
+LENGTH bytes stay whole. A very long text is handled by one task, with some tens of bytes of working
+memory for each of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +42,11 @@ from pyspark.sql import functions as F
 from .common import cut
 from .kernel import _tables, grams, mix, slices
 
-LENGTH, GRAM, HOT = 50, 16, 16384
+LENGTH, GRAM, HOT = 50, 16, 4096
+FLUSH, SPREAD = 1 << 20, 64
+BROADCAST_KEYS = 1 << 20  # anchors of more than HOT classes that are broadcast, 17 bytes each
+_PLAIN, _SPREAD, _MARK, _FULL = range(4)
+_FIRST = -(1 << 63)  # the context of a mark: it sorts first
 
 
 class Anchors:
@@ -79,34 +89,75 @@ class Anchors:
         return mix((self.total[end] - self.total[start]) * self.inverse[start])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = np.asarray(batch.column("doc_id"))
-        for a, _, data, offsets in slices(batch.column("text")):
-            x = Anchors(data, offsets)
-            order = np.lexsort((x.context, x.doc))
-            doc, context = x.doc[order], x.context[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (context[1:] != context[:-1])
-            order = order[new]
-            yield pa.RecordBatch.from_arrays([pa.array(x.key[order].view(np.int64)), pa.array(x.context[order].view(np.int64)), pa.array(ids[x.doc[order] + a])], ["key", "context", "doc_id"])
+def combined(key: np.ndarray, context: np.ndarray, doc: np.ndarray, spread: int) -> tuple[np.ndarray, ...]:
+    """(key, context, doc, kind) of some anchors: the smallest document of each context, spread out
+    where its key has more than `spread` of them; marks of such keys; and, as full, all other documents."""
+    order = np.lexsort((doc, context))
+    key, context, doc = key[order], context[order], doc[order]
+    new = np.ones(len(order), bool)
+    new[1:] = context[1:] != context[:-1]
+    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc
+    again = np.zeros(len(order), bool)
+    again[1:] = ~new[1:] & (doc[1:] == doc[:-1])
+    full = ~new & ~again & (doc > least)
+    kind = np.where(full, _FULL, _PLAIN).astype(np.int8)
+    bucket = (key[new].view(np.uint64) >> np.uint64(44)).astype(np.int64)  # 2**20 counters find the few keys worth a look
+    many = np.flatnonzero(new)[np.bincount(bucket, minlength=1 << 20)[bucket] > spread]
+    value, place, n = np.unique(key[many], return_inverse=True, return_counts=True)
+    kind[many[n[place] > spread]] = _SPREAD
+    marks = value[n > spread]
+    kept = new | full
+    pad = lambda v, dtype: np.full(len(marks), v, dtype)
+    return tuple(np.concatenate(x) for x in ((key[kept], marks), (context[kept], pad(_FIRST, np.int64)), (doc[kept], pad(0, np.int64)), (kind[kept], pad(_MARK, np.int8))))
+
+
+def _anchors(flush: int, spread: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            parts = combined(*(np.concatenate(x) for x in zip(*held, strict=True)), spread)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["key", "context", "doc_id", "kind"])
+
+        for batch in batches:
+            ids = np.asarray(batch.column("doc_id"))
+            for a, _, data, offsets in slices(batch.column("text")):
+                x = Anchors(data, offsets)
+                held.append((x.key.view(np.int64), x.context.view(np.int64), ids[x.doc + a].astype(np.int64)))
+                size += len(x.key)
+                if size >= flush:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    return run
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, context and document: those that lose their context (full), and the first
-    row of each class where a key has several. Holds one row of a key, whatever its size."""
+    row of each class where a key has several, is marked or is spread. Holds one row of a key,
+    whatever its size."""
     last = (None, None, None)
     head, several = None, False
+    names = ["key", "context", "doc_id", "full"]
     for batch in batches:
-        key, context, doc = (np.asarray(batch.column(x)) for x in ("key", "context", "doc_id"))
+        known = np.asarray(batch.column("kind")) == _FULL
+        if known.any():
+            part = batch.filter(pa.array(known)).select(names[:3])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.ones(part.num_rows, bool))], names)
+            batch = batch.filter(pa.array(~known))
+        key, context, doc, kind = (np.asarray(batch.column(x)) for x in ("key", "context", "doc_id", "kind"))
         n = len(key)
         if not n:
             continue
         new = np.concatenate([[key[0] != last[0]], key[1:] != key[:-1]])
         fresh = new | np.concatenate([[context[0] != last[1]], context[1:] != context[:-1]])
         again = ~fresh & np.concatenate([[doc[0] == last[2]], doc[1:] == doc[:-1]])
-        full = np.flatnonzero(~fresh & ~again)
-        second = np.flatnonzero(fresh & ~new)
+        full = np.flatnonzero(~fresh & ~again & (context != _FIRST))
+        spread = kind == _SPREAD
+        second = np.flatnonzero(fresh & (~new | spread))
         group = np.cumsum(new)
         opens = np.ones(len(second), bool)
         opens[1:] = group[second[1:]] != group[second[:-1]]
@@ -114,11 +165,13 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             opens[0] = False
         start = np.where(new, np.arange(n), -1)
         np.maximum.accumulate(start, out=start)
-        heads = start[second[opens]]
+        begins = second[opens]
+        heads = start[begins[~new[begins]]]  # a spread head tells itself
         k, c, d = ([*x[second], *[h[j] if i < 0 else x[i] for i in heads]] for j, (x, h) in enumerate(((key, head or (0,) * 3), (context, head or (0,) * 3), (doc, head or (0,) * 3))))
+        k, c, d = (np.array(x, np.int64) for x in (k, c, d))
+        real = c != _FIRST
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([key[full], np.array(k, np.int64)])), pa.array(np.concatenate([context[full], np.array(c, np.int64)])), pa.array(np.concatenate([doc[full], np.array(d, np.int64)])),
-             pa.array(np.arange(len(full) + len(k)) < len(full))], ["key", "context", "doc_id", "full"])
+            [pa.array(np.concatenate([key[full], k[real]])), pa.array(np.concatenate([context[full], c[real]])), pa.array(np.concatenate([doc[full], d[real]])), pa.array(np.arange(len(full) + real.sum()) < len(full))], names)
         inside = len(second) and group[second[-1]] == group[-1]
         several = bool(inside) or (several and not new.any())
         if new.any():
@@ -309,10 +362,12 @@ def remove(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless told otherwise, kept (binary)
     for every row of docs."""
     named = docs.where("doc_id is not null").select("doc_id", "text")
-    found = named.mapInArrow(_anchors, "key long, context long, doc_id long").repartition("key").sortWithinPartitions("key", "context", "doc_id")
+    kinds = F.when(F.col("kind") == _SPREAD, F.xxhash64("context")).when(F.col("kind") == _FULL, F.xxhash64("context", "doc_id")).otherwise(F.col("key"))
+    found = named.mapInArrow(_anchors(FLUSH, SPREAD), "key long, context long, doc_id long, kind byte").repartition(kinds).sortWithinPartitions("key", "context", "doc_id")
     found = cut(found.mapInArrow(_classes, "key long, context long, doc_id long, full boolean"))
     first = found.where("not full").select("key", "context", "doc_id")
-    crowded = first.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
+    crowded = cut(first.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")))
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
     asked = first.join(crowded, "key", "left").groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("hot").isNull(), F.col("context"))).alias("some"), F.collect_list(F.when(F.col("hot"), F.col("context"))).alias("hot"))
     fetched = cut(named.join(asked, "doc_id").select("doc_id", "text", "some", "hot").mapInArrow(_fetch, "key long, context long, doc_id long, back int, string long, left binary, right binary"))

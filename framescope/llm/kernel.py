@@ -124,7 +124,7 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     left = count[words.doc] - place
     for j in range(width):
         part = np.zeros(n, np.uint64)
-        part[: n - j] = words.hash[j:]
+        part[: max(0, n - j)] = words.hash[j:]
         out += np.where(left > j, part * step[j % len(step)] + np.uint64(j + 1), 0).astype(np.uint64)
     kept = (left >= width) | ((place == 0) & (count[words.doc] < width))
     doc, value = words.doc[kept], mix(out[kept])

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,14 +248,32 @@ def near_texts():
     return out + [f"{prose(200 + i, 25)} {shared} {prose(300 + i, 5)}" for i in range(20)]
 
 
-@pytest.mark.parametrize("tile", [1024, 5])
-def test_jaccard_join(spark, monkeypatch, tile):
-    monkeypatch.setattr(jaccard_join, "TILE", tile)
+@pytest.mark.parametrize(("nearest", "tile", "split", "keys"), [(256, 1024, 1 << 16, 1 << 20), (3, 5, 1 << 16, 1 << 20), (8, 4, 2, 1 << 20), (256, 1024, 1, 0)])
+def test_jaccard_join(spark, monkeypatch, nearest, tile, split, keys):
+    for name, value in (("NEAREST_TILE", nearest), ("TILE", tile), ("SPLIT", split), ("BROADCAST_KEYS", keys)):
+        monkeypatch.setattr(jaccard_join, name, value)
     texts = dict(enumerate(near_texts()))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs(spark, texts.values())).collect()}
     assert got == slow_components(texts)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 7, 1000])
+def test_buckets(batch):
+    """Every class of a part with two or more, with the smallest one; whatever the batches."""
+    rng = np.random.default_rng(batch)
+    rows = sorted({(int(p), int(c)) for p, c in rng.integers(0, 9, (60, 2))} | {(20, 3), (21, 4), (22, 1), (22, 2)})
+    rows = sorted([*rows, *rows[::3]])
+    split = {3, 5, 20}
+    table = pa.table({"part": [p for p, _ in rows], "key": pa.array([p if p in split else None for p, _ in rows], pa.int64()), "cls": [c for _, c in rows]})
+    out = pa.Table.from_batches(jaccard_join._buckets(table.to_batches(max_chunksize=batch))).to_pylist()
+    want = set()
+    for p in {p for p, _ in rows}:
+        members = {c for q, c in rows if q == p}
+        if len(members) > 1 or p in split:
+            want |= {(p if p in split else None, min(members), c) for c in members}
+    assert {(r["key"], r["hub"], r["cls"]) for r in out} == want
+
+
 def test_jaccard_join_edges(spark):
     df = doubled(docs(spark, edge_texts()))
     got = jaccard_join.join(df).collect()
@@ -266,15 +285,22 @@ def test_jaccard_join_edges(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == want
 
 
-def test_tree_pairs_lose_nothing():
+def test_tree_loses_nothing():
     rng = np.random.default_rng(4)
-    n_points, g = 300, 64
-    counts = rng.poisson(1, (20, g))[rng.integers(0, 20, n_points)] + (rng.random((n_points, g)) < 0.03)
-    n, comp = counts.sum(axis=1), rng.integers(0, 50, n_points)
-    at = np.arange(n_points)
-    i, j = jaccard_join.tree_pairs(n, counts, comp, at, at)
-    want = {(a, b) for a in at for b in at if comp[a] != comp[b] and 4 * min(n[a], n[b]) >= 3 * max(n[a], n[b]) and 7 * np.minimum(counts[a], counts[b]).sum() >= 3 * (n[a] + n[b])}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and want
+    for n_points in (2, 40, 300):
+        counts = (rng.poisson(1, (20, 64))[rng.integers(0, 20, n_points)] + (rng.random((n_points, 64)) < 0.03)).astype(np.int16)
+        n, at = counts.sum(axis=1).astype(np.int64), np.arange(n_points)
+        tree = jaccard_join.Tree(n, counts, at)
+        i, j, room = tree.pairs(at)
+        slack = {(a, b): 7 * int(np.minimum(counts[a], counts[b]).sum()) - 3 * int(n[a] + n[b]) for a in at for b in at if a != b and 4 * min(n[a], n[b]) >= 3 * max(n[a], n[b])}
+        assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), room.tolist(), strict=True)) == {k: v for k, v in slack.items() if v >= 0}
+        assert (len(tree.span) > 1) == (n_points > jaccard_join.LEAF)
+
+
+def test_representatives_with_clashing_names(spark):
+    df = docs(spark, ["a b c d e f"] * 2 + ["x y z"]).withColumn("__kept", F.lit(1)).withColumn("id", F.lit(9)).withColumn("component_id", F.lit("c"))
+    kept = jaccard_join.representatives(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {0, 2}
 
 
 # ---- decontamination ----
@@ -387,11 +413,31 @@ def test_top_k(spark, monkeypatch, kind):
     assert got == want
 
 
-def test_top_k_edges(spark):
-    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (20, [0.0, 0.0])], "id long, v array<float>")
-    got = topk.top_k(df, F.col("id") % 20 == 0, 20).collect()
-    assert len(got) == 4
+def slow_top_k(rows, k):
+    """Sorted (query id, rank, vec_id, score) over rows (id, vector), row by row."""
+    q = {n: (i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = []
+    for n, (i, a) in q.items():
+        if i % 20 == 0:
+            hits = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j, m) for m, (j, b) in q.items() if m != n and len(a) == len(b))
+            out += [(i, r + 1, j, -s) for r, (s, j, _) in enumerate(hits[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seeds", [4, 1, 0])
+def test_top_k_edges(spark, monkeypatch, seeds):
+    monkeypatch.setattr(topk, "SEEDS", seeds)
+    monkeypatch.setattr(topk, "BUCKET", 30)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) for x in rng.normal(size=(4, 4, 4, 3, 5)[i % 5])]) for i in range(400)]
+    rows += [(0, [1.0, 2.0, 0.5, 1.0]), (40, rows[40][1]), (None, [1.0] * 4), (7, [2.0] * 4), (7, [2.0] * 4), (20, []), (21, []), (60, None), (100, [0.0] * 4), (120, [2e7] * 3), (121, [2e7, -2e7, 3.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").selectExpr("id", "transform(v, x -> float(x)) v").withColumn("row", F.lit("x")).withColumn("dim", F.lit(None).cast("int"))
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, 6).collect())
+    assert got == slow_top_k(rows, 6)
     assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (20, [0.0, 0.0])], "id long, v array<float>")
+    assert topk.top_k(few, F.col("id") % 20 == 0, 20).count() == 4
 
 
 # ---- html ----
@@ -475,9 +521,11 @@ def repeat_texts():
     return out
 
 
-@pytest.mark.parametrize("hot", [16384, 1])
-def test_repeats(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "flush", "spread"), [(4096, 1 << 20, 64), (1, 1 << 20, 64), (4096, 40, 1), (4096, 300, 3), (2, 1 << 20, 0)])
+def test_repeats(spark, monkeypatch, hot, flush, spread):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "FLUSH", flush)
+    monkeypatch.setattr(repeats, "SPREAD", spread)
     texts = dict(enumerate(repeat_texts()))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove(docs(spark, texts.values())).collect()}
     assert got == slow_repeats(texts)

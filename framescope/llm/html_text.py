@@ -2,19 +2,24 @@
 
 A page is read into a small element tree that tolerates unclosed and misnested tags. Every paragraph
 passes points for its length and commas to its ancestors (all to the parent, less to each one above),
-and an element's sum is discounted by its link density. The best container and those siblings that
-score like content are kept, without what tag, role, class or id marks as menu, header, footer,
+and an element's sum is discounted by its link density. The best container and those of its siblings
+that are not mostly links are kept, without what tag, role, class or id marks as menu, header, footer,
 sidebar, notice, advert, form or reader comment; scripts, styles and comments never enter the tree.
+Where an `article` or `main` element holds the best container it is kept whole, and a sibling of it
+only if it scores like content. Should the marks leave nothing of a page that has text, those of class
+and id are passed over.
 
 Blocks are joined in page order by one space; character references are decoded and white space
-becomes one space. Null or empty html, or a page without text: the empty string. Repeated rows give
-repeated rows; extra columns are ignored. Each page is handled whole by one task in time linear in
-its length; nothing is shuffled.
+becomes one space. Null or empty html, or a page without text: the empty string. Ties between
+containers: the outer, then the earlier. Repeated rows and rows of null page_id or url give rows of
+their own; extra columns are ignored; an empty table gives an empty result. Each page is handled whole
+by one task in time about linear in its length, however deep it nests; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -42,16 +47,36 @@ _SCOPE = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd":
 _BOUND = frozenset(("table", "td", "th", "html", "body", "button", "caption"))
 _DROP_TAG = frozenset("head nav footer aside form button dialog menu label fieldset".split())
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# Parts of class and id names: those that mark boilerplate alone, and those that do so as a whole name
+# or beside one of the parts given ("related-posts" is a link list, "related-work" a section).
 _DROP_WORD = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead topbar comment comments disqus respond replies cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login "
-    "social share sharing related recommended pagination pager toolbar widget hidden skip".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
+    "footer comments disqus respond replies cookie cookies consent gdpr popup modal newsletter subscribe signup social sharing pagination pager widget".split()
 )
+_BESIDE = {
+    x: frozenset(y.split())
+    for x, y in {
+        "related": "article articles box content items links list news pages post posts reading stories topics videos",
+        "recommended": "article articles box content items links list news pages post posts reading stories topics videos",
+        "share": "article bar box buttons count icons links list post social this tools widget",
+        "skip": "content link links main nav navigation to",
+        "hidden": "visually",
+        "notice": "bar banner box copyright legal privacy site top",
+        "comment": "area author body box count field form item list meta reply respond section text thread",
+        "header": "bar fixed global inner menu nav page site sticky top wrapper",
+        "masthead": "bar global nav page site top",
+        "banner": "ad bar bottom global hero image page site top",
+        "topbar": "global inner nav page site",
+        "overlay": "box close dark inner modal page",
+        "login": "area bar box button form link",
+        "toolbar": "bar bottom page site top",
+    }.items()
+}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARAGRAPH = frozenset("p pre td blockquote dd li h1 h2 h3 h4 h5 h6 div section article main figcaption body".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _COMMA = re.compile("[,،、，]")
-_DEPTH = 400
+_NEVER = frozenset(("body", "html", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p"))  # tags that class and id do not drop
 
 
 class Node:
@@ -61,7 +86,15 @@ class Node:
         self.tag, self.parent, self.children, self.dropped, self.score = tag, parent, [], dropped, 0.0
 
 
-def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
+def _marked(name: str) -> bool:
+    """Whether one class name or id marks boilerplate."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x]
+    if not _DROP_WORD.isdisjoint(parts):
+        return True
+    return any(x in _BESIDE and (len(parts) == 1 or not _BESIDE[x].isdisjoint(parts)) for x in parts)
+
+
+def _boilerplate(tag: str, attrs: str, inside_article: bool, names: bool) -> bool:
     if tag in _DROP_TAG or tag == "header" and not inside_article:
         return True
     if not attrs or attrs.isspace():
@@ -72,30 +105,41 @@ def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in _DROP_ROLE:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and not _DROP_WORD.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+        if names and name in ("class", "id") and tag not in _NEVER and not (tag == "header" and inside_article) and any(map(_marked, value.split())):
             return True
     return False
 
 
-def parse(html: str) -> Node:
-    """The element tree of a page; strings among the children are text."""
-    root = Node("html", None)
-    stack, articles, at, size = [root], 0, 0, len(html)
-
-    def pop_to(depth: int) -> None:
-        nonlocal articles
-        for x in stack[depth:]:
-            articles -= x.tag == "article"
-        del stack[depth:]
-
-    def close(names: tuple[str, ...], stop: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                pop_to(i)
-                return
-            if stack[i].tag in stop:
-                return
+class _Open:
+    """The open elements, innermost last, and where each tag stands among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def pop_to(self, depth: int) -> None:
+        for x in self.stack[depth:]:
+            self.at[x.tag].pop()
+        del self.stack[depth:]
+
+    def last(self, tags) -> int:
+        """Depth of the innermost element of these tags; 0 if there is none."""
+        return max((self.at[x][-1] for x in tags if self.at[x]), default=0)
 
+    def close(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
+        depth = self.last(tags)
+        if depth and depth >= self.last(stop):
+            self.pop_to(depth)
+
+
+def parse(html: str, names: bool = True) -> Node:
+    """The element tree of a page; strings among the children are text. names: class and id count."""
+    root = Node("html", None)
+    open_, at, size = _Open(root), 0, len(html)
+    stack = open_.stack
     while at < size:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -114,7 +158,7 @@ def parse(html: str) -> Node:
             if tag == "br":
                 stack[-1].children.append(" ")
             else:
-                close((tag,), frozenset() if tag in ("html", "body", "article", "main", "table") else _BOUND - {tag})
+                open_.close((tag,), frozenset() if tag in ("html", "body", "article", "main", "table") else _BOUND - {tag})
             continue
         if tag in _RAW:
             over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -122,24 +166,24 @@ def parse(html: str) -> Node:
             continue
         if tag in ("html", "body"):
             if tag == "body":
-                pop_to(1)
+                open_.pop_to(1)
             continue
         if tag in _VOID:
             if tag in ("br", "hr"):
                 stack[-1].children.append(" " if tag == "br" else Node("hr", stack[-1]))
             continue
         if tag in _CLOSES_P:
-            close(("p",), _BOUND)
+            open_.close(("p",), _BOUND)
         if tag in _SAME:
-            close(_SAME[tag], _SCOPE.get(tag, frozenset()) | (frozenset(("table",)) if tag in ("tr", "td", "th") else _BOUND))
+            open_.close(_SAME[tag], _SCOPE.get(tag, frozenset()) | (frozenset(("table",)) if tag in ("tr", "td", "th") else _BOUND))
         if stack[-1].tag == "head" and tag in _BLOCK:
-            pop_to(1)
+            open_.pop_to(1)
         attrs = m["attrs"] or m["attrs2"] or ""
-        node = Node(tag, stack[-1], stack[-1].dropped or _boilerplate(tag, attrs, articles > 0))
+        node = Node(tag, stack[-1], stack[-1].dropped or _boilerplate(tag, attrs, bool(open_.at["article"]), names))
         stack[-1].children.append(node)
-        if len(stack) < _DEPTH and (not attrs.endswith("/") or tag in _BLOCK):  # as browsers do, deeper elements become siblings
-            stack.append(node)
-            articles += tag == "article"
+        # a closing slash ends an inline element at once, but not as the end of an unquoted value
+        if tag in _BLOCK or not re.search(r"(?:^|[\s\"'])/$", attrs):
+            open_.push(node)
     return root
 
 
@@ -171,14 +215,16 @@ def _render(node: Node, into: list[str], top: bool = False) -> None:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    root = parse(html)
+    return _text(parse(html)) or _text(parse(html, False))
+
+
+def _text(root: Node) -> str:
     nodes = _order(root)
-    own: dict[int, int] = {}
     links: dict[int, int] = {}
     size: dict[int, int] = {}
-    flow: dict[int, list[str]] = {}
+    flow: dict[int, deque[str]] = {}
     for x in reversed(nodes):  # children before parents
-        chars, linked, inline = 0, 0, []
+        chars, linked, inline = 0, 0, deque()
         for c in x.children:
             if isinstance(c, str):
                 chars += len(c) - c.count(" ") if c.isspace() else len(c)
@@ -187,7 +233,12 @@ def main_text(html: str | None) -> str:
                 chars += size[id(c)]
                 linked += links[id(c)]
                 if c.tag not in _BLOCK:
-                    inline += flow[id(c)]
+                    inner = flow.pop(id(c))
+                    if len(inner) > len(inline):  # the shorter one moves, so deep nesting stays cheap
+                        inner.extendleft(reversed(inline))
+                        inline = inner
+                    else:
+                        inline.extend(inner)
         size[id(x)], links[id(x)] = chars, chars if x.tag == "a" else linked
         flow[id(x)] = inline
     for x in nodes:
@@ -205,20 +256,25 @@ def main_text(html: str | None) -> str:
     if best.score <= 0:
         return ""
     top = best.score * (1 - density(best))
-    up = best
+    whole, up = False, best
     while up is not None:  # a semantic container of the best one holds the whole article
         if up.tag in ("article", "main") and not up.dropped:
-            best = up
+            best, whole = up, True
         up = up.parent
+
+    def content(x: Node) -> bool:
+        """Whether a sibling of the best container belongs to it."""
+        if not whole:
+            return density(x) < 0.5
+        text = " ".join("".join(flow[id(x)]).split()) if x.tag == "p" else ""
+        return x.score * (1 - density(x)) >= max(10.0, 0.2 * top) or bool(text) and (len(text) > 80 and density(x) < 0.25 or links[id(x)] == 0 and bool(re.search(r"\.( |$)", text)))
+
     out: list[str] = []
     for x in best.parent.children if best.parent is not None else [best]:
-        if x is best:
+        if x is best or isinstance(x, Node) and not x.dropped and content(x):
             _render(x, out)
-        elif isinstance(x, Node) and not x.dropped:
-            score = x.score * (1 - density(x))
-            text = " ".join("".join(flow[id(x)]).split()) if x.tag == "p" else ""
-            if score >= max(10.0, 0.2 * top) or text and (len(text) > 80 and density(x) < 0.25 or links[id(x)] == 0 and re.search(r"\.( |$)", text)):
-                _render(x, out)
+        elif isinstance(x, str) and not whole:
+            out.append(x)
     return " ".join("".join(out).split())
 
 

@@ -457,6 +457,82 @@ def test_main_text(html, text):
     assert isinstance(got, str) and (text is None or got == text)
 
 
+LONG = "The story goes on and on, with commas, clauses, and a long tail of words that matter to the reader."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p>Good text, today.</p>" + "<div>" * 900 + "<nav><ul><li>MENU ITEM</ul></nav>" + "</div>" * 900 + "<p>More.</p></article>", "Good text, today. More."),
+        (f"<article class='post-header related-work'><h2>Related work</h2><p>{LONG}</p><section class='related-work'><p>Section kept.</p></section><div class=related-posts>drop</div><div class='share-buttons'>drop</div></article>", f"Related work {LONG} Section kept."),
+        (f"<body><div id=c><p>{LONG}</p></div><h2>Heading two</h2><p>Tiny para</p><ul><li>an item</ul>loose<div><a href=/a>all</a> <a href=/b>links</a></div></body>", f"{LONG} Heading two Tiny para an item loose"),
+        (f"<div><p>{LONG} see <a href=/x/>there</a> and on</p><p><a name='y'/>End.</p></div>", f"{LONG} see there and on End."),
+        (f"<div class=sidebar><p>{LONG}</p></div>", LONG),
+        (f"<div><header class=site-header>top</header><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><div class='cookieNotice'>we use</div></div>", f"Title {LONG}"),
+        ("<b>" * 50_000 + "deep" + "</i>" * 50_000, "deep"), ("<td>" * 3 + "<b>x" * 20_000 + "</i>" * 20_000, "x" * 20_000),
+    ],
+)
+def test_main_text_without_losses(html, text):
+    assert html_text.main_text(html) == text
+
+
+def slow_article(html):
+    """Text of the article element by the standard library's parser, for pages made of known parts."""
+    from html.parser import HTMLParser
+
+    blocks = set("address article aside blockquote div dl dt dd fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr td th ul".split())
+    drop = {"nav", "footer", "aside", "form", "button"}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.skip, self.out = 0, [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style"):
+                self.skip.append(tag)
+            elif tag == "article":
+                self.inside += 1
+            elif self.skip or tag in drop or set((dict(attrs).get("class") or "").split()) & {"ad", "comments", "sidebar"}:
+                if tag not in ("br", "p", "li", "img", "input", "hr"):
+                    self.skip.append(tag)
+            if tag in blocks or tag == "br":
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if self.skip and tag in self.skip:
+                while self.skip.pop() != tag:
+                    pass
+            elif tag == "article":
+                self.inside -= 1
+            if tag in blocks:
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    return " ".join("".join(reader.out).split())
+
+
+def test_main_text_against_a_slow_parser():
+    rng = np.random.default_rng(14)
+    inline = ["{}", "<b>{}</b>", "<a href='/l'>{}</a>", "{} &amp; &eacute;&#8212;{}", "<em>{}<br>{}</em>", "<!-- no -->{}", "<span class=x>{}</span>"]
+    block = ["<p>{}</p>", "<p>{}", "<div>{}</div>", "<ul><li>{}<li>{}</ul>", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}<td>{}</table>", "<section><p>{}</section>", "<pre>{}\n  {}</pre>"]
+    noise = ["<aside>{}</aside>", "<div class=ad>{}</div>", "<form><button>{}</button></form>", "<script>'</p>{}'</script>", "<style>{}</style>", "<nav><ul><li>{}</ul></nav>", "<section class='comments'><p>{}</section>"]
+
+    def fill(pattern):
+        return re.sub(r"\{\}", lambda _: inline[int(rng.integers(len(inline)))].replace("{}", prose(int(rng.integers(1 << 30)), int(rng.integers(1, 12))) + rng.choice([",", ".", ""])), pattern)
+
+    for _ in range(120):
+        body = "".join(fill((noise if rng.random() < 0.3 else block)[int(rng.integers(7))]) for _ in range(int(rng.integers(3, 25))))
+        page = f"<html><head><title>t</title></head><body>{fill(noise[5])}<article><h1>{fill('{}')}</h1>{body}</article>{fill(noise[0])}<footer>{fill('{}')}</footer></body></html>"
+        assert html_text.main_text(page) == slow_article(page), page
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Hé llo</p>", "x"), (2, None, None, "y"), (None, "w", "", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(0, "w", "", 0), (1, "u", "Hé llo", 6), (2, None, "", 0)]

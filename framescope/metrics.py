@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame
 
-from framescope.operators import scoring
+from framescope.operators import logs, scoring
 from framescope.operators.pairing import pair
 
 
@@ -32,6 +36,31 @@ class Metric:
         return scoring.similarity_map(pair(reference, distorted, self.on_mismatch), self.feature, **self.options)
 
 
-def score_frames(reference: DataFrame, distorted: DataFrame, feature: object, *, on_mismatch: str = "error", **options) -> DataFrame:
-    """Pair two frame tables and score every pair."""
-    return scoring.score(pair(reference, distorted, on_mismatch), feature, **options)
+def score_frames(reference: DataFrame, distorted: DataFrame, feature: object, *, on_mismatch: str = "error", reduction: str = "none", log_path: str | None = None, log_format: str = "json", **options) -> DataFrame:
+    """Pair two frame tables and score every pair. reduction "mean": one row over all frames. With
+    log_path the scores are written there as a log first, and computed once for both."""
+    if reduction not in ("none", "mean"):
+        raise ValueError(f"reduction is 'none' or 'mean', not {reduction!r}")
+    if log_format not in logs.FORMATS:
+        raise ValueError(f"a log format is one of {logs.FORMATS}, not {log_format!r}")
+    scores = scoring.score(pair(reference, distorted, on_mismatch), feature, **options)
+    if log_path is not None:
+        scores = scores.persist()
+        logs.write(scores, log_path, log_format)
+    return scoring.batch(scores, options.get("data_range")) if reduction == "mean" else scores
+
+
+def _single(name: str) -> Callable[..., DataFrame]:
+    def metric(reference: DataFrame, distorted: DataFrame, **options) -> DataFrame:
+        return score_frames(reference, distorted, name, **options)
+
+    metric.__name__, metric.__doc__ = name, f"score_frames of {name} alone."
+    return metric
+
+
+psnr, mse, l1, charbonnier, huber, ssim, ms_ssim, gms, gmsd, lpips, ssimulacra2 = map(_single, "psnr mse l1 charbonnier huber ssim ms_ssim gms gmsd lpips ssimulacra2".split())
+
+
+def engine_status() -> dict[str, str]:
+    """Versions of what computes the scores."""
+    return {"engine": "spark", "spark": pyspark.__version__, "kernels": f"numpy {np.__version__}, float64", "transfer": f"arrow {pa.__version__}"}

@@ -25,7 +25,8 @@ def number(v: Column) -> Column:
     return F.when(F.isnan(v), "nan").when(v == inf, "inf").when(v == -inf, "-inf").otherwise(F.format_string("%.6f", v))
 
 
-def _json(v: Column) -> Column:
+def _json(v: Column, digits: int | None) -> Column:
+    v = v if digits is None else F.round(v, digits)
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.concat(F.lit('"'), number(v), F.lit('"'))).otherwise(v.cast("string"))
 
 
@@ -39,8 +40,8 @@ def _fixed(df: DataFrame, place: int, *text: str) -> DataFrame:
     return df.sparkSession.range(1, numPartitions=1).select(F.inline(rows))
 
 
-def log(scores: DataFrame, format: str) -> DataFrame:
-    """place, line: a log's text, ordered by place."""
+def log(scores: DataFrame, format: str, digits: int | None = None) -> DataFrame:
+    """place, line: a log's text, ordered by place. digits: of json's numbers, which are whole else."""
     if format not in FORMATS:
         raise ValueError(f"a log format is one of {FORMATS}, not {format!r}")
     props = [c for c in scores.columns if c not in KEYS]
@@ -66,8 +67,8 @@ def log(scores: DataFrame, format: str) -> DataFrame:
         else:
             # one object a line inside the two containers; commas lead, as the last line is not known
             first = F.lit(scores.agg(F.min("frame_no")).first()[0])
-            body = F.concat(F.when(n == first, "    ").otherwise("   ,"), F.lit('{"frameNum": '), n, F.lit(', "metrics": {'), F.concat_ws(", ", *[F.when(has(p), F.concat(F.lit(f'"{p}": '), _json(F.col(p)))) for p in props]), F.lit("}}"))
-            pool = F.concat(F.when(F.col("prop") == (props[0] if props else ""), "    ").otherwise("   ,"), F.lit('"'), F.col("prop"), F.lit('": {'), F.concat_ws(", ", *[F.concat(F.lit(f'"{s}": '), _json(F.col(s))) for s in stats]), F.lit("}"))
+            body = F.concat(F.when(n == first, "    ").otherwise("   ,"), F.lit('{"frameNum": '), n, F.lit(', "metrics": {'), F.concat_ws(", ", *[F.when(has(p), F.concat(F.lit(f'"{p}": '), _json(F.col(p), digits))) for p in props]), F.lit("}}"))
+            pool = F.concat(F.when(F.col("prop") == (props[0] if props else ""), "    ").otherwise("   ,"), F.lit('"'), F.col("prop"), F.lit('": {'), F.concat_ws(", ", *[F.concat(F.lit(f'"{s}": '), _json(F.col(s), digits)) for s in stats]), F.lit("}"))
             parts = [
                 _fixed(scores, -2, f'{{"version": "{__version__}",', '  "frames": ['), _lines(scores, n, body),
                 _fixed(scores, _LAST - 1, "  ],", '  "pooled_metrics": {'), _lines(means, order, pool), _fixed(scores, _LAST + 1 + len(props), "  }", "}"),
@@ -76,5 +77,9 @@ def log(scores: DataFrame, format: str) -> DataFrame:
 
 
 def write(scores: DataFrame, path: str, format: str, mode: str = "errorifexists") -> None:
-    """Text part files under path; in name order they are the log."""
-    log(scores, format).orderBy("place").select("line").write.mode(mode).text(path)
+    """Text part files under path; in name order they are the log. Formats with pooled statistics read
+    the scores several times: they are kept while the log is written."""
+    kept = scores if scores.storageLevel.useMemory or format in ("csv", "sub") else scores.persist()
+    log(kept, format).orderBy("place").select("line").write.mode(mode).text(path)
+    if kept is not scores or not scores.storageLevel.useMemory:
+        kept.unpersist()

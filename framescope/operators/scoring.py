@@ -44,6 +44,7 @@ class Unit:
 
     @property
     def banded(self) -> bool:
+        """Whether bands of a plane may be worked on apart; the other kinds see whole planes."""
         return self.kind == "gms" or self.kind == "pixel" and self.args != (None,) or self.kind == "ssim" and not self.args[4]
 
 
@@ -57,32 +58,49 @@ def _units(p: Plan) -> list[Unit]:
         return [Unit("ssim", s, *base, (o["win_size"], float(o["sigma"]), *map(float, o["K"]), bool(o.get("downsample")))) for s in scales]
     if f.kind == "gms":
         return [Unit("gms", int(o["downsample"]), *base, (o["T"], o["eps"]))]
-    return [Unit(f.kind, 0, *base)]
+    return [Unit(f.kind, 0, *base, (f.function,) if f.kind == "custom" else ())]
 
 
-def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None = None) -> list[float]:
-    """The sums of one band; x and y are (planes, rows, columns)."""
+_PLAIN = {"psnr": 1, "mse": 1, "l1": 2, "charbonnier": 3, "huber": 4}  # which sum a pixel feature reads
+_ROWS = 32  # rows of a map computed at a time, so that its parts stay in cache
+
+
+def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None = None, wanted: tuple[str, ...] = ("mse", "l1", "charbonnier", "huber")) -> list[float]:
+    """The sums of one band; x and y are (planes, rows, columns) of samples as stored."""
     if unit.crop:
         x, y = (v[..., unit.crop : v.shape[-1] - unit.crop] for v in (x, y))
+    if unit.kind == "pixel" and not unit.luma:
+        return [float(x.size), *pixels.pixel_sums(x, y, *unit.args, wanted)]
+    if unit.kind == "ssimulacra2":
+        if len(x) == 1:
+            x, y = (np.repeat(v, 3, axis=0) for v in (x, y))
+        return [1.0, pixels.ssimulacra2(x, y, peak)]
+    x, y = x.astype(np.float64), y.astype(np.float64)
     if unit.luma:
         if len(x) != 3:
             raise ValueError(f"luma needs 3 planes, not {len(x)}")
         x, y = pixels.luma(x, unit.luma, peak), pixels.luma(y, unit.luma, peak)
     if unit.kind == "pixel":
-        return [float(x.size), *pixels.pixel_sums(x, y, *unit.args)]
-    if unit.kind in ("ssimulacra2", "lpips"):
+        return [float(x.size), *pixels.pixel_sums(x, y, *unit.args, wanted)]
+    if unit.kind == "custom":
+        return [1.0, float(unit.args[0](x, y, peak))]
+    if unit.kind == "lpips":
         if len(x) == 1:
             x, y = (np.repeat(v, 3, axis=0) for v in (x, y))
-        if unit.kind == "ssimulacra2":
-            return [1.0, pixels.ssimulacra2(x, y, peak)]
         return [1.0, sum(float(m.mean()) for m in pixels.lpips_maps(x, y, peak, net))]
     for _ in range(unit.scale):
         x, y = pixels.halved(x), pixels.halved(y)
     if unit.kind == "gms":
         q = gms(unit, x, y, peak)
         return [float(q.size), float(q.sum()), float(((q - q.mean()) ** 2).sum()), float(q.sum() ** 2 / q.size)]
-    full, contrast = ssim(unit, x, y, peak)
-    return [float(full.size), float(full.sum()), float(contrast.sum())]
+    if unit.args[4]:
+        x, y = pixels.shrunk(x), pixels.shrunk(y)
+    out = [0.0, 0.0, 0.0]
+    for top in range(0, x.shape[1] - unit.halo, _ROWS):
+        part = slice(top, min(top + _ROWS + unit.halo, x.shape[1]))
+        full, contrast = ssim(unit, x[:, part], y[:, part], peak)
+        out = [a + float(b) for a, b in zip(out, (full.size, full.sum(), contrast.sum()), strict=True)]
+    return out
 
 
 def gms(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float) -> np.ndarray:
@@ -91,9 +109,7 @@ def gms(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float) -> np.ndarray:
 
 
 def ssim(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float) -> tuple[np.ndarray, np.ndarray]:
-    size, sigma, k1, k2, shrink = unit.args
-    if shrink:
-        x, y = pixels.shrunk(x), pixels.shrunk(y)
+    size, sigma, k1, k2, _ = unit.args
     return pixels.ssim_maps(x, y, peak, pixels.gaussian(size, sigma), k1, k2)
 
 
@@ -155,14 +171,14 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool) -> DataFrame:
     return rows.select(*KEYS, "dtype", "bits", "unit", "plane", F.when(whole, F.size("ref")).otherwise(1).alias("n"), "rows", F.get("ref", F.col("plane"))["width"].alias("width"), cut("ref").alias("r"), cut("dist").alias("d"))
 
 
-def _run(units: list[Unit], net: dict | None):
+def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 unit = units[r["unit"]]
                 shape = (r["n"], r["rows"], r["width"])
-                out.append(sums(unit, pixels.decode(r["r"], r["dtype"], *shape), pixels.decode(r["d"], r["dtype"], *shape), r["peak"], net))
+                out.append(sums(unit, pixels.samples(r["r"], r["dtype"], *shape), pixels.samples(r["d"], r["dtype"], *shape), r["peak"], net, wanted))
             keep = [*KEYS, "unit", "plane", "peak"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.float64()))], [*keep, "s"])
 
@@ -188,7 +204,7 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
     bands = _exploded(pairs, units, any(p.feature.scope == "rgb" for p in plans))
     ranges = reduce(lambda c, i: c.when(F.col("unit") == i, peak(F.col("dtype"), F.col("bits"), units[i].peak)), range(len(units)), F.when(F.lit(False), 0.0))
     bands = bands.withColumn("peak", ranges)
-    done = bands.mapInArrow(_run(units, nets[0] if nets else None), "clip_id string, frame_no long, unit int, plane int, peak double, s array<double>")
+    done = bands.mapInArrow(_run(units, nets[0] if nets else None, tuple(sorted({p.feature.name.replace("psnr", "mse") for p in plans if p.feature.name in _PLAIN}))), "clip_id string, frame_no long, unit int, plane int, peak double, s array<double>")
     place = {u: i for i, u in enumerate(units)}
     n_planes = len(SUFFIXES[color_family])
     total: dict[str, Column] = {}
@@ -206,7 +222,7 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
         if f.scope == "per_plane":
             for plane in range(1 if u.whole else n_planes):
                 name = f.column + ("" if u.whole else SUFFIXES[color_family][plane])
-                mean = of(u, plane, {"psnr": 1, "mse": 1, "l1": 2, "charbonnier": 3, "huber": 4}[f.name]) / of(u, plane, 0)
+                mean = of(u, plane, _PLAIN[f.name]) / of(u, plane, 0)
                 if f.name == "psnr":
                     top = f"p{place[u]}"
                     total[top] = F.max(F.when(F.col("unit") == place[u], F.col("peak"))).alias(top)
@@ -242,15 +258,18 @@ def append(distorted: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def batch(scores: DataFrame, data_range: float | None = None) -> DataFrame:
-    """One row: each score's mean over all frames. PSNR is that of the mean MSE, not the mean PSNR,
-    where the MSE of the plane is among the scores and data_range is given."""
+    """One row: each score's mean over all frames; PSNR is that of the mean squared error, which frames
+    of one data range (or the given one, where their errors are there too) give without it."""
     names = [c for c in scores.columns if c not in KEYS]
 
     def one(c: str) -> Column:
+        if not c.startswith("psnr"):
+            return F.avg(c).alias(c)
         partner = "mse" + c.removeprefix("psnr")
-        if c.startswith("psnr") and partner in names and data_range is not None:
+        if partner in names and data_range is not None:
             return psnr(F.avg(partner), F.lit(float(data_range))).alias(c)
-        return F.avg(c).alias(c)
+        share = F.avg(F.pow(F.lit(10.0), -F.col(c) / 10))  # the mean error over the squared range
+        return F.when(share == 0, F.lit(float("inf"))).otherwise(-10 * F.log10(F.when(share > 0, share))).alias(c)
 
     return scores.agg(*map(one, names))
 
@@ -263,33 +282,71 @@ def losses(scores: DataFrame) -> DataFrame:
     return scores.select(*KEYS, *out, *(F.col(c).alias(f"loss_{c}") for c in scores.columns if c.startswith(same)))
 
 
-def similarity_map(pairs: DataFrame, feature: str, **common) -> DataFrame:
-    """clip_id, frame_no, c, height, width, data (row by row): the map of ssim, gms or gmsd."""
-    p = plan(feature, common)[0]
-    if p.feature.kind not in ("ssim", "gms") or p.feature.name == "ms_ssim":
+def _grown(m: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear growth of a map to a size, samples at cell centres."""
+    def axis(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
+        low = np.minimum(at.astype(np.int64), max(n - 2, 0))
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    (a, b, u), (c, d, v) = axis(m.shape[0], height), axis(m.shape[1], width)
+    rows = m[a] * (1 - u)[:, None] + m[b] * u[:, None]
+    return rows[:, c] * (1 - v) + rows[:, d] * v
+
+
+def similarity_map(pairs: DataFrame, feature: str, options: dict[str, dict] | None = None, **common) -> DataFrame:
+    """clip_id, frame_no, c, height, width, data (row by row): the map of ssim, gms, gmsd or lpips. A
+    task holds a frame; only bytes and finished Arrow lists are kept, never Python numbers."""
+    p = plan(feature, common, options)[0]
+    if p.feature.kind not in ("ssim", "gms", "lpips") or p.feature.name == "ms_ssim":
         raise ValueError(f"{feature} has no map")
-    unit = _units(p)[0]
+    unit, net = _units(p)[0], p.options.get("net")
+    if unit.kind == "lpips" and net is None:
+        raise FileNotFoundError("lpips needs its weights: pass options={'lpips': {'net': load_weights(path)}}")
+
+    def maps(x: np.ndarray, y: np.ndarray, peak: float) -> np.ndarray:
+        if unit.crop:
+            x, y = (v[:, unit.crop : v.shape[1] - unit.crop, unit.crop : v.shape[2] - unit.crop] for v in (x, y))
+        if unit.luma:
+            x, y = pixels.luma(x, unit.luma, peak), pixels.luma(y, unit.luma, peak)
+        if unit.kind == "lpips":
+            x, y = (np.repeat(v, 3 // len(v), axis=0) for v in (x, y))
+            return sum(_grown(m, *x.shape[1:]) for m in pixels.lpips_maps(x, y, peak, net))[None]
+        for _ in range(unit.scale):
+            x, y = pixels.halved(x), pixels.halved(y)
+        if unit.kind == "ssim" and unit.args[4]:
+            x, y = pixels.shrunk(x), pixels.shrunk(y)
+        return gms(unit, x, y, peak) if unit.kind == "gms" else ssim(unit, x, y, peak)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                x, y = (pixels.decode(r[k], r["dtype"], r["n"], r["rows"], r["width"]) for k in ("r", "d"))
-                if unit.crop:
-                    x, y = (v[:, unit.crop : v.shape[1] - unit.crop, unit.crop : v.shape[2] - unit.crop] for v in (x, y))
-                if unit.luma:
-                    x, y = pixels.luma(x, unit.luma, r["peak"]), pixels.luma(y, unit.luma, r["peak"])
-                for _ in range(unit.scale):
-                    x, y = pixels.halved(x), pixels.halved(y)
-                m = gms(unit, x, y, r["peak"]) if unit.kind == "gms" else ssim(unit, x, y, r["peak"])[0]
-                out += [{"clip_id": r["clip_id"], "frame_no": r["frame_no"], "c": c, "height": v.shape[0], "width": v.shape[1], "data": v.ravel().tolist()} for c, v in enumerate(m)]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("clip_id", pa.string()), ("frame_no", pa.int64()), ("c", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("data", pa.list_(pa.float64()))]))
-
-    rows = _exploded(pairs, [Unit("pixel", 0, True, 0, None, None, (None,))], False)
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                m = maps(*(pixels.decode(r[k], r["dtype"], r["n"], r["rows"], r["width"]) for k in ("r", "d")), r["peak"])
+                n, size = len(m), m[0].size
+                data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(m.ravel()))
+                same = lambda v, t: pa.array([v] * n, t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [same(r["clip_id"], pa.string()), same(r["frame_no"], pa.int64()), pa.array(range(n), pa.int32()), same(m.shape[1], pa.int32()), same(m.shape[2], pa.int32()), data],
+                    ["clip_id", "frame_no", "c", "height", "width", "data"])
+
+    rows = _exploded(pairs, [Unit("pixel", 0, True, 0, None, None, (None,))], unit.kind == "lpips")
     rows = rows.withColumn("peak", peak(F.col("dtype"), F.col("bits"), unit.peak))
     return rows.mapInArrow(run, "clip_id string, frame_no long, c int, height int, width int, data array<double>")
 
 
+def random_net(seed: int = 0) -> dict:
+    """A trunk of the usual shape with seeded random weights: for tests and timing, never for scores."""
+    rng, last = np.random.default_rng(seed), 3
+    net: dict[str, list] = {x: [] for x in ("weight", "bias", "lin", "stride", "padding", "pool")}
+    for channels, size, stride, padding, pool in ((16, 11, 4, 2, False), (24, 5, 1, 2, True), (32, 3, 1, 1, True)):
+        layer = (rng.normal(0, (2 / (last * size * size)) ** 0.5, (channels, last, size, size)), rng.normal(0, 0.01, channels), rng.random(channels), stride, padding, pool)
+        for values, x in zip(net.values(), layer, strict=True):
+            values.append(x)
+        last = channels
+    return net
+
+
 def load_weights(path: str) -> dict:
     """Trunk weights from an .npz: format_version 1; weight0.., bias0.., lin0.. and the arrays
     stride, padding and pool_before, one entry a layer."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from framescope.functions.pixels import LUMA, MS_SSIM_WEIGHTS
@@ -21,6 +21,7 @@ class Feature:
     column: str
     kind: str
     defaults: dict = field(default_factory=dict, hash=False)
+    function: Callable | None = None  # of a registered metric
 
 
 FEATURES = (
@@ -43,32 +44,39 @@ _COMMON = {"luma": None, "crop_border": 0, "data_range": None}
 
 
 def available_features() -> dict[str, int]:
-    return {f.name: f.id for f in FEATURES}
+    return {f.name: f.id for f in _BY_NAME.values()}
+
+
+def register_metric(name: str, function: Callable, scope: str = "image") -> Feature:
+    """Make function(reference, distorted, data_range) -> float a feature of this session; it gets float64
+    arrays (planes, rows, columns): the luma of GRAY and YUV frames or, for RGB, one plane at a time
+    (scope image), or all three planes (scope rgb)."""
+    if name in _BY_NAME:
+        raise ValueError(f"{name} is taken")
+    if scope not in ("image", "rgb"):
+        raise ValueError(f"scope is 'image' or 'rgb', not {scope!r}")
+    f = Feature(max(_BY_ID) + 1, name, scope, name, "custom", {}, function)
+    _BY_NAME[name] = _BY_ID[f.id] = f
+    return f
+
+
+def _feature(x: object) -> Feature:
+    """The feature of one name or id."""
+    if isinstance(x, bool) or not (isinstance(x, str) or hasattr(x, "__index__")):
+        raise TypeError(f"a feature is an id or a name, not {type(x).__name__}")
+    key = x.strip().lower().replace("-", "_") if isinstance(x, str) else int(x)
+    found = (_BY_NAME if isinstance(x, str) else _BY_ID).get(key)
+    if found is None:
+        raise ValueError(f"feature {x} ({_ELSEWHERE[key]}) is not computed here" if key in _ELSEWHERE else f"unknown feature {x!r}; known are {available_features()}")
+    return found
 
 
 def resolve(feature: object) -> list[Feature]:
     """Features by id or name, in order, each once."""
-    if feature is None:
-        raise ValueError(f"no feature given; known are {sorted(_BY_NAME)}")
-    single = isinstance(feature, str) or hasattr(feature, "__index__") and not isinstance(feature, bool)
-    if not single and not isinstance(feature, Iterable):
-        raise TypeError(f"a feature is an id, a name or a sequence of them, not {type(feature).__name__}")
-    found: list[Feature] = []
-    for x in [feature] if single else feature:
-        if isinstance(x, str):
-            f = _BY_NAME.get(x.strip().lower().replace("-", "_"))
-        elif hasattr(x, "__index__") and not isinstance(x, bool):
-            if int(x) in _ELSEWHERE:
-                raise ValueError(f"feature {int(x)} ({_ELSEWHERE[int(x)]}) is not computed here")
-            f = _BY_ID.get(int(x))
-        else:
-            raise TypeError(f"a feature is an id or a name, not {type(x).__name__}")
-        if f is None:
-            raise ValueError(f"unknown feature {x!r}; known are {available_features()}")
-        if f not in found:
-            found.append(f)
+    many = isinstance(feature, Iterable) and not isinstance(feature, str)
+    found = list(dict.fromkeys(map(_feature, feature if many else () if feature is None else (feature,))))
     if not found:
-        raise ValueError("no feature given")
+        raise ValueError(f"no feature given; known are {sorted(_BY_NAME)}")
     return found
 
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framescope import __version__
 from framescope.functions import pixels
 from framescope.functions.pixels import LUMA, MS_SSIM_WEIGHTS, gaussian
+from framescope.metrics import score_frames
 from framescope.operators import logs, pooling, scoring
 from framescope.operators.pairing import KEYS, pair
 from framescope.sources import frames
@@ -28,6 +30,36 @@ def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair(*frames.synthetic(spark, 2))
 
 
+def _large(side: int, n: int, rgb: bool = False) -> Query:
+    def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = frames.synthetic(spark, n, side)
+        return pair(*((frames.rgb(x, f"rgb{side}") for x in found) if rgb else found))
+
+    return source
+
+
+def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair(*frames.from_embeddings(spark, sf_dir, bits=10))
+
+
+def _float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair(*(frames.as_float(x, "emb64_f32") for x in frames.from_embeddings(spark, sf_dir)))
+
+
+def _yuv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair(*(frames.yuv420(x, "yuv64") for x in frames.from_embeddings(spark, sf_dir)))
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, dist = frames.from_embeddings(spark, sf_dir)
+    whole = scoring.append(dist, scoring.score(_pairs(spark, sf_dir), ["psnr", "l1"], color_family="GRAY"))
+    return _rounded(whole.select(*KEYS, "color_family", "bits", F.md5(F.col("planes")[0]["data"]).alias("dist_md5"), "psnr", "l1"))
+
+
+def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(score_frames(*frames.from_embeddings(spark, sf_dir), ["psnr", "l1", "ssim"], color_family="GRAY", reduction="mean"))
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -55,7 +87,7 @@ ALL = ["mse", "psnr", "l1", "charbonnier", "huber", "ssim", "gms", "gmsd"]
 
 def _log(format: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return logs.log(_scored(_pairs, ["psnr", "gmsd"])(spark, sf_dir), format)
+        return logs.log(_scored(_pairs, ["psnr", "gmsd"])(spark, sf_dir), format, digits=6)
 
     return query
 
@@ -79,6 +111,13 @@ def queries() -> dict[str, Query]:
         "worst_frames": lambda s, d: pooling.worst(_scored(_pairs, "psnr")(s, d), "psnr", 3),
         "loss": _scored(_pairs, ["l1", "charbonnier", "huber", "ssim", "gms"], finish=scoring.losses),
         "ssimulacra2": _scored(_rgb, "ssimulacra2", "RGB"),
+        "yuv420": _scored(_yuv, ["mse", "psnr", "l1", "ssim", "gmsd"], "YUV"),
+        "gray10": _scored(_deep, ALL),
+        "float32": _scored(_float, ALL),
+        "ssim_downsample": _scored(_large(384, 2), "ssim", downsample=True),
+        "ssimulacra2_odd6": _scored(_large(257, 6, True), "ssimulacra2", "RGB"),
+        "lpips_random": _scored(_rgb, "lpips", "RGB", options={"lpips": {"net": scoring.random_net()}}),
+        "append_scores": _appended, "reduction_mean": _reduced,
         "log_json": _log("json"), "log_xml": _log("xml"), "log_csv": _log("csv"), "log_sub": _log("sub"),
     }
     for name in ALL:
@@ -92,23 +131,42 @@ def queries() -> dict[str, Query]:
 
 # ---- the same rows in SQL, over long pixel relations px(f, c, y, x, r, d) ----
 
-_EMB = """
+def _emb(bits: int = 8) -> str:
+    top, scale = (1 << bits) - 1, 1 << (bits - 8)
+    return f"""
 e AS (SELECT vec_id // 64 AS f, 0 AS c, vec_id % 64 AS y, unnest(range(64)) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings),
 g AS (SELECT f FROM e GROUP BY f HAVING count(*) = 4096),
-i AS (SELECT f, c, y, x, greatest(0, least(255, floor(128 + 400 * v)))::BIGINT AS r FROM e JOIN g USING (f)),
-raw AS (SELECT *, greatest(0, least(255, r + (7 * x + 13 * y + 5 * f) % 17 - 8)) AS d FROM i)"""
+i AS (SELECT f, c, y, x, greatest(0, least({top}, floor({scale} * (128 + 400 * v))))::BIGINT AS r FROM e JOIN g USING (f)),
+raw AS (SELECT *, greatest(0, least({top}, r + {scale} * ((7 * x + 13 * y + 5 * f) % 17 - 8))) AS d FROM i)"""
+
+
+_EMB = _emb()
+_FLOAT = f"""{_EMB},
+raw1 AS (SELECT f, c, y, x, r / 256 AS r, d / 256 AS d FROM raw)"""
 _RGB = f"""{_EMB},
 raw3 AS (SELECT f // 3 AS f, f % 3 AS c, y, x, r, d FROM raw WHERE f // 3 < (SELECT count(*) FROM g) // 3)"""
-_SYN = """
-k AS (SELECT unnest(range(2 * 192 * 192)) AS id),
-i AS (SELECT id // 36864 AS f, 0 AS c, id // 192 % 192 AS y, id % 192 AS x FROM k),
+_YUV = f"""{_RGB},
+raw4 AS (SELECT * FROM raw3 WHERE c = 0 OR x < 32 AND y < 32)"""
+
+
+def _syn(side: int = 192, n: int = 2, rgb: bool = False) -> str:
+    return f"""
+k AS (SELECT unnest(range({n * side * side})) AS id),
+i AS (SELECT id // {side * side} AS f, 0 AS c, id // {side} % {side} AS y, id % {side} AS x FROM k),
 j AS (SELECT *, (7 * x + 3 * y + 29 * (x // 16) * (y // 16) + 31 * f) % 256 AS r FROM i),
-raw AS (SELECT *, greatest(0, least(255, r + (5 * x + 11 * y + 7 * f) % 23 - 11)) AS d FROM j)"""
+flat AS (SELECT *, greatest(0, least(255, r + (5 * x + 11 * y + 7 * f) % 23 - 11)) AS d FROM j),
+raw AS (SELECT {'f // 3 AS f, f % 3 AS c' if rgb else 'f, c'}, y, x, r, d FROM flat)"""
+
+
+_SOURCES = {
+    "emb": (_EMB, "raw"), "rgb": (_RGB, "raw3"), "syn": (_syn(), "raw"), "deep": (_emb(10), "raw"), "float": (_FLOAT, "raw1"), "yuv": (_YUV, "raw4"),
+    "syn384": (_syn(384), "raw"), "syn257": (_syn(257, 6, True), "raw"),
+}
 
 
 def _px(source: str, width: int, height: int, crop: int = 0, luma: str | None = None, same: bool = False) -> tuple[str, int, int]:
     """CTEs that end in px, and its width and height."""
-    text, last = {"emb": (_EMB, "raw"), "rgb": (_RGB, "raw3"), "syn": (_SYN, "raw")}[source]
+    text, last = _SOURCES[source]
     d = "r" if same else "d"
     cut = f"SELECT f, c, y - {crop} AS y, x - {crop} AS x, r::DOUBLE AS r, {d}::DOUBLE AS d FROM {last} WHERE x BETWEEN {crop} AND {width - crop - 1} AND y BETWEEN {crop} AND {height - crop - 1}"
     if luma:
@@ -129,13 +187,13 @@ def _stencil(name: str, source: str, columns: dict[str, str], taps: list[float],
     )
 
 
-def _ssim_cte(name: str, source: str, width: int, height: int, size: int = 11) -> str:
-    taps = [float(t) for t in gaussian(size, 1.5)]
-    a, b = "(r - 127.5)", "(d - 127.5)"
+def _ssim_cte(name: str, source: str, width: int, height: int, size: int = 11, peak: float = 255.0) -> str:
+    taps, half, c1, c2 = [float(t) for t in gaussian(size, 1.5)], peak / 2, (0.01 * peak) ** 2, (0.03 * peak) ** 2
+    a, b = f"(r - {half!r})", f"(d - {half!r})"
     moments = _stencil(f"{name}_m", source, {"mx": a, "my": b, "xx": f"{a} * {a}", "yy": f"{b} * {b}", "xy": f"{a} * {b}"}, taps, width, height)
     return (
-        f"{moments},\n{name}_v AS (SELECT f, c, y, x, mx + 127.5 AS ux, my + 127.5 AS uy, (2 * (xy - mx * my) + 58.5225) / (xx - mx * mx + yy - my * my + 58.5225) AS cs FROM {name}_m),\n"
-        f"{name} AS (SELECT f, c, y, x, (2 * ux * uy + 6.5025) / (ux * ux + uy * uy + 6.5025) * cs AS s, cs FROM {name}_v)"
+        f"{moments},\n{name}_v AS (SELECT f, c, y, x, mx + {half!r} AS ux, my + {half!r} AS uy, (2 * (xy - mx * my) + {c2!r}) / (xx - mx * mx + yy - my * my + {c2!r}) AS cs FROM {name}_m),\n"
+        f"{name} AS (SELECT f, c, y, x, (2 * ux * uy + {c1!r}) / (ux * ux + uy * uy + {c1!r}) * cs AS s, cs FROM {name}_v)"
     )
 
 
@@ -143,18 +201,20 @@ def _half_cte(name: str, source: str, width: int, height: int) -> str:
     return f"{name} AS (SELECT f, c, y // 2 AS y, x // 2 AS x, avg(r) AS r, avg(d) AS d FROM {source} WHERE x < {width // 2 * 2} AND y < {height // 2 * 2} GROUP BY ALL)"
 
 
-def _gms_cte(name: str, source: str, width: int, height: int) -> str:
+def _gms_cte(name: str, source: str, width: int, height: int, peak: float = 255.0) -> str:
+    t, eps = 170 * (peak / 255) ** 2, (1e-6 * peak) ** 2
+
     def gradient(v: str) -> str:
         at = {(i, j): f"lead({v}_{i}, {j}) OVER w" if j else f"{v}_{i}" for i in range(3) for j in range(3)}
         gx = " + ".join(f"{at[i, 0]} - {at[i, 2]}" for i in range(3))
         gy = " + ".join(f"{at[0, j]} - {at[2, j]}" for j in range(3))
-        return f"sqrt((({gx}) / 3) ** 2 + (({gy}) / 3) ** 2 + 6.5025e-8)"
+        return f"sqrt((({gx}) / 3) ** 2 + (({gy}) / 3) ** 2 + {eps!r})"
 
     rows = ", ".join(f"lead({v}, {i}) OVER w AS {v}_{i}" if i else f"{v} AS {v}_0" for v in "rd" for i in range(3))
     return (
         f"{name}_r AS (SELECT f, c, y, x, {rows} FROM {source} WINDOW w AS (PARTITION BY f, c, x ORDER BY y)),\n"
         f"{name}_g AS (SELECT f, c, y, x, {gradient('r')} AS a, {gradient('d')} AS b FROM {name}_r WHERE y <= {height - 3} WINDOW w AS (PARTITION BY f, c, y ORDER BY x)),\n"
-        f"{name} AS (SELECT f, c, y, x, (2 * a * b + 170) / (a * a + b * b + 170) AS q FROM {name}_g WHERE x <= {width - 3})"
+        f"{name} AS (SELECT f, c, y, x, (2 * a * b + {t!r}) / (a * a + b * b + {t!r}) AS q FROM {name}_g WHERE x <= {width - 3})"
     )
 
 
@@ -166,29 +226,35 @@ _PIXEL["psnr"] = f"CASE WHEN {_PIXEL['mse']} = 0 THEN 'inf'::DOUBLE ELSE 10 * lo
 _COLUMN = {"ssim": "float_ssim", "ms_ssim": "float_ms_ssim"}
 
 
-def _scores_sql(features: list[str], clip: str, source: str = "emb", width: int = 64, height: int = 64, size: int = 11, down: bool = True, planes: bool = False, **cut) -> tuple[str, list[str]]:
-    """CTEs that end in sc(clip_id, frame_no, scores unrounded), and the score columns."""
+def _scores_sql(features: list[str], clip: str, source: str = "emb", width: int = 64, height: int = 64, size: int = 11, down: bool = True, planes: str = "", peak: float = 255.0, **cut) -> tuple[str, list[str]]:
+    """CTEs that end in sc(clip_id, frame_no, scores unrounded), and the score columns. planes: suffixes of
+    the planes, comma-joined; those of YUV leave the other features to the first one."""
     text, w, h = _px(source, width, height, **cut)
     ctes, joins, columns = [text], [], []
-    pixel = [f for f in features if f in _PIXEL]
+    pixel = {f: _PIXEL[f].replace("65025.0", repr(peak * peak)) for f in features if f in _PIXEL}
     if pixel:
         if planes:
-            each = ", ".join(f"{_PIXEL[f].replace('(r - d)', f'(CASE WHEN c = {c} THEN r - d END)').replace('abs(r - d)', f'abs(CASE WHEN c = {c} THEN r - d END)')} AS {f}_{n}" for f in pixel for c, n in enumerate("rgb"))
-            columns += [f"{f}_{n}" for f in pixel for n in "rgb"]
+            names = planes.split(",")
+            each = ", ".join(f"{p.replace('(r - d)', f'(CASE WHEN c = {c} THEN r - d END)').replace('abs(r - d)', f'abs(CASE WHEN c = {c} THEN r - d END)')} AS {f}_{n}" for f, p in pixel.items() for c, n in enumerate(names))
+            columns += [f"{f}_{n}" for f in pixel for n in names]
         else:
-            each = ", ".join(f"{_PIXEL[f]} AS {f}" for f in pixel)
+            each = ", ".join(f"{p} AS {f}" for f, p in pixel.items())
             columns += pixel
         ctes.append(f"s_px AS (SELECT f, {each} FROM px GROUP BY f)")
         joins.append("s_px")
+    image = "px"
+    if planes.startswith("y"):
+        ctes.append("first AS (SELECT * FROM px WHERE c = 0)")
+        image = "first"
     if "ssim" in features:
-        ctes += [_ssim_cte("ss", "px", w, h, size), "s_ss AS (SELECT f, avg(s) AS float_ssim FROM ss GROUP BY f)"]
+        ctes += [_ssim_cte("ss", image, w, h, size, peak), "s_ss AS (SELECT f, avg(s) AS float_ssim FROM ss GROUP BY f)"]
         joins.append("s_ss")
         columns.append("float_ssim")
     if {"gms", "gmsd"} & {*features}:
         if down:
-            ctes += [_half_cte("hp", "px", w, h), _gms_cte("gq", "hp", w // 2, h // 2)]
+            ctes += [_half_cte("hp", image, w, h), _gms_cte("gq", "hp", w // 2, h // 2, peak)]
         else:
-            ctes.append(_gms_cte("gq", "px", w, h))
+            ctes.append(_gms_cte("gq", image, w, h, peak))
         ctes.append("s_gq AS (SELECT f, avg(q) AS gms, stddev_pop(q) AS gmsd FROM gq GROUP BY f)")
         joins.append("s_gq")
         columns += [f for f in features if f in ("gms", "gmsd")]
@@ -241,7 +307,7 @@ def _ssimulacra2_sql(clip: str, source: str, side: int) -> str:
         cone = ", ".join(f"cbrt(greatest({' + '.join(f'{float(m)!r} * {v}{c}' for c, m in enumerate(row))} + {bias!r}, 0)) - cbrt({bias!r}) AS {v}_{n}" for v in "ab" for n, row in zip("lms", pixels._OPSIN, strict=True))
         forms = ("({v}_l - {v}_m) * 7 + 0.42", "({v}_l + {v}_m) / 2 + 0.01", "{v}_s - ({v}_l + {v}_m) / 2 + 0.55")
         rows = " UNION ALL ".join(f"SELECT f, {c} AS c, y, x, {form.format(v='a')} AS p, {form.format(v='b')} AS q FROM o{s}" for c, form in enumerate(forms))
-        groups = {"mp": "p", "mq": "q", "both_": "p * p + q * q", "gap": "(p - q) * (p - q)"}
+        groups = {"mp": "p", "mq": "q", "pp": "p * p", "qq": "q * q", "pq": "p * q"}
         across = ", ".join(f"{blur(e)} AS {n}" for n, e in groups.items())
         down = ", ".join(f"{blur(n)} AS {n}" for n in groups)
         norms = ", ".join(f"avg({m}) AS {m}0, avg({m} ** 4) ** 0.25 AS {m}1" for m in ("st", "ring", "lost"))
@@ -249,8 +315,8 @@ def _ssimulacra2_sql(clip: str, source: str, side: int) -> str:
             f"o{s} AS (SELECT f, y, x, {cone} FROM (SELECT f, y, x, {wide} FROM l{s} GROUP BY f, y, x))", f"x{s} AS ({rows})",
             f"h{s} AS (SELECT f, c, y, x, p, q, {across} FROM x{s} WINDOW w AS (PARTITION BY f, c, y ORDER BY x))",
             f"v{s} AS (SELECT f, c, y, x, p, q, {down} FROM h{s} WINDOW w AS (PARTITION BY f, c, x ORDER BY y))",
-            f"d{s} AS (SELECT f, c, (mp - mq) ** 2 AS g, both_ - mp * mp - mq * mq + 0.0009 AS den, gap, (abs(q - mq) - abs(p - mp)) / (1 + abs(p - mp)) AS e FROM v{s})",
-            f"n{s} AS (SELECT f, c, {norms} FROM (SELECT f, c, greatest((gap - g + g * (den - gap + g)) / den, 0) AS st, greatest(e, 0) AS ring, greatest(-e, 0) AS lost FROM d{s}) GROUP BY f, c)",
+            f"d{s} AS (SELECT f, c, 1 - (mp - mq) ** 2 AS num_m, 2 * (pq - mp * mq) + 0.0009 AS num_s, (pp - mp * mp) + (qq - mq * mq) + 0.0009 AS den, (abs(q - mq) - abs(p - mp)) / (1 + abs(p - mp)) AS e FROM v{s})",
+            f"n{s} AS (SELECT f, c, {norms} FROM (SELECT f, c, greatest(1 - num_m * num_s / den, 0) AS st, greatest(e, 0) AS ring, greatest(-e, 0) AS lost FROM d{s}) GROUP BY f, c)",
         ]
         s += 1
     weights = iter(pixels._WEIGHTS)
@@ -269,15 +335,41 @@ def _pool_sql(features: list[str], **options) -> str:
 
 def _log_sql(format: str) -> str:
     text, _ = _scores_sql(["psnr", "gmsd"], "emb64")
-    number = lambda c: f"printf('%.6f', round({c}, 6))"
+    text += ",\nro AS (SELECT clip_id, frame_no, round(psnr, 6) AS psnr, round(gmsd, 6) AS gmsd FROM sc)"
+    number = lambda c: f"printf('%.6f', {c})"
     if format == "csv":
-        return f"WITH {text}\nSELECT -1::BIGINT AS place, 'frameNum,psnr,gmsd' AS line UNION ALL SELECT frame_no, frame_no || ',' || {number('psnr')} || ',' || {number('gmsd')} FROM sc"
-    return f"WITH {text}\nSELECT frame_no AS place, '{{' || frame_no || '}}{{' || (frame_no + 1) || '}}frame: ' || frame_no || '|psnr: ' || {number('psnr')} || '|gmsd: ' || {number('gmsd')} || '|' AS line FROM sc"
+        return f"WITH {text}\nSELECT -1::BIGINT AS place, 'frameNum,psnr,gmsd' AS line UNION ALL SELECT frame_no, frame_no || ',' || {number('psnr')} || ',' || {number('gmsd')} FROM ro"
+    if format == "sub":
+        return f"WITH {text}\nSELECT frame_no AS place, '{{' || frame_no || '}}{{' || (frame_no + 1) || '}}frame: ' || frame_no || '|psnr: ' || {number('psnr')} || '|gmsd: ' || {number('gmsd')} || '|' AS line FROM ro"
+    last = 1 << 62
+    stats = {"min": "min({c})", "max": "max({c})", "mean": "avg({c})", "harmonic_mean": "count(*) / sum(1 / ({c} + 1)) - 1"}
+    fixed = lambda at, *lines: " UNION ALL ".join(f"SELECT {at + i}::BIGINT AS place, '{x}' AS line" for i, x in enumerate(lines))
+    if format == "xml":
+        show = lambda names: " || ' ' || ".join(f"'{n}=\"' || {number(e)} || '\"'" for n, e in names)
+        parts = [fixed(-3, '<?xml version="1.0" encoding="utf-8"?>', f'<framescope version="{__version__}">', "  <frames>"), f"SELECT frame_no, '    <frame frameNum=\"' || frame_no || '\" ' || {show([('psnr', 'psnr'), ('gmsd', 'gmsd')])} || '/>' FROM ro", fixed(last - 1, "  </frames>", "  <pooled_metrics>")]
+        parts += [f"SELECT {last + i}::BIGINT, '    <metric name=\"{c}\" ' || {show([(s, e.format(c=c)) for s, e in stats.items()])} || '/>' FROM ro" for i, c in enumerate(("psnr", "gmsd"), 1)]
+        parts.append(fixed(last + 3, "  </pooled_metrics>", "</framescope>"))
+    else:
+        show = lambda names: " || ', ' || ".join(f"'\"{n}\": ' || ({e})::VARCHAR" for n, e in names)
+        parts = [fixed(-2, f'{{"version": "{__version__}",', '  "frames": ['), f"SELECT frame_no, CASE WHEN frame_no = (SELECT min(frame_no) FROM ro) THEN '    ' ELSE '   ,' END || '{{\"frameNum\": ' || frame_no || ', \"metrics\": {{' || {show([('psnr', 'psnr'), ('gmsd', 'gmsd')])} || '}}}}' FROM ro", fixed(last - 1, "  ],", '  "pooled_metrics": {')]
+        parts += [f"SELECT {last + i}::BIGINT, '{'    ' if i == 1 else '   ,'}\"{c}\": {{' || {show([(s, f'round({e.format(c=c)}, 6)') for s, e in stats.items()])} || '}}' FROM ro" for i, c in enumerate(("psnr", "gmsd"), 1)]
+        parts.append(fixed(last + 3, "  }", "}"))
+    return f"WITH {text}\n" + " UNION ALL ".join(parts)
+
+
+def _downsample_sql(clip: str, side: int) -> str:
+    """Means of 2 x 2 boxes with a replicated edge, every second one, then SSIM."""
+    text, w, h = _px(f"syn{side}", side, side)
+    edge = lambda v: f"(1 + ({v} = 0)::INT + ({v} = {side - 1})::INT)"
+    small = f"small AS (SELECT f, c, (y + 1) // 2 AS y, (x + 1) // 2 AS x, sum({edge('y')} * {edge('x')} * r) / 4 AS r, sum({edge('y')} * {edge('x')} * d) / 4 AS d FROM px GROUP BY ALL)"
+    return f"WITH {text},\n{small},\n{_ssim_cte('ss', 'small', w // 2 + 1, h // 2 + 1)}\nSELECT '{clip}' AS clip_id, f::BIGINT AS frame_no, round(avg(s), 6) AS float_ssim FROM ss GROUP BY f"
 
 
 def oracle_sql() -> dict[str, str]:
     batch, _ = _scores_sql(["psnr", "mse", "l1"], "emb64")
     worst, _ = _scores_sql(["psnr"], "emb64")
+    appended, _ = _scores_sql(["psnr", "l1"], "emb64")
+    mean, _ = _scores_sql(["mse", "l1", "ssim"], "emb64")
     loss, _ = _scores_sql(["l1", "charbonnier", "huber", "ssim", "gms"], "emb64")
     maps = lambda cte, name, v: f"WITH {_px('emb', 64, 64)[0]},\n{cte}\nSELECT f::BIGINT AS frame_no, y::BIGINT AS y, x::BIGINT AS x, round({v}, 6) AS v FROM {name}"
     bytes_ = lambda v: f"md5(unhex(string_agg(printf('%02X', {v}), '' ORDER BY y, x)))"
@@ -288,7 +380,7 @@ def oracle_sql() -> dict[str, str]:
         "psnr_batch": f"WITH {batch}\nSELECT round(10 * log10(65025.0) - 10 * log10(avg(mse)), 6) AS psnr, round(avg(mse), 6) AS mse, round(avg(l1), 6) AS l1 FROM sc",
         "crop_border": _sql(["mse", "ssim", "gmsd"], crop=4),
         "y_psnr_crop": _sql(["psnr"], "rgb64", source="rgb", luma="matlab", crop=4),
-        "rgb_planes": _sql(["mse", "psnr", "ssim", "gms", "gmsd"], "rgb64", source="rgb", planes=True),
+        "rgb_planes": _sql(["mse", "psnr", "ssim", "gms", "gmsd"], "rgb64", source="rgb", planes="r,g,b"),
         "ssim_map": maps(_ssim_cte("ss", "px", 64, 64), "ss", "s"),
         "gms_map": maps(f"{_half_cte('hp', 'px', 64, 64)},\n{_gms_cte('gq', 'hp', 32, 32)}", "gq", "q"),
         "ms_ssim": _ms_ssim_sql("syn192", "syn", 192, MS_SSIM_WEIGHTS),
@@ -299,7 +391,14 @@ def oracle_sql() -> dict[str, str]:
         "worst_frames": f"WITH {worst}\nSELECT clip_id, frame_no, round(psnr, 6) AS psnr FROM sc ORDER BY 3, 1, 2 LIMIT 3",
         "loss": f"WITH {loss}\nSELECT clip_id, frame_no, round(1 - float_ssim, 6) AS loss_ssim, round(1 - gms, 6) AS loss_gms, round(l1, 6) AS loss_l1, round(charbonnier, 6) AS loss_charbonnier, round(huber, 6) AS loss_huber FROM sc",
         "ssimulacra2": _ssimulacra2_sql("rgb64", "rgb", 64),
-        "log_csv": _log_sql("csv"), "log_sub": _log_sql("sub"),
+        "log_csv": _log_sql("csv"), "log_sub": _log_sql("sub"), "log_json": _log_sql("json"), "log_xml": _log_sql("xml"),
+        "yuv420": _sql(["mse", "psnr", "l1", "ssim", "gmsd"], "yuv64", source="yuv", planes="y,cb,cr"),
+        "gray10": _sql(ALL, "emb64_10", source="deep", peak=1023.0),
+        "float32": _sql(ALL, "emb64_f32", source="float", peak=1.0),
+        "ssim_downsample": _downsample_sql("syn384", 384),
+        "ssimulacra2_odd6": _ssimulacra2_sql("rgb257", "syn257", 257),
+        "append_scores": f"WITH {appended},\nds AS (SELECT f::BIGINT AS frame_no, {bytes_('d')} AS dist_md5 FROM raw GROUP BY f)\nSELECT clip_id, frame_no, 'GRAY' AS color_family, 8 AS bits, dist_md5, round(psnr, 6) AS psnr, round(l1, 6) AS l1 FROM sc JOIN ds USING (frame_no)",
+        "reduction_mean": f"WITH {mean}\nSELECT round(10 * log10(65025.0) - 10 * log10(avg(mse)), 6) AS psnr, round(avg(l1), 6) AS l1, round(avg(float_ssim), 6) AS float_ssim FROM sc",
     }
     for name in ALL:
         out[name] = _sql([name])

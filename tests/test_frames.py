@@ -336,3 +336,86 @@ def test_shared_units(spark):
     plans = features.plan(["psnr", "mse", "l1"])
     assert len({u for p in plans for u in scoring._units(p)}) == 1
     assert pair is not None
+
+
+def test_frames_of_raw_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    planes = [[rng.integers(0, 1024, s).astype("<u2") for s in ((6, 8), (3, 4), (3, 4))] for _ in range(5)]
+
+    def padded(p, pitch):
+        return np.pad(p, ((0, 0), (0, pitch - p.shape[1]))).tobytes()
+
+    (tmp_path / "clip").mkdir()
+    for name, part in (("a.yuv", planes[:3]), ("b.yuv", planes[3:]), ("c.yuv", [])):
+        (tmp_path / "clip" / name).write_bytes(b"".join(padded(p, 10 if p.shape[1] == 8 else 5) for f in part for p in f))
+    got = frames.raw_files(spark, str(tmp_path / "clip"), 6, 8, "YUV", "u16", 10, (1, 1), stride=10).orderBy("frame_no").collect()
+    assert [(r.clip_id, r.frame_no, r.bits) for r in got] == [("clip", i, 10) for i in range(5)]
+    assert [[bytes(p.data) for p in r.planes] for r in got] == [[p.tobytes() for p in f] for f in planes]
+    y4m = tmp_path / "d.y4m"
+    y4m.write_bytes(b"YUV4MPEG2 W8 H6 F25:1 C420p10\n" + b"".join(b"FRAME\n" + b"".join(p.tobytes() for p in f) for f in planes))
+    read = frames.y4m_file(spark, str(y4m)).orderBy("frame_no").collect()
+    assert [[bytes(p.data) for p in r.planes] for r in read] == [[p.tobytes() for p in f] for f in planes] and read[0].dtype == "u16" and read[0].color_family == "YUV"
+    y4m.write_bytes(b"YUV4MPEG2 W3 H3 Cmono\nFRAME\n" + bytes(9))
+    assert [(r.color_family, r.bits, len(r.planes), bytes(r.planes[0].data)) for r in frames.y4m_file(spark, str(y4m)).collect()] == [("GRAY", 8, 1, bytes(9))]
+    y4m.write_bytes(b"RIFF")
+    with pytest.raises(ValueError):
+        frames.y4m_file(spark, str(y4m))
+
+
+def test_wrappers_reduction_and_log(spark, tmp_path):
+    from framescope import metrics
+
+    x, y = noisy(64, 64, 1)
+    a, b = noisy(64, 64, 2, noise=30)
+    r, d = table(spark, [x, a]), table(spark, [y, b])
+    each = metrics.ssim(r, d, color_family="GRAY", win_size=7).orderBy("frame_no").collect()
+    assert [e.float_ssim for e in each] == pytest.approx([ssim2d(p[0], q[0], 7)[0].mean() for p, q in ((x, y), (a, b))], abs=1e-9)
+    mean = score_frames(r, d, ["psnr", "l1"], color_family="GRAY", reduction="mean", log_path=str(tmp_path / "log"), log_format="xml").first()
+    assert mean.psnr == pytest.approx(10 * math.log10(255**2 / np.mean([((p[0] - q[0]) ** 2).mean() for p, q in ((x, y), (a, b))])))
+    lines = [s for p in sorted((tmp_path / "log").glob("part-*")) for s in p.read_text().splitlines()]
+    assert len(xml.dom.minidom.parseString("\n".join(lines).encode()).getElementsByTagName("frame")) == 2
+    assert score_frames(r, r, "psnr", color_family="GRAY", reduction="mean").first().psnr == math.inf
+    for bad in ({"reduction": "sum"}, {"log_format": "yaml"}):
+        with pytest.raises(ValueError):
+            score_frames(r, d, "psnr", **bad)
+    assert metrics.engine_status()["engine"] == "spark"
+
+
+def test_registered_metric(spark, monkeypatch):
+    for name in ("_BY_NAME", "_BY_ID"):
+        monkeypatch.setattr(features, name, dict(getattr(features, name)))
+    f = features.register_metric("peak_gap", lambda x, y, peak: abs(x - y).max() / peak)
+    assert features.available_features()["peak_gap"] == f.id > 12
+    x, y = noisy(40, 600, 1)
+    assert one(score_frames(table(spark, [x]), table(spark, [y]), ["mse", "peak_gap"], color_family="GRAY"))["peak_gap"] == abs(x[0] - y[0]).max() / 255
+    for bad in (("mse", max), ("other", max, "plane")):
+        with pytest.raises(ValueError):
+            features.register_metric(*bad)
+
+
+def test_lpips_map(spark):
+    x, y = noisy(64, 72, 5, planes=3)
+    r, d, options = table(spark, [x], "RGB"), table(spark, [y], "RGB"), {"lpips": {"net": scoring.random_net()}}
+    m = scoring.similarity_map(pair(r, d), "lpips", options).first()
+    assert (m.height, m.width) == (64, 72)
+    want = np.zeros((64, 72))
+    for layer in pixels.lpips_maps(np.stack(x), np.stack(y), 255.0, options["lpips"]["net"]):
+        for i in range(64):
+            for j in range(72):
+                u, v = (min(max((k + 0.5) * n / size - 0.5, 0), n - 1) for k, n, size in ((i, layer.shape[0], 64), (j, layer.shape[1], 72)))
+                a, b = int(u), int(v)
+                c, e = min(a + 1, layer.shape[0] - 1), min(b + 1, layer.shape[1] - 1)
+                want[i, j] += (layer[a, b] * (1 - v + b) + layer[a, e] * (v - b)) * (1 - u + a) + (layer[c, b] * (1 - v + b) + layer[c, e] * (v - b)) * (u - a)
+    assert np.allclose(np.array(m.data).reshape(64, 72), want, atol=1e-12)
+    with pytest.raises(ValueError):
+        scoring.similarity_map(pair(r, d), "mse")
+
+
+def test_whole_samples_sum_as_float_ones_do():
+    rng = np.random.default_rng(3)
+    for dtype, top in (("u1", 256), ("<u2", 65536)):
+        x, y = (rng.integers(0, top, (1, 30, 40)).astype(dtype) for _ in range(2))
+        a = pixels.pixel_sums(x, y, 1e-3, 1.0)
+        assert a == pytest.approx(pixels.pixel_sums(x.astype(float), y.astype(float), 1e-3, 1.0), rel=1e-14)
+        assert pixels.pixel_sums(x, y, 1e-3, 1.0, ("l1",)) == [0.0, a[1], 0.0, 0.0]
+        assert np.array_equal(pixels.linear(x, top - 1.0), pixels.linear(x.astype(float), top - 1.0))

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import time
 
 from framescope.sources import frames
 from framescope.streaming import scoring
@@ -33,6 +34,9 @@ def test_clips_are_pooled_when_complete(spark, tmp_path):
     stream = spark.readStream.schema("clip_id string, prop string, value double").parquet(str(tmp_path / "v"))
     got = []
     q = scoring.completed(stream, 3).writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    ends = time.time() + 120  # the query stays up for clips that may yet time out
+    while not got and time.time() < ends:
+        time.sleep(0.2)
+    q.stop()
     assert [(x.clip_id, x.n, x.min, x.max, x.mean, x.complete) for x in got] == [("a", 3, 0.0, 2.0, 1.0, True)]
     assert math.isclose(got[0].harmonic_mean, 3 / (1 + 1 / 2 + 1 / 3) - 1) and dt

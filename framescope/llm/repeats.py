@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .kernel import _tables, grams, mix, slices
 
-LENGTH, GRAM, HOT = 50, 16, 4096
+LENGTH, GRAM, HOT = 50, 16, 8192
 FLUSH, SPREAD = 1 << 20, 64
 BROADCAST_KEYS = 1 << 20  # anchors of more than HOT classes that are broadcast, 17 bytes each
 _PLAIN, _SPREAD, _MARK, _FULL = range(4)

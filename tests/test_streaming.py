@@ -40,3 +40,22 @@ def test_clips_are_pooled_when_complete(spark, tmp_path):
     q.stop()
     assert [(x.clip_id, x.n, x.min, x.max, x.mean, x.complete) for x in got] == [("a", 3, 0.0, 2.0, 1.0, True)]
     assert math.isclose(got[0].harmonic_mean, 3 / (1 + 1 / 2 + 1 / 3) - 1) and dt
+
+
+def test_frames_without_a_partner_are_told(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    r, d = frames.synthetic(spark, 4, 32)
+    stamped(r.where("frame_no <> 0"), str(tmp_path / "r"))
+    early = d.where("frame_no <> 1").withColumn("ts", F.timestamp_seconds(F.when(F.col("frame_no") == 0, 1_600_000_000).otherwise(1_700_000_000 + F.col("frame_no"))))
+    early.write.parquet(str(tmp_path / "d"))
+    schema = frames.SCHEMA + ", ts timestamp"
+    streams = [spark.readStream.schema(schema).parquet(str(tmp_path / x)) for x in ("r", "d")]
+    got, lost = [], []
+    q = scoring.start(scoring.paired(*streams, "1 minute", True), "mse", lambda df, _: got.extend(df.collect()), str(tmp_path / "c"), unmatched=lambda df, _: lost.extend(df.collect()))
+    ends = time.time() + 60
+    while not lost and time.time() < ends:
+        time.sleep(0.2)
+    q.awaitTermination(5)
+    q.stop()
+    assert {x.frame_no for x in got} == {2, 3} and [x.frame_no for x in lost] == [0] and scoring.dropped(q) == 0

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,25 +23,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is named (tests)."""
+    """This application's folder in the one that all executors share, spark.checkpoint.dir. Where none is
+    named, a local session gets a folder that goes with the process; a cluster has none to offer."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         at = tempfile.mkdtemp(prefix="framescope-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
-    return at
+    return f"{at}/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor
-    costs no more than the files' reread, and later uses do not compute it again."""
+    costs no more than the files' reread, and later uses do not compute it again. The table stays as long
+    as results may be read from it: the application's folder can go when the application has ended."""
     at = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def schema_of(text: str) -> str:
-    return text
-
-
-def arrow_batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

@@ -62,6 +62,35 @@ def test_language_takes_edges(spark):
     assert language_id.identify(df).count() == df.count()
 
 
+def slow_subwords(text):
+    """Buckets of the byte n-grams, one by one."""
+    b = bytes(32 if x in b" \t\n\x0b\x0c\r" else x + 32 if 65 <= x <= 90 else x for x in text.encode())
+    out = []
+    for size in (2, 3, 4):
+        for i in range(len(b) - size + 1):
+            gram = b[i : i + size]
+            if 32 not in gram[1:-1] and gram != b"  ":
+                mixed = (int.from_bytes(gram, "little") * 0x9E3779B1 + size * 0x85EBCA6B) % 2**32
+                out.append(mixed * 0xC2B2AE35 % 2**32 >> 16)
+    return out
+
+
+def test_language_forward_pass_against_a_slow_one(spark):
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["a", "b", "c"], rng.normal(0, 30, (language_id.BUCKETS, 3)).astype(np.float32), np.array([0.1, 0.0, -0.2]), 1.7, 0.6)
+    texts = [*edge_texts(), "Ünï cödé  and\ttabs", "a", "ab c", *[prose(i, 20) for i in range(20)]]
+    got = {r.doc_id: r for r in language_id.predict(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        found = slow_subwords(t or "")
+        mean = np.mean([model.table[x].astype(float) for x in found], axis=0) if found else np.zeros(3)
+        z = np.exp((mean + model.bias) / model.heat)
+        p = z / z.sum()
+        if t and any(c.isalpha() for c in t):
+            assert got[i].lang_pred == "abc"[p.argmax()] and got[i].score == pytest.approx(p.max()) and got[i].rejected == (p.max() < 0.6)
+        else:
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+
+
 # ---- quality ----
 
 def quality_set(spark):
@@ -92,6 +121,28 @@ def test_quality_ignores_held_out_labels_and_takes_edges(spark):
     assert quality.classify(odd.limit(0), labels).count() == 0
 
 
+def test_dual_coordinate_descent_against_projected_gradients(monkeypatch):
+    """Both solve the dual of the same hinge loss; one coordinate at a time, or all by small steps."""
+    monkeypatch.setattr(quality, "_EPOCHS", 2000)
+    rng = np.random.default_rng(2)
+    ratio = np.zeros(quality.BUCKETS)
+    ratio[:12] = rng.normal(size=12)
+    rows = [np.flatnonzero(rng.random(12) < 0.5) for _ in range(40)]
+    rows = [r if len(r) else np.array([0]) for r in rows]
+    label = np.where([ratio[r].sum() + rng.normal() * 0.5 > 0 for r in rows], 1.0, -1.0)
+    weight, bias = quality._hinge(rows, label, ratio)
+    x = np.zeros((40, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, 12] = 1
+    cost = np.where(label > 0, 40 / (2 * (label > 0).sum()), 40 / (2 * (label < 0).sum()))
+    q = (x @ x.T) * np.outer(label, label)
+    alpha = np.zeros(40)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / 40, 0, cost)
+    assert np.allclose(np.append(weight[:12], bias), (alpha * label) @ x, atol=2e-3) and abs(weight[:12]).max() > 0.1
+
+
 # ---- personal data ----
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -699,3 +750,18 @@ def test_mixing_of_more_sources_than_rows_in_a_block(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
     got = mixing.mix(df, block=2).toPandas()
     assert len(got) == 3000 and got.mixed.all() and not got.duplicated(["slot", "place"]).any()
+
+
+# ---- all of them ----
+
+def test_no_folder_is_made_up_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from framescope.llm import common
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId="app"))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session("spark://host:7077"))
+    assert common.shared_dir(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y/app"

@@ -45,7 +45,7 @@ class Unit:
     @property
     def banded(self) -> bool:
         """Whether bands of a plane may be worked on apart; the other kinds see whole planes."""
-        return self.kind == "gms" or self.kind == "pixel" and self.args != (None,) or self.kind == "ssim" and not self.args[4]
+        return self.kind in ("gms", "ssimulacra2") or self.kind == "pixel" and self.args != (None,) or self.kind == "ssim" and not self.args[4]
 
 
 def _units(p: Plan) -> list[Unit]:
@@ -58,6 +58,8 @@ def _units(p: Plan) -> list[Unit]:
         return [Unit("ssim", s, *base, (o["win_size"], float(o["sigma"]), *map(float, o["K"]), bool(o.get("downsample")))) for s in scales]
     if f.kind == "gms":
         return [Unit("gms", int(o["downsample"]), *base, (o["T"], o["eps"]))]
+    if f.kind == "ssimulacra2":
+        return [Unit("ssimulacra2", s, *base) for s in range(pixels.SCALES)]
     return [Unit(f.kind, 0, *base, (f.function,) if f.kind == "custom" else ())]
 
 
@@ -65,8 +67,9 @@ _PLAIN = {"psnr": 1, "mse": 1, "l1": 2, "charbonnier": 3, "huber": 4}  # which s
 _ROWS = 32  # rows of a map computed at a time, so that its parts stay in cache
 
 
-def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None = None, wanted: tuple[str, ...] = ("mse", "l1", "charbonnier", "huber")) -> list[float]:
-    """The sums of one band; x and y are (planes, rows, columns) of samples as stored."""
+def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None = None, wanted: tuple[str, ...] = ("mse", "l1", "charbonnier", "huber"), first: int = 0, own: int = 0) -> list[float]:
+    """The sums of one band; x and y are (planes, rows, columns) of samples as stored. first, own: which
+    rows count, of a band that has more around them."""
     if unit.crop:
         x, y = (v[..., unit.crop : v.shape[-1] - unit.crop] for v in (x, y))
     if unit.kind == "pixel" and not unit.luma:
@@ -74,7 +77,7 @@ def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None
     if unit.kind == "ssimulacra2":
         if len(x) == 1:
             x, y = (np.repeat(v, 3, axis=0) for v in (x, y))
-        return [1.0, pixels.ssimulacra2(x, y, peak)]
+        return pixels.ssimulacra2_sums(x, y, peak, unit.scale, first, own)
     x, y = x.astype(np.float64), y.astype(np.float64)
     if unit.luma:
         if len(x) != 3:
@@ -126,11 +129,45 @@ def peak(dtype: Column, bits: Column, given: float | None = None) -> Column:
     return F.when(~dtype.isin("f16", "bf16", "f32", "f64") & bits.isNotNull(), F.expr("double(shiftleft(1L, bits) - 1)")).otherwise(by_type)
 
 
+def _strips(i: int, u: Unit, step: int, p: Column, inner: Column, across: Column, fault: Column) -> Column:
+    """Bands of a scale of SSIMULACRA 2: sizes are halved upwards, the blur reaches over a band's edges but
+    not over the frame's, and a scale is there if the one before has 8 pixels a side."""
+    up = lambda n, s: F.shiftright(n + ((1 << s) - 1), s)
+    tall = up(inner, u.scale)
+    there = F.lit(True) if not u.scale else up(F.least(inner, across), u.scale - 1) >= 8
+    count = F.when(there, F.ceil(tall / step).cast("int")).otherwise(0)
+
+    def band(b: Column) -> Column:
+        a = b * step
+        low, high = F.greatest(F.lit(0), a - pixels.REACH), F.least(tall, a + step + pixels.REACH)
+        top, end = F.shiftleft(low, u.scale), F.least(inner, F.shiftleft(high, u.scale))
+        return F.struct(F.lit(i).alias("unit"), p.alias("plane"), (top + u.crop).alias("top"), (end - top).alias("rows"), (a - low).alias("first"), F.least(F.lit(step), tall - a).alias("own"))
+
+    return F.transform(fault.otherwise(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))), band)
+
+
+def _ssimulacra2(bands: Column, units: list[int]) -> Column:
+    """The score from a frame's bands (unit, pixels and 18 sums; a few a scale). The weights are laid out by
+    channel, scale, norm and map for the scales there are."""
+    n, total = F.size(F.array_distinct(F.transform(bands, lambda x: x["unit"]))), F.lit(0.0)
+    for k, unit in enumerate(units):
+        weights = [[float(pixels.WEIGHTS[(((j // 6) * scales + k) * 2 + j // 3 % 2) * 3 + j % 3]) if k < scales else 0.0 for j in range(18)] for scales in range(1, len(units) + 1)]
+        own = F.filter(bands, lambda x: x["unit"] == unit)  # noqa: B023
+        sums = F.aggregate(own, F.array_repeat(F.lit(0.0), 19), lambda s, x: F.zip_with(s, x["s"], lambda v, w: v + w))
+        means = F.transform(F.slice(sums, 2, 18), lambda v, j: F.pow(v / F.get(sums, F.lit(0)), F.when(F.floor(j / 3) % 2 == 1, 0.25).otherwise(1.0)))
+        part = F.aggregate(F.zip_with(means, F.get(F.lit(weights), n - 1), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+        total = total + F.when(F.size(own) > 0, part).otherwise(0.0)
+    # arrays of one element name a value, so that it is not written out each time it is used
+    cubic = F.transform(F.array(total * 0.9562382616834844), lambda v: 2.326765642916932 * v - 0.020884521182843837 * v * v + 6.248496625763138e-05 * v * v * v)
+    return F.get(F.transform(cubic, lambda v: F.when(v > 0, 100.0 - 10.0 * F.pow(v, F.lit(0.6276336467831387))).otherwise(100.0)), F.lit(0))
+
+
 def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool) -> DataFrame:
     """One row a band: unit, plane, rows, width, and its bytes of both frames."""
     rgb = F.col("color_family") == "RGB"
     if rgb_only:
         pairs = pairs.withColumn("ref", F.when(~F.col("color_family").isin("RGB", "GRAY"), F.raise_error(F.lit("RGB frames are needed; convert first"))).otherwise(F.col("ref")))
+
     def bands(i: int, u: Unit):
         """From a plane's number to the bands of unit i in it."""
         step = max(1, BAND >> u.scale)
@@ -138,15 +175,18 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool) -> DataFrame:
         def of(p: Column) -> Column:
             at = F.get(F.col("ref"), p)
             inner, across = at["height"] - 2 * u.crop, at["width"] - 2 * u.crop
+            small = F.least(inner, across) < _least(u)
             out = F.shiftright(inner, u.scale) - u.halo
             fault = F.concat(F.lit(f"{u.kind} at scale {u.scale} needs {_least(u)} pixels a side after cropping, not "), inner.cast("string"), F.lit(" x "), across.cast("string"))
+            if u.kind == "ssimulacra2":
+                return _strips(i, u, step, p, inner, across, F.when(small, F.raise_error(fault).cast("array<int>")))
             last = F.greatest(F.lit(0), F.ceil(out / step).cast("int") - 1) if u.banded else F.lit(0)
-            starts = F.when(F.least(inner, across) < _least(u), F.raise_error(fault).cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda b: b * step))
+            starts = F.when(small, F.raise_error(fault).cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda b: b * step))
 
             def band(a: Column) -> Column:
                 end = F.when(a + step >= out, inner).otherwise(F.shiftleft(a + step + u.halo, u.scale)) if u.banded else inner
                 top = F.shiftleft(a, u.scale)
-                return F.struct(F.lit(i).alias("unit"), p.alias("plane"), (top + u.crop).alias("top"), (end - top).alias("rows"))
+                return F.struct(F.lit(i).alias("unit"), p.alias("plane"), (top + u.crop).alias("top"), (end - top).alias("rows"), F.lit(0).alias("first"), F.lit(0).alias("own"))
 
             return F.transform(starts, band)
 
@@ -168,7 +208,7 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool) -> DataFrame:
         joined = F.when(many == 1, part(F.get(side, F.lit(0)))).otherwise(F.concat(*[part(F.get(side, F.lit(j))) for j in range(3)]))
         return F.when(whole, joined).otherwise(one)
 
-    return rows.select(*KEYS, "dtype", "bits", "unit", "plane", F.when(whole, F.size("ref")).otherwise(1).alias("n"), "rows", F.get("ref", F.col("plane"))["width"].alias("width"), cut("ref").alias("r"), cut("dist").alias("d"))
+    return rows.select(*KEYS, "dtype", "bits", "unit", "plane", "first", "own", F.when(whole, F.size("ref")).otherwise(1).alias("n"), "rows", F.get("ref", F.col("plane"))["width"].alias("width"), cut("ref").alias("r"), cut("dist").alias("d"))
 
 
 def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...]):
@@ -178,7 +218,7 @@ def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...]):
             for r in batch.to_pylist():
                 unit = units[r["unit"]]
                 shape = (r["n"], r["rows"], r["width"])
-                out.append(sums(unit, pixels.samples(r["r"], r["dtype"], *shape), pixels.samples(r["d"], r["dtype"], *shape), r["peak"], net, wanted))
+                out.append(sums(unit, pixels.samples(r["r"], r["dtype"], *shape), pixels.samples(r["d"], r["dtype"], *shape), r["peak"], net, wanted, r["first"], r["own"]))
             keep = [*KEYS, "unit", "plane", "peak"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.float64()))], [*keep, "s"])
 
@@ -228,6 +268,10 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
                     total[top] = F.max(F.when(F.col("unit") == place[u], F.col("peak"))).alias(top)
                     mean = psnr(mean, F.col(top), p.options["eps"])
                 columns.append(mean.alias(name))
+        elif f.name == "ssimulacra2":
+            ids = [place[v] for v in us]
+            total["bands"] = F.collect_list(F.when(F.col("unit").isin(ids), F.struct("unit", "s"))).alias("bands")
+            columns.append(_ssimulacra2(F.col("bands"), ids).alias(f.column))
         elif f.name == "ssim":
             columns.append((of(u, None, 1) / of(u, None, 0)).alias(f.column))
         elif f.name == "ms_ssim":

@@ -319,7 +319,7 @@ def _ssimulacra2_sql(clip: str, source: str, side: int) -> str:
             f"n{s} AS (SELECT f, c, {norms} FROM (SELECT f, c, greatest(1 - num_m * num_s / den, 0) AS st, greatest(e, 0) AS ring, greatest(-e, 0) AS lost FROM d{s}) GROUP BY f, c)",
         ]
         s += 1
-    weights = iter(pixels._WEIGHTS)
+    weights = iter(pixels.WEIGHTS)
     terms = [f"{float(next(weights))!r} * abs((SELECT {m}{n} FROM n{k} WHERE n{k}.f = t.f AND n{k}.c = {c}))" for c in range(3) for k in range(s) for n in range(2) for m in ("st", "ring", "lost")]
     ctes.append(f"t AS (SELECT DISTINCT f FROM px), z AS (SELECT f, ({' + '.join(x for x in terms if not x.startswith('0.0 '))}) * 0.9562382616834844 AS s FROM t)")
     ctes.append("u AS (SELECT f, 2.326765642916932 * s - 0.020884521182843837 * s * s + 6.248496625763138e-05 * s * s * s AS s FROM z)")

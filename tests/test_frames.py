@@ -202,13 +202,14 @@ def slow_ssimulacra2(a, b):
             row.append([[f(m) for m in (d, np.maximum(e, 0), np.maximum(-e, 0))] for f in (np.mean, lambda m: np.mean(m**4) ** 0.25)])
         norms.append(row)
     flat = [abs(v) for c in range(3) for s in norms for n in s[c] for v in n]
-    t = sum(w * v for w, v in zip(pixels._WEIGHTS, flat, strict=False)) * 0.9562382616834844
+    t = sum(w * v for w, v in zip(pixels.WEIGHTS, flat, strict=False)) * 0.9562382616834844
     t = 2.326765642916932 * t - 0.020884521182843837 * t * t + 6.248496625763138e-05 * t**3
     return 100 - 10 * t**0.6276336467831387 if t > 0 else 100.0
 
 
-@pytest.mark.parametrize(("h", "w"), [(64, 64), (81, 97)])
-def test_ssimulacra2(spark, h, w):
+@pytest.mark.parametrize(("h", "w", "band"), [(64, 64, 512), (81, 97, 512), (81, 97, 16), (8, 9, 512), (300, 20, 32)])
+def test_ssimulacra2(spark, monkeypatch, h, w, band):
+    monkeypatch.setattr(scoring, "BAND", band)
     x, y = noisy(h, w, 0x5217, planes=3)
     r, d = table(spark, [x], "RGB"), table(spark, [y], "RGB")
     got = one(score_frames(r, d, "ssimulacra2", color_family="RGB"))["ssimulacra2"]
@@ -266,6 +267,8 @@ def test_pairing_errors_and_drops(spark):
         score_frames(table(spark, [[x[0][:10]]]), table(spark, [[y[0][:10]]]), "ssim", color_family="GRAY").collect()
     with pytest.raises(Exception, match="needs 176 pixels"):
         score_frames(table(spark, [noisy(175, 180, 1)[0]]), table(spark, [noisy(175, 180, 1)[1]]), "ms_ssim", color_family="GRAY").collect()
+    with pytest.raises(Exception, match="needs 8 pixels"):
+        score_frames(table(spark, [[x[0][:7]] * 3], "RGB"), table(spark, [[y[0][:7]] * 3], "RGB"), "ssimulacra2", color_family="RGB").collect()
     with pytest.raises(Exception, match="RGB frames"):
         score_frames(table(spark, [[x[0]] * 3], "YUV"), table(spark, [[y[0]] * 3], "YUV"), "ssimulacra2", color_family="YUV").collect()
 

@@ -9,7 +9,8 @@ from .common import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: a, b (long). Returns node, label: the smallest node of each linked node's component.
+    """links: a, b (long). Returns node, label: the smallest node of each linked node's component. Links of
+    a node to itself or to null count for nothing, repeated ones once; no links, no rows.
 
     Every round a node takes the least label among its neighbours and its own, then the label of its
     label; each round's labels are a written table, so lineage stays short and both sides of every

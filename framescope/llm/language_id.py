@@ -10,7 +10,9 @@ Since the mean and the softmax's weights are linear, scoring uses their product:
 bucket and language, summed over the whole text inside an Arrow batch; nothing is shuffled.
 
 Null text, or text without a letter: `und`, score 0, rejected. No labelled rows: `und` for all.
-Repeated rows give repeated rows. Extra columns are ignored.
+Equal scores: the first language by name. Repeated rows, and rows of null doc_id, give rows of their own
+(null doc_id is not held out). Extra columns are ignored; an empty table gives an empty result. Very long
+texts are scored whole, with some tens of bytes of working memory for each of their own.
 """
 
 from __future__ import annotations

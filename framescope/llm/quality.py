@@ -10,7 +10,10 @@ Training takes at most about SAMPLE rows of each label (the documented bound). S
 whole texts inside Arrow batches: one weight a bucket, nothing is shuffled.
 
 Null or empty text has no features: its score comes from the bias. Without labels of both kinds
-every score is 0.5. A document labelled twice counts twice; extra columns are ignored.
+every score is 0.5. A document labelled twice counts twice; null labels and doc_ids teach nothing.
+A score equal to ACCEPT is accepted. Repeated rows give repeated rows; extra columns are ignored by
+`classify` and kept by `keep`; an empty table gives an empty result. Very long texts are scored whole,
+with some hundred bytes of working memory a word.
 """
 
 from __future__ import annotations

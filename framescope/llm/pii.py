@@ -281,3 +281,69 @@ def sanitise(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """The counts and spans of find, with the hash of the base spans and the number of deleted terms."""
     return find(docs).select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", F.size("removed").alias("n_removed"))
+
+
+def oracle(source: str) -> str:
+    """digest in SQL; places come from the lengths of matches and of the pieces between them."""
+    patterns = ", ".join(
+        f"({k}, '{kind}', '{pattern}')"
+        for k, (kind, pattern) in enumerate((
+            ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+            ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")))
+    )
+    word, marks = r"[^\x20\x09-\x0D]+", r"[!-/:-@\[-`{-~]{1,4}"
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM {source}
+), kinds(o, kind, pattern) AS (VALUES {patterns}), m AS (
+  SELECT doc_id, o, kind, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS ps FROM d, kinds
+), x AS (
+  SELECT doc_id, o, kind, unnest(ms) AS v, unnest(ps[1 : len(ms)]) AS piece, unnest(range(len(ms))) AS k FROM m
+), y AS (
+  SELECT doc_id, o, kind, v, regexp_replace(v, '[^0-9]', '', 'g') AS digits, sum(length(piece) + length(v)) OVER (PARTITION BY doc_id, o ORDER BY k) AS e FROM x
+), b AS (
+  SELECT doc_id, o, kind, (e - length(v))::BIGINT AS s, e::BIGINT AS e, kind || ':' || CASE WHEN o < 2 THEN lower(v) ELSE digits END AS entity FROM y
+  WHERE CASE o WHEN 0 THEN true WHEN 3 THEN length(digits) BETWEEN 10 AND 15
+    WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS BIGINT), 0) > 255)) = 0
+    ELSE length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda c, i: c::INT * (2 - i % 2) - CASE WHEN i % 2 = 0 AND c::INT > 4 THEN 9 ELSE 0 END)) % 10 = 0 END
+), held AS (
+  SELECT DISTINCT doc_id, entity FROM b
+), n AS (
+  SELECT count(*) AS n FROM d
+), c AS (
+  SELECT entity, count(*) AS df FROM held GROUP BY entity
+), ws AS (
+  SELECT doc_id, regexp_extract_all(t, '{word}') AS ms, string_split_regex(t, '{word}') AS ps FROM d
+), w AS (
+  SELECT doc_id, unnest(ms) AS v, unnest(ps[1 : len(ms)]) AS piece, unnest(range(len(ms))) AS k FROM ws
+), z AS (
+  SELECT doc_id, k, v, regexp_replace(v, '{marks}$', '') AS cut, sum(length(piece) + length(v)) OVER (PARTITION BY doc_id ORDER BY k) - length(v) AS s FROM w
+), q AS (
+  SELECT doc_id, {lower("regexp_replace(cut, '^" + marks + "', '')")} AS term, (s + length(cut) - length(regexp_replace(cut, '^{marks}', '')))::BIGINT AS s, (s + length(cut))::BIGINT AS e FROM z
+), u AS (
+  SELECT DISTINCT doc_id, term FROM q WHERE term <> ''
+), f AS (
+  SELECT term, count(*) AS df FROM u GROUP BY term
+), same AS (
+  SELECT doc_id, {lower("array_to_string(ms, ' ')")} AS whole FROM ws
+), g AS (
+  SELECT h.entity, u.term, count(*) AS n, count(DISTINCT same.whole) AS texts FROM held h JOIN u USING (doc_id) JOIN same USING (doc_id) GROUP BY ALL
+), i AS (
+  SELECT g.entity, g.term, 1 + log2(g.n / f.df * (1 - 1 / (2 * g.texts))) / log2((SELECT n FROM n) / c.df) AS share
+  FROM g JOIN f USING (term) JOIN c USING (entity) WHERE c.df < (SELECT n FROM n)
+), l AS (
+  SELECT h.doc_id, i.term, max(share) AS share FROM held h JOIN i USING (entity) JOIN u USING (doc_id, term) WHERE share >= {GENERALISE} GROUP BY ALL
+), a AS (
+  SELECT q.doc_id, q.s, q.e, l.share FROM q JOIN l USING (doc_id, term) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = q.doc_id AND b.s < q.e AND q.s < b.e)
+), base AS (
+  SELECT doc_id, count(*) FILTER (o = 0) AS n_email, count(*) FILTER (o = 1) AS n_ip, count(*) FILTER (o = 2) AS n_card, count(*) FILTER (o = 3) AS n_phone,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS base FROM b GROUP BY doc_id
+), spans AS (
+  SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM (SELECT doc_id, o, kind, s, e FROM b UNION ALL SELECT doc_id, 4, 'term', s, e FROM a) GROUP BY doc_id
+), removed AS (
+  SELECT doc_id, count(*) AS n FROM a WHERE share >= {REMOVE} GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(removed.n, 0)::INT AS n_removed
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""

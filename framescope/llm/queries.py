@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.oracle("documents"), "op5_jaccard_join": jaccard_join.oracle("documents"), "op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents"), "op10_mixing": mixing.oracle("documents")}
+    return {"op2_decontamination": decontamination.oracle("documents"), "op4_pii": pii.oracle("documents"), "op5_jaccard_join": jaccard_join.oracle("documents"), "op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents"), "op9_repeats": repeats.oracle("documents"), "op10_mixing": mixing.oracle("documents")}

@@ -381,3 +381,32 @@ def remove(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     ends = docs.select("doc_id", "text").join(full, "doc_id", "left").join(masks, "doc_id", "left").select("doc_id", "text", "full", "masks")
     out = ends.mapInArrow(_cuts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_bytes else out.drop("kept")
+
+
+def oracle(source: str) -> str:
+    """remove without its bytes in SQL: every LENGTH-byte string of the table, as hexadecimal digits, with the
+    smallest document that has it. (Texts are first cut into overlapping pieces, as a digit far inside a
+    long string is dear to look up.)"""
+    step = 1000
+    return f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM {source}
+), c AS (
+  SELECT doc_id, n, {step} * k AS base, substring(h, {2 * step} * k + 1, {2 * (step + LENGTH - 1)}) AS piece FROM d, LATERAL (SELECT unnest(range((n + {step - 1}) // {step})) AS k)
+), p AS (
+  SELECT doc_id, base + i AS pos, substring(piece, 2 * i + 1, {2 * LENGTH}) AS s FROM c, LATERAL (SELECT unnest(range(least({step}, n - base - {LENGTH - 1}))) AS i)
+), m AS (
+  SELECT s, min(doc_id) AS least_id FROM p GROUP BY s HAVING count(DISTINCT doc_id) > 1
+), g AS (
+  SELECT doc_id, pos, lag(pos) OVER w AS prior FROM p JOIN m USING (s) WHERE doc_id > least_id WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), r AS (
+  SELECT doc_id, pos, sum((prior IS NULL OR pos > prior + {LENGTH})::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g
+), x AS (
+  SELECT doc_id, run, min(pos) AS a, max(pos) + {LENGTH} AS b FROM r GROUP BY doc_id, run
+), k AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, list(a ORDER BY a) AS begins, list(b ORDER BY a) AS ends FROM x GROUP BY doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.h ELSE array_to_string(list_transform(list_zip([0] || k.ends, k.begins || [d.n]), lambda z: substring(d.h, 2 * z[1] + 1, 2 * (z[2] - z[1]))), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -50,7 +50,7 @@ from .kernel import Words, lists, mix, shingles, slices
 
 WIDTH, LEAF = 5, 16
 NEAREST_TILE, TILE, SPLIT = 256, 1024, 1 << 16
-BROADCAST_KEYS = 1 << 20  # keys dealt out in parts whose hubs are broadcast, 16 bytes each
+BROADCAST_KEYS = 1 << 20  # rows, of up to 32 bytes, of a table of keys or buckets that is broadcast
 _LEVELS = (5, 18)  # least and most bits of a group's number
 _FINE = 11  # up to so many bits, groups outnumber a set's members twice
 _COUNTERS, _CHUNK = 22, 1 << 16  # bits of a counter's number; counters sent in a row
@@ -383,12 +383,17 @@ def _members(docs: DataFrame, rows: DataFrame) -> DataFrame:
     postings = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(ranks), "part long, key long, cls long")
     shared = cut(postings.repartition("part").sortWithinPartitions("part", "cls").mapInArrow(_buckets, "key long, hub long, cls long"))
     parted = shared.where("key is not null")
-    hubs = cut(parted.groupBy("key").agg(F.min("hub").alias("least")))
-    hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_KEYS else hubs
+    hubs = _few(parted.groupBy("key").agg(F.min("hub").alias("least")))
     whole = shared.where("key is null").select("hub", "cls").unionByName(parted.join(hubs, "key").select(F.col("least").alias("hub"), "cls")).distinct()
     return cut(whole)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, of rows of up to 32 bytes, to be broadcast if it has at most BROADCAST_KEYS of them."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def _searched(points: DataFrame, nearest: bool) -> DataFrame:
     """points: bucket, lo, hi, tile, cls, comp, n, counts."""
     return points.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cls").mapInArrow(_trees(nearest), "a long, b long").distinct()
@@ -396,10 +401,11 @@ def _searched(points: DataFrame, nearest: bool) -> DataFrame:
 
 def _nearest(members: DataFrame, classes: DataFrame) -> DataFrame:
     """For each point of a bucket's tile the earlier one with most room."""
-    tiles = members.groupBy("hub").agg(F.count("*").alias("size")).where("size > 1").select("hub", F.ceil(F.col("size") / NEAREST_TILE).cast("int").alias("tiles"))
+    large = members.groupBy("hub").agg(F.count("*").alias("size")).where(F.col("size") > NEAREST_TILE).select("hub", F.ceil(F.col("size") / NEAREST_TILE).cast("int").alias("tiles"))
+    tiled = members.join(_few(large), "hub", "left").fillna(1, ["tiles"])
     own = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
     # the hub is in every tile
-    at = members.join(tiles, "hub").select(F.col("hub").alias("bucket"), "cls", F.explode(F.when(F.col("hub") == F.col("cls"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(own))).alias("tile"))
+    at = tiled.select(F.col("hub").alias("bucket"), "cls", F.explode(F.when(F.col("hub") == F.col("cls"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(own))).alias("tile"))
     points = at.join(classes.select("cls", "n", "counts"), "cls")
     return _searched(points.select("bucket", F.col("tile").alias("lo"), F.col("tile").alias("hi"), "tile", "cls", F.col("cls").alias("comp"), "n", "counts"), True)
 
@@ -410,7 +416,7 @@ def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
     left = cut(members.join(comp, "cls", "left").select(F.col("hub").alias("bucket"), "cls", F.coalesce("label", "cls").alias("comp")))
     each = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     size = each.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    here = left.join(size.select("bucket", "size", F.col("top.comp").alias("major"), F.col("top.n").alias("most")), "bucket")
+    here = left.join(_few(size.select("bucket", "size", F.col("top.comp").alias("major"), F.col("top.n").alias("most"))), "bucket")
     large, inside = F.col("size") > TILE, F.col("comp") == F.col("major")
     of = lambda n: F.ceil(n / TILE).cast("int")
     majors, minors = of(F.col("most")), of(F.col("size") - F.col("most"))

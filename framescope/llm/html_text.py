@@ -76,7 +76,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARAGRAPH = frozenset("p pre td blockquote dd li h1 h2 h3 h4 h5 h6 div section article main figcaption body".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _COMMA = re.compile("[,،、，]")
-_NEVER = frozenset(("body", "html", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p"))  # tags that class and id do not drop
+_NEVER = frozenset(("body", "html", "article", "main"))  # tags that class and id do not drop
 
 
 class Node:

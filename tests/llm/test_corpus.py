@@ -519,6 +519,7 @@ LONG = "The story goes on and on, with commas, clauses, and a long tail of words
         (f"<body><div id=c><p>{LONG}</p></div><h2>Heading two</h2><p>Tiny para</p><ul><li>an item</ul>loose<div><a href=/a>all</a> <a href=/b>links</a></div></body>", f"{LONG} Heading two Tiny para an item loose"),
         (f"<div><p>{LONG} see <a href=/x/>there</a> and on</p><p><a name='y'/>End.</p></div>", f"{LONG} see there and on End."),
         (f"<div class=sidebar><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><p class='ad'>buy</p><h2 class='related-posts'>more</h2><p id=advertisement>now</p></article>", LONG),
         (f"<div><header class=site-header>top</header><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><div class='cookieNotice'>we use</div></div>", f"Title {LONG}"),
         ("<b>" * 50_000 + "deep" + "</i>" * 50_000, "deep"), ("<td>" * 3 + "<b>x" * 20_000 + "</i>" * 20_000, "x" * 20_000),
     ],

@@ -35,6 +35,7 @@ from .common import cut
 
 BUCKET, BLOCK = 4096, 512
 SEEDS, SEED_BYTES = 4, 32 << 20
+BROADCAST_BUCKETS = 1 << 20  # buckets whose lengths are broadcast
 _LOW_COSINE = 0.3  # under it, coordinates prune too little to pay
 _FOCUS = 16
 _PACKED = "dim int, n long, longest double, ids binary, rows binary, matrix binary"
@@ -194,12 +195,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0)
     first = buckets.where(F.col("bucket").isin(seeds)).groupBy("dim").agg(F.collect_list(F.struct("longest", "ids", "rows", "matrix")).alias("seeds"))
     kept = "dim int, q_ids binary, q_rows binary, q_matrix binary, q_longest double"
     blocks = cut(blocks.join(F.broadcast(first), "dim", "left").select("dim", "q_ids", "q_rows", "q_matrix", "q_longest", "seeds").mapInArrow(seeded, f"{kept}, least binary, lowest double, answers binary"))
-    others = [(d, -x, b) for d, x, b in lengths if b not in set(seeds)]
-    reach = F.array(*[F.struct(F.lit(d).alias("dim"), F.lit(float(x)).alias("longest"), F.lit(b).alias("bucket")) for d, x, b in others])
+    others = len(lengths) - len(seeds)
     found = blocks.select("answers").mapInArrow(_unpacked, _FOUND)
     if others:
-        sent = blocks.withColumn("to", F.explode(F.filter(reach, lambda x: (x["dim"] == F.col("dim")) & (x["longest"] * F.col("q_longest") >= F.col("lowest") * (1 - 1e-12)))))
-        sent = sent.select("dim", "q_ids", "q_rows", "q_matrix", "least", F.col("to.bucket").alias("bucket"))
+        reach = buckets.where(~F.col("bucket").isin(seeds)).select("dim", "longest", "bucket")  # three numbers a bucket
+        reach = F.broadcast(reach) if others <= BROADCAST_BUCKETS else reach
+        sent = blocks.join(reach, "dim").where(F.col("longest") * F.col("q_longest") >= F.col("lowest") * (1 - 1e-12))
+        sent = sent.select("dim", "q_ids", "q_rows", "q_matrix", "least", "bucket")
 
         def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

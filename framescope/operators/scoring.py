@@ -78,7 +78,10 @@ def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None
         if len(x) == 1:
             x, y = (np.repeat(v, 3, axis=0) for v in (x, y))
         return pixels.ssimulacra2_sums(x, y, peak, unit.scale, first, own)
-    x, y = x.astype(np.float64), y.astype(np.float64)
+    halvings = 0 if unit.luma else unit.scale
+    for _ in range(halvings):
+        x, y = pixels.halved(x), pixels.halved(y)
+    x, y = x.astype(np.float64, copy=False), y.astype(np.float64, copy=False)
     if unit.luma:
         if len(x) != 3:
             raise ValueError(f"luma needs 3 planes, not {len(x)}")
@@ -91,7 +94,7 @@ def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None
         if len(x) == 1:
             x, y = (np.repeat(v, 3, axis=0) for v in (x, y))
         return [1.0, sum(float(m.mean()) for m in pixels.lpips_maps(x, y, peak, net))]
-    for _ in range(unit.scale):
+    for _ in range(unit.scale - halvings):
         x, y = pixels.halved(x), pixels.halved(y)
     if unit.kind == "gms":
         q = gms(unit, x, y, peak)

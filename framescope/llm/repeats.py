@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .kernel import _tables, grams, mix, slices
 
-LENGTH, GRAM, HOT = 50, 16, 8192
+LENGTH, GRAM, HOT = 50, 16, 16384
 FLUSH, SPREAD = 1 << 20, 64
 BROADCAST_KEYS = 1 << 20  # anchors of more than HOT classes that are broadcast, 17 bytes each
 _PLAIN, _SPREAD, _MARK, _FULL = range(4)
@@ -92,10 +92,12 @@ class Anchors:
 def combined(key: np.ndarray, context: np.ndarray, doc: np.ndarray, spread: int) -> tuple[np.ndarray, ...]:
     """(key, context, doc, kind) of some anchors: the smallest document of each context, spread out
     where its key has more than `spread` of them; marks of such keys; and, as full, all other documents."""
-    order = np.lexsort((doc, context))
-    key, context, doc = key[order], context[order], doc[order]
+    order = np.argsort(context, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = context[1:] != context[:-1]
+    new[1:] = context[order][1:] != context[order][:-1]
+    many = np.flatnonzero(~new | np.append(~new[1:], False))  # only contexts met again need their documents in order
+    order[many] = order[many][np.lexsort((doc[order[many]], context[order[many]]))]
+    key, context, doc = key[order], context[order], doc[order]
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc
     again = np.zeros(len(order), bool)
     again[1:] = ~new[1:] & (doc[1:] == doc[:-1])

@@ -21,6 +21,13 @@ def read(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     return spark.read.schema(SCHEMA).format(format).load(path)
 
 
+def store(frames: DataFrame, table: str, buckets: int = 200) -> None:
+    """Save a frame table in buckets of clip and frame: two of as many buckets are paired without a shuffle,
+    each frame scored where it lies."""
+    keys = ("clip_id", "frame_no")
+    frames.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+
 def shapes(height: int, width: int, color_family: str, subsampling: tuple[int, int] = (0, 0)) -> list[tuple[int, int]]:
     """(height, width) of each plane; subsampling: how often chroma is halved across and down."""
     if color_family == "GRAY":

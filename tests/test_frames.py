@@ -422,3 +422,13 @@ def test_whole_samples_sum_as_float_ones_do():
         assert a == pytest.approx(pixels.pixel_sums(x.astype(float), y.astype(float), 1e-3, 1.0), rel=1e-14)
         assert pixels.pixel_sums(x, y, 1e-3, 1.0, ("l1",)) == [0.0, a[1], 0.0, 0.0]
         assert np.array_equal(pixels.linear(x, top - 1.0), pixels.linear(x.astype(float), top - 1.0))
+
+
+def test_stored_frames_are_paired_without_a_shuffle(spark):
+    x, y = noisy(40, 40, 1)
+    for name, images in (("kept_ref", [x, y]), ("kept_dist", [y, x])):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        frames.store(table(spark, images), name, 3)
+    pairs = pair(spark.table("kept_ref"), spark.table("kept_dist"))
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert score_frames(spark.table("kept_ref"), spark.table("kept_dist"), "mse", color_family="GRAY").count() == 2

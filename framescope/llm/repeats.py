@@ -2,7 +2,7 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document of smaller doc_id.
 
-Every LENGTH-byte string holds an anchor: the leftmost least hash among its GRAM-byte strings, a
+Every LENGTH-byte string holds an anchor: the leftmost least hash (of 32 bits) among its GRAM-byte strings, a
 choice that depends on its bytes alone, so equal strings have equal anchors at equal places. Each
 anchor's *context* is all bytes of its document that a LENGTH-byte string around it can reach.
 
@@ -45,6 +45,7 @@ from .kernel import _tables, grams, mix, slices
 LENGTH, GRAM, HOT = 50, 16, 16384
 FLUSH, SPREAD = 1 << 20, 64
 BROADCAST_KEYS = 1 << 20  # anchors of more than HOT classes that are broadcast, 17 bytes each
+_PLACE = np.uint64((1 << 32) - 1)
 _PLAIN, _SPREAD, _MARK, _FULL = range(4)
 _FIRST = -(1 << 63)  # the context of a mark: it sorts first
 
@@ -60,13 +61,13 @@ class Anchors:
         if len(value) < wide or (size < LENGTH).all():
             self.at = np.zeros(0, np.int64)
         else:
-            # leftmost minimum of `wide` grams from each position, by doubling
-            low, where, span = value, np.arange(len(value), dtype=np.int32 if len(value) < 1 << 31 else np.int64), 1
+            # leftmost minimum of `wide` grams from each position, by doubling; a number is hash, then place
+            low, span = (value & ~_PLACE) | np.arange(len(value), dtype=np.uint64), 1
             while span < wide:
                 step = min(span, wide - span)
-                left = low[: len(low) - step] <= low[step:]
-                low, where = np.where(left, low[: len(low) - step], low[step:]), np.where(left, where[: len(where) - step], where[step:])
+                low = np.minimum(low[: len(low) - step], low[step:])
                 span += step
+            where = (low & _PLACE).astype(np.int64)
             whole = np.zeros(len(where) + 1, np.int64)
             for a, n in zip(offsets[:-1], size, strict=True):
                 if n >= LENGTH:

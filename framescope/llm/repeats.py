@@ -298,7 +298,7 @@ def matches(key: np.ndarray, doc: np.ndarray, left: list[bytes], right: list[byt
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: masks of the contexts; whole keys, about 64k contexts at a time."""
+    """Rows sorted by key: masks of the contexts; whole keys, about 16k contexts at a time."""
 
     def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
@@ -311,7 +311,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         key = np.asarray(batch.column("key"))
-        if rows >= 1 << 16:
+        if rows >= 1 << 14:
             turns = np.flatnonzero(key != np.asarray(held[-1].column("key"))[-1])
             if len(turns):
                 held.append(batch.slice(0, turns[0]))

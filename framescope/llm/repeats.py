@@ -43,7 +43,7 @@ from .common import cut
 from .kernel import _tables, grams, mix, slices
 
 LENGTH, GRAM, HOT = 50, 16, 16384
-FLUSH, SPREAD = 1 << 20, 64
+FLUSH, SPREAD = 1 << 18, 32
 BROADCAST_KEYS = 1 << 20  # anchors of more than HOT classes that are broadcast, 17 bytes each
 _PLACE = np.uint64((1 << 32) - 1)
 _PLAIN, _SPREAD, _MARK, _FULL = range(4)

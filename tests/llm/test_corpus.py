@@ -649,7 +649,7 @@ def repeat_texts():
     return out
 
 
-@pytest.mark.parametrize(("hot", "flush", "spread"), [(4096, 1 << 20, 64), (1, 1 << 20, 64), (4096, 40, 1), (4096, 300, 3), (2, 1 << 20, 0)])
+@pytest.mark.parametrize(("hot", "flush", "spread"), [(16384, 1 << 18, 32), (1, 1 << 18, 32), (4096, 40, 1), (4096, 300, 3), (2, 1 << 20, 0)])
 def test_repeats(spark, monkeypatch, hot, flush, spread):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "FLUSH", flush)

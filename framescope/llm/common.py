@@ -22,6 +22,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(False))
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector is there and all its entries are finite numbers."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return vector.isNotNull() & ~F.coalesce(F.exists(vector, bad), F.lit(True))
+
+
+def floored(x: Column, scale: float) -> Column:
+    """floor(scale * x) as a long. Past 2**53 doubles are no longer whole numbers apart: that fails the job."""
+    y = x.cast("double") * scale
+    return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("a scaled vector component passes 2**53")).cast("long"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in the one that all executors share, spark.checkpoint.dir. Where none is
     named, a local session gets a folder that goes with the process; a cluster has none to offer."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard_join, language_id, mixing, pii, quality, repeats, sharding, topk
+from . import decontamination, html_text, jaccard_join, language_id, mixing, pii, quality, repeats, resampling, secrets, sharding, topk, whitening
 from .common import table
 
 
@@ -66,9 +66,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_pii, op5_jaccard_join, op6_top_k, op7_html_text, op8_sharding, op9_repeats, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality, op4_pii, op5_jaccard_join, op6_top_k, op7_html_text, op8_sharding, op9_repeats, op10_mixing, op11_secrets, op12_resampling, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.oracle("documents"), "op4_pii": pii.oracle("documents"), "op5_jaccard_join": jaccard_join.oracle("documents"), "op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents"), "op9_repeats": repeats.oracle("documents"), "op10_mixing": mixing.oracle("documents")}
+    return {"op2_decontamination": decontamination.oracle("documents"), "op4_pii": pii.oracle("documents"), "op5_jaccard_join": jaccard_join.oracle("documents"), "op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents"), "op9_repeats": repeats.oracle("documents"), "op10_mixing": mixing.oracle("documents"), "op11_secrets": secrets.oracle("documents"), "op12_resampling": resampling.oracle("documents", "benchmark")}

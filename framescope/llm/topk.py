@@ -13,7 +13,7 @@ formed; each pair of them gives at most k rows a query, and a window keeps k a q
 task before the shuffle.
 
 Products are exact: components are quantised to integers, multiplied in float64 while below 2**53
-(else in Python integers; a score past 64 bits fails the job). Vectors that are null or hold null or non-finite components, and rows of
+(else in Python integers; a scaled component past 2**53 or a score past 64 bits fails the job). Vectors that are null or hold null or non-finite components, and rows of
 null id, take no part. A vector is compared only with vectors of as many components. Ties go to the
 smaller id. Rows that repeat an id are separate candidates and separate queries, each of which leaves
 out itself alone; their answers stand under one query_id with ranks of their own. An empty vector
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut
+from .common import cut, floored, usable
 
 BUCKET, BLOCK = 4096, 512
 SEEDS, SEED_BYTES = 4, 32 << 20
@@ -44,8 +44,7 @@ _FOUND = "query_id long, query_row long, vec_id long, vec_row long, score long"
 
 def quantised(column: Column, scale: float) -> Column:
     """floor(scale * x) of each component, or null where the vector takes no part."""
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(column.isNotNull() & ~F.coalesce(F.exists(column, bad), F.lit(True)), F.transform(column, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    return F.when(usable(column), F.transform(column, lambda x: floored(x, scale)))
 
 
 def _packed(size: int):

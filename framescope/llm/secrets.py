@@ -69,7 +69,7 @@ PATTERNS = (
 LEAST = (6, 20, 24)  # characters of group 2, of the match, of the match
 NAMES = "password|passwd|passphrase|passcode|passwort|kennwort|contrase(?:ñ|Ñ|n)a|clave|mot de passe|pwd|pass|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|auth"
 CONTEXTS = (
-    rf"""(?:{any_case(NAMES)})[A-Za-z0-9_-]{{0,32}}["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?(?:{any_case("bearer|basic")}\x20)?([!#$%&()*+./0-9:=?@A-Z\[\\\]^_a-z{{|}}~-]{{5,}}[!#$%&*+/0-9=@A-Z^_a-z~-])""",
+    rf"""(?:{any_case(NAMES)})[A-Za-z0-9_-]{{0,32}}["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?(?:(?:{any_case("bearer|basic")})\x20)?([!#$%&()*+./0-9:=?@A-Z\[\\\]^_a-z{{|}}~-]{{5,}}[!#$%&*+/0-9=@A-Z^_a-z~-])""",
     r"""://[^\s:/@"']{1,64}:([!#$%&()*+.0-9=?A-Z\[\\\]^_a-z{|}~-]{6,})@""",
 )
 _BASE, _VALUE = tuple(map(re.compile, PATTERNS)), tuple(map(re.compile, CONTEXTS))

@@ -9,7 +9,7 @@ same sums share units.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,12 +40,12 @@ class Unit:
 
     @property
     def halo(self) -> int:
-        return self.args[0] - 1 if self.kind == "ssim" else 2 if self.kind == "gms" else 0
+        return self.args[0] - 1 if self.kind in ("ssim", "pyramid") else 2 if self.kind == "gms" else 0
 
     @property
     def banded(self) -> bool:
         """Whether bands of a plane may be worked on apart; the other kinds see whole planes."""
-        return self.kind in ("gms", "ssimulacra2") or self.kind == "pixel" and self.args != (None,) or self.kind == "ssim" and not self.args[4]
+        return self.kind in ("gms", "ssimulacra2", "pyramid") or self.kind == "pixel" and self.args != (None,) or self.kind == "ssim" and not self.args[4]
 
 
 def _units(p: Plan) -> list[Unit]:
@@ -54,8 +54,8 @@ def _units(p: Plan) -> list[Unit]:
     if f.kind == "pixel":
         return [Unit("pixel", 0, *base, (o.get("eps", 1e-3) if f.name == "charbonnier" else 1e-3, o.get("delta", 1.0)))]
     if f.kind == "ssim":
-        scales = range(len(o["weights"])) if f.name == "ms_ssim" else range(1)
-        return [Unit("ssim", s, *base, (o["win_size"], float(o["sigma"]), *map(float, o["K"]), bool(o.get("downsample")))) for s in scales]
+        window = (o["win_size"], float(o["sigma"]), *map(float, o["K"]))
+        return [Unit("pyramid", 0, *base, (*window, len(o["weights"]))) if f.name == "ms_ssim" else Unit("ssim", 0, *base, (*window, bool(o.get("downsample"))))]
     if f.kind == "gms":
         return [Unit("gms", int(o["downsample"]), *base, (o["T"], o["eps"]))]
     if f.kind == "ssimulacra2":
@@ -94,6 +94,8 @@ def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None
         if len(x) == 1:
             x, y = (np.repeat(v, 3, axis=0) for v in (x, y))
         return [1.0, sum(float(m.mean()) for m in pixels.lpips_maps(x, y, peak, net))]
+    if unit.kind == "pyramid":
+        return _pyramid(unit, x, y, peak, own)
     for _ in range(unit.scale - halvings):
         x, y = pixels.halved(x), pixels.halved(y)
     if unit.kind == "gms":
@@ -101,27 +103,44 @@ def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None
         return [float(q.size), float(q.sum()), float(((q - q.mean()) ** 2).sum()), float(q.sum() ** 2 / q.size)]
     if unit.args[4]:
         x, y = pixels.shrunk(x), pixels.shrunk(y)
+    return _ssim_sums(unit, x, y, peak, x.shape[1] - unit.halo)
+
+
+def _ssim_sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, rows: int) -> list[float]:
+    """Positions, and the sums of SSIM and contrast, over the first `rows` rows of the maps."""
     out = [0.0, 0.0, 0.0]
-    for top in range(0, x.shape[1] - unit.halo, _ROWS):
-        part = slice(top, min(top + _ROWS + unit.halo, x.shape[1]))
+    for top in range(0, rows, _ROWS):
+        part = slice(top, min(top + _ROWS, rows) + unit.halo)
         full, contrast = ssim(unit, x[:, part], y[:, part], peak)
         out = [a + float(b) for a, b in zip(out, (full.size, full.sum(), contrast.sum()), strict=True)]
     return out
 
 
+def _pyramid(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, own: int) -> list[float]:
+    """The sums of every scale from one band, halved from scale to scale; own: source rows whose maps count
+    here, 0 for all to the frame's end."""
+    out = []
+    for s in range(unit.args[4]):
+        if s:
+            x, y = pixels.halved(x), pixels.halved(y)
+        rows = x.shape[1] - unit.halo
+        out += _ssim_sums(unit, x, y, peak, min(rows, own >> s) if own else rows)
+    return out
+
+
 def gms(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float) -> np.ndarray:
     t, eps = unit.args
     return pixels.gms_map(x, y, 170.0 * (peak / 255.0) ** 2 if t is None else t, (1e-6 * peak) ** 2 if eps is None else eps)
 
 
 def ssim(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float) -> tuple[np.ndarray, np.ndarray]:
-    size, sigma, k1, k2, _ = unit.args
+    size, sigma, k1, k2 = unit.args[:4]
     return pixels.ssim_maps(x, y, peak, pixels.gaussian(size, sigma), k1, k2)
 
 
 def _least(unit: Unit) -> int:
     """Smallest side of a plane that a unit accepts, after cropping."""
-    return {"ssim": (unit.halo + 1) << unit.scale, "gms": 3 << unit.scale, "ssimulacra2": 8, "lpips": 32}.get(unit.kind, 1)
+    return {"ssim": (unit.halo + 1) << unit.scale, "pyramid": (unit.halo + 1) << (unit.args[4] - 1 if unit.kind == "pyramid" else 0), "gms": 3 << unit.scale, "ssimulacra2": 8, "lpips": 32}.get(unit.kind, 1)
 
 
 def peak(dtype: Column, bits: Column, given: float | None = None) -> Column:
@@ -149,6 +168,24 @@ def _strips(i: int, u: Unit, step: int, p: Column, inner: Column, across: Column
     return F.transform(fault.otherwise(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))), band)
 
 
+def pyramid_step(scales: int) -> int:
+    """Rows of a pyramid's band: whole blocks of its coarsest scale, and some times its halo."""
+    return max(BAND >> (scales - 1), 1) << (scales - 1)
+
+
+def _tall(i: int, u: Unit, p: Column, inner: Column, fault: Column) -> Column:
+    """Bands of all scales of a pyramid at once: the halo below is that of the coarsest one."""
+    scales = u.args[4]
+    step, halo = pyramid_step(scales), u.halo << (scales - 1)
+    last = F.greatest(F.lit(0), F.ceil((inner - halo) / step).cast("int") - 1)
+
+    def band(b: Column) -> Column:
+        end = F.when(b == last, inner).otherwise(b * step + step + halo)
+        return F.struct(F.lit(i).alias("unit"), p.alias("plane"), (b * step + u.crop).alias("top"), (end - b * step).alias("rows"), F.lit(0).alias("first"), F.when(b == last, 0).otherwise(step).alias("own"))
+
+    return F.transform(fault.otherwise(F.sequence(F.lit(0), last)), band)
+
+
 def _ssimulacra2(bands: Column, units: list[int]) -> Column:
     """The score from a frame's bands (unit, pixels and 18 sums; a few a scale). The weights are laid out by
     channel, scale, norm and map for the scales there are."""
@@ -165,13 +202,14 @@ def _ssimulacra2(bands: Column, units: list[int]) -> Column:
     return F.get(F.transform(cubic, lambda v: F.when(v > 0, 100.0 - 10.0 * F.pow(v, F.lit(0.6276336467831387))).otherwise(100.0)), F.lit(0))
 
 
-def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool) -> DataFrame:
-    """One row a band: unit, plane, rows, width, and its bytes of both frames."""
+def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool, bands: Callable | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+    """One row a band: unit, plane, rows, width, and its bytes of both frames. bands: another way to cut a
+    unit's planes; extra: further columns of the pair."""
     rgb = F.col("color_family") == "RGB"
     if rgb_only:
         pairs = pairs.withColumn("ref", F.when(~F.col("color_family").isin("RGB", "GRAY"), F.raise_error(F.lit("RGB frames are needed; convert first"))).otherwise(F.col("ref")))
 
-    def bands(i: int, u: Unit):
+    def usual(i: int, u: Unit):
         """From a plane's number to the bands of unit i in it."""
         step = max(1, BAND >> u.scale)
 
@@ -183,6 +221,8 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool) -> DataFrame:
             fault = F.concat(F.lit(f"{u.kind} at scale {u.scale} needs {_least(u)} pixels a side after cropping, not "), inner.cast("string"), F.lit(" x "), across.cast("string"))
             if u.kind == "ssimulacra2":
                 return _strips(i, u, step, p, inner, across, F.when(small, F.raise_error(fault).cast("array<int>")))
+            if u.kind == "pyramid":
+                return _tall(i, u, p, inner, F.when(small, F.raise_error(fault).cast("array<int>")))
             last = F.greatest(F.lit(0), F.ceil(out / step).cast("int") - 1) if u.banded else F.lit(0)
             starts = F.when(small, F.raise_error(fault).cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda b: b * step))
 
@@ -198,8 +238,9 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool) -> DataFrame:
     pieces = []
     for i, u in enumerate(units):
         last = F.lit(0) if u.whole else F.size("ref") - 1 if u.kind == "pixel" else F.when(rgb, F.size("ref") - 1).otherwise(0)
-        pieces.append(F.flatten(F.transform(F.sequence(F.lit(0), last), bands(i, u))))
-    rows = pairs.select(*KEYS, "color_family", "bits", "dtype", "ref", "dist", F.explode(F.flatten(F.array(*pieces))).alias("b")).select("*", "b.*").drop("b")
+        pieces.append(F.flatten(F.transform(F.sequence(F.lit(0), last), (bands or usual)(i, u))))
+    extra = extra or {}
+    rows = pairs.select(*KEYS, "color_family", "bits", "dtype", "ref", "dist", *[c.alias(n) for n, c in extra.items()], F.explode(F.flatten(F.array(*pieces))).alias("b")).select("*", "b.*").drop("b")
     width = reduce(lambda c, t: c.when(F.col("dtype") == t, pixels.WIDTH[t]), pixels.WIDTH, F.when(F.lit(False), 0)).otherwise(F.raise_error(F.concat(F.lit("unknown dtype "), F.col("dtype"))))
     whole = F.col("unit").isin([i for i, u in enumerate(units) if u.whole])
 
@@ -211,7 +252,7 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool) -> DataFrame:
         joined = F.when(many == 1, part(F.get(side, F.lit(0)))).otherwise(F.concat(*[part(F.get(side, F.lit(j))) for j in range(3)]))
         return F.when(whole, joined).otherwise(one)
 
-    return rows.select(*KEYS, "dtype", "bits", "unit", "plane", "first", "own", F.when(whole, F.size("ref")).otherwise(1).alias("n"), "rows", F.get("ref", F.col("plane"))["width"].alias("width"), cut("ref").alias("r"), cut("dist").alias("d"))
+    return rows.select(*KEYS, *extra, *(["top"] if bands else []), "dtype", "bits", "unit", "plane", "first", "own", F.when(whole, F.size("ref")).otherwise(1).alias("n"), "rows", F.get("ref", F.col("plane"))["width"].alias("width"), cut("ref").alias("r"), cut("dist").alias("d"))
 
 
 def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...]):
@@ -228,6 +269,13 @@ def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...]):
     return run
 
 
+def _shared(needed: list[list[Unit]]) -> list[list[Unit]]:
+    """SSIM reads the first scale of a pyramid of the same window, where one is asked for too."""
+    tall = [us[0] for us in needed if us[0].kind == "pyramid"]
+    alike = lambda u, v: u.kind == "ssim" and not u.args[4] and (u.whole, u.crop, u.luma, u.peak, u.args[:4]) == (v.whole, v.crop, v.luma, v.peak, v.args[:4])
+    return [next(([v] for v in tall if alike(us[0], v)), us) for us in needed]
+
+
 def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None = None, max_planes: int = 3, color_family: str | None = None, **common) -> DataFrame:
     """clip_id, frame_no and a column a score for every pair.
 
@@ -239,7 +287,7 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
         color_family = first[0] if first else "GRAY"
     if color_family not in SUFFIXES:
         raise ValueError(f"color_family is one of {sorted(SUFFIXES)}, not {color_family!r}")
-    needed = [_units(p) for p in plans]
+    needed = _shared([_units(p) for p in plans])
     units = list(dict.fromkeys(u for us in needed for u in us))
     nets = [p.options["net"] for p in plans if p.feature.name == "lpips"]
     if nets and nets[0] is None:
@@ -280,7 +328,7 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
         elif f.name == "ms_ssim":
             weights = p.options["weights"]
             each = [
-                reduce(lambda a, b: a * b, (F.pow(F.greatest(of(v, c, 1 if j == len(us) - 1 else 2) / of(v, c, 0), F.lit(0.0)), F.lit(float(w))) for j, (v, w) in enumerate(zip(us, weights, strict=True))))
+                reduce(lambda a, b: a * b, (F.pow(F.greatest(of(u, c, 3 * j + (1 if j == len(weights) - 1 else 2)) / of(u, c, 3 * j), F.lit(0.0)), F.lit(float(w))) for j, w in enumerate(weights)))
                 for c in range(1 if single else n_planes)
             ]
             columns.append((reduce(lambda a, b: a + b, each) / len(each)).alias(f.column))

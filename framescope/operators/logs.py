@@ -79,7 +79,11 @@ def log(scores: DataFrame, format: str, digits: int | None = None) -> DataFrame:
 def write(scores: DataFrame, path: str, format: str, mode: str = "errorifexists") -> None:
     """Text part files under path; in name order they are the log. Formats with pooled statistics read
     the scores several times: they are kept while the log is written."""
-    kept = scores if scores.storageLevel.useMemory or format in ("csv", "sub") else scores.persist()
-    log(kept, format).orderBy("place").select("line").write.mode(mode).text(path)
-    if kept is not scores or not scores.storageLevel.useMemory:
-        kept.unpersist()
+    held = not scores.storageLevel.useMemory and format not in ("csv", "sub")
+    if held:
+        scores.persist()
+    try:
+        log(scores, format).orderBy("place").select("line").write.mode(mode).text(path)
+    finally:
+        if held:  # only what was cached here
+            scores.unpersist()

@@ -9,6 +9,12 @@ Where an `article` or `main` element holds the best container it is kept whole,
 only if it scores like content. Should the marks leave nothing of a page that has text, those of class
 and id are passed over.
 
+Two kinds of marks are weighed by what the element holds, once the page is read. A form (or fieldset, or
+label) that wraps the page's text is no form in this sense: it stays if it holds an article, a main
+element or an h1, or most of the page's text in real paragraphs; its controls go. A word that also names
+contents (social, menu, navigation: "social-sciences", "lunch-menu") marks boilerplate as a whole name or beside its usual
+companions; in another compound only if most of the element's text is links. Headings are never headers.
+
 Blocks are joined in page order by one space; character references are decoded and white space
 becomes one space. Null or empty html, or a page without text: the empty string. Ties between
 containers: the outer, then the earlier. Repeated rows and rows of null page_id or url give rows of
@@ -36,7 +42,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 # Element classes of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math object select".split())
+_RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg object select annotation annotation-xml".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -45,13 +51,16 @@ _CLOSES_P = _BLOCK - frozenset("body html option caption tbody td tfoot th thead
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 _SCOPE = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",))}
 _BOUND = frozenset(("table", "td", "th", "html", "body", "button", "caption"))
-_DROP_TAG = frozenset("head nav footer aside form button dialog menu label fieldset".split())
+_DROP_TAG = frozenset("head nav footer aside button dialog menu".split())
+_WRAPPERS = frozenset("form fieldset label".split())
+_INSIDE = ("article", "main", "h1")  # what a form wraps only if it wraps the page
+_PROSE = 140  # characters of paragraphs without links that make a form's text prose
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # Parts of class and id names: those that mark boilerplate alone, and those that do so as a whole name
 # or beside one of the parts given ("related-posts" is a link list, "related-work" a section).
 _DROP_WORD = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer comments disqus respond replies cookie cookies consent gdpr popup modal newsletter subscribe signup social sharing pagination pager widget".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar navbar breadcrumb breadcrumbs "
+    "comments disqus respond replies cookie cookies consent gdpr popup newsletter subscribe signup pagination pager widget".split()
 )
 _BESIDE = {
     x: frozenset(y.split())
@@ -70,8 +79,18 @@ _BESIDE = {
         "overlay": "box close dark inner modal page",
         "login": "area bar box button form link",
         "toolbar": "bar bottom page site top",
+        "menu": "bar box button footer global header icon inner item items left link links list main mobile nav navigation primary right secondary side site sub toggle top wrapper",
+        "nav": "bar bottom box container footer global header inner item items left link links list main menu mobile next post posts prev primary right secondary side site sub tabs top wrapper",
+        "navigation": "bar bottom box footer global header inner left links list main menu mobile post posts primary right secondary side site sub top wrapper",
+        "footer": "bar global inner links main menu nav page post site top widgets wrapper",
+        "modal": "body box content dialog inner overlay window",
+        "social": "bar box buttons follow icons links list media nav network networks share sharing widget",
+        "sharing": "bar box buttons icons links social tools",
     }.items()
 }
+# of these, other compounds are weighed by their links
+_DOUBTFUL = frozenset("menu nav navigation footer modal social sharing".split())
+_TITLE_WORD = frozenset("header banner masthead".split())  # words that headings carry too
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARAGRAPH = frozenset("p pre td blockquote dd li h1 h2 h3 h4 h5 h6 div section article main figcaption body".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -80,34 +99,42 @@ _NEVER = frozenset(("body", "html", "article", "main"))  # tags that class and i
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score")
+    __slots__ = ("tag", "parent", "children", "dropped", "doubtful", "score")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.children, self.dropped, self.score = tag, parent, [], dropped, 0.0
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.children, self.dropped, self.doubtful, self.score = tag, parent, [], dropped, doubtful, 0.0
 
 
-def _marked(name: str) -> bool:
-    """Whether one class name or id marks boilerplate."""
+def _marked(name: str, tag: str) -> bool | None:
+    """Whether one class name or id marks boilerplate; None: if the element is mostly links."""
     parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x]
     if not _DROP_WORD.isdisjoint(parts):
         return True
-    return any(x in _BESIDE and (len(parts) == 1 or not _BESIDE[x].isdisjoint(parts)) for x in parts)
+    words = [x for x in parts if x in _BESIDE and not (tag in _HEADING and x in _TITLE_WORD)]
+    if any(len(parts) == 1 or not _BESIDE[x].isdisjoint(parts) for x in words):
+        return True
+    return None if any(x in _DOUBTFUL for x in words) else False
 
 
-def _boilerplate(tag: str, attrs: str, inside_article: bool, names: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, inside_article: bool, names: bool) -> bool | None:
+    """Whether an element's tag or attributes mark boilerplate; None: that depends on what it holds."""
     if tag in _DROP_TAG or tag == "header" and not inside_article:
         return True
+    doubt = None if tag in _WRAPPERS else False
     if not attrs or attrs.isspace():
-        return False
+        return doubt
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
         if name == "role" and value.lower() in _DROP_ROLE:
             return True
-        if names and name in ("class", "id") and tag not in _NEVER and not (tag == "header" and inside_article) and any(map(_marked, value.split())):
-            return True
-    return False
+        if names and name in ("class", "id") and tag not in _NEVER and not (tag == "header" and inside_article):
+            marks = [_marked(x, tag) for x in value.split()]
+            if True in marks:
+                return True
+            doubt = None if None in marks else doubt
+    return doubt
 
 
 class _Open:
@@ -179,14 +206,40 @@ def parse(html: str, names: bool = True) -> Node:
         if stack[-1].tag == "head" and tag in _BLOCK:
             open_.pop_to(1)
         attrs = m["attrs"] or m["attrs2"] or ""
-        node = Node(tag, stack[-1], stack[-1].dropped or _boilerplate(tag, attrs, bool(open_.at["article"]), names))
+        marked = _boilerplate(tag, attrs, bool(open_.at["article"] or open_.at["main"]), names)
+        node = Node(tag, stack[-1], stack[-1].dropped or marked is True, marked is None)
         stack[-1].children.append(node)
         # a closing slash ends an inline element at once, but not as the end of an unquoted value
         if tag in _BLOCK or not re.search(r"(?:^|[\s\"'])/$", attrs):
             open_.push(node)
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Drop the doubtful elements that hold what their mark says: forms, and lists of links."""
+    nodes = _order(root)
+    if not any(x.doubtful for x in nodes):
+        return
+    chars, linked, prose, inside = {}, {}, {}, {}
+    for x in reversed(nodes):  # children before parents
+        below = [c for c in x.children if isinstance(c, Node) and not c.dropped]
+        own = sum(len("".join(c.split())) for c in x.children if isinstance(c, str))
+        k = id(x)
+        chars[k] = own + sum(chars[id(c)] for c in below)
+        linked[k] = chars[k] if x.tag == "a" else sum(linked[id(c)] for c in below)
+        free = chars[k] - linked[k]
+        prose[k] = free if x.tag in ("p", "li", "td", "blockquote", "pre") and free >= 40 else sum(prose[id(c)] for c in below)
+        inside[k] = x.tag in _INSIDE or any(inside[id(c)] for c in below)
+    whole = chars[id(root)]
+    for x in nodes:
+        k = id(x)
+        if x.doubtful and x.tag in _WRAPPERS:
+            x.dropped = not (inside[k] or 2 * chars[k] >= whole and prose[k] >= _PROSE)
+        elif x.doubtful:
+            x.dropped = 2 * linked[k] > chars[k]
+
+
 def _order(root: Node) -> list[Node]:
     """Elements that are not boilerplate, parents first."""
     out, todo = [], [root]

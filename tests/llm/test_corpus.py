@@ -521,6 +521,12 @@ LONG = "The story goes on and on, with commas, clauses, and a long tail of words
         (f"<div class=sidebar><p>{LONG}</p></div>", LONG),
         (f"<article><p>{LONG}</p><p class='ad'>buy</p><h2 class='related-posts'>more</h2><p id=advertisement>now</p></article>", LONG),
         (f"<div><header class=site-header>top</header><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><div class='cookieNotice'>we use</div></div>", f"Title {LONG}"),
+        (f"<body><form id='aspnetForm' action=x><input name=q><div class=content><h2>On ships</h2><p>{LONG}</p><p>{LONG}</p><label>Name</label><select><option>one</select></div></form></body>", f"On ships {LONG} {LONG}"),
+        (f"<body><form id=f><main><h1>Title</h1><p>{LONG}</p><button>Send</button></main></form></body>", f"Title {LONG}"),
+        (f"<body><div><p>{LONG}</p></div><form><p>Subscribe to our letter, and never miss a post again.</p><input></form></body>", LONG),
+        ("<body><form><label>User</label><input><button>Log in</button></form></body>", ""),
+        (f"<article><h1 class=page-header>Head</h1><p>{LONG}</p><section id='social-sciences'><p>Sociology, too.</p></section><section id='ship-navigation'><p>By the stars.</p></section><section class='lunch-menu'><ul><li>Soup<li>Bread</ul></section><div class='quick-nav'><a href=a>one</a> <a href=b>two</a></div><div class=social-links>follow us</div></article>", f"Head {LONG} Sociology, too. By the stars. Soup Bread"),
+        (f"<main><header><h1>Title</h1></header><p>{LONG} Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math> be.</p></main>", f"Title {LONG} Let x=2 be."),
         ("<b>" * 50_000 + "deep" + "</i>" * 50_000, "deep"), ("<td>" * 3 + "<b>x" * 20_000 + "</i>" * 20_000, "x" * 20_000),
     ],
 )

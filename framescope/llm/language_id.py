@@ -4,7 +4,9 @@ A text's byte n-grams inside words (with one boundary byte at either end) are ha
 embedding matrix; their mean goes through a linear softmax. Both are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled rows. A temperature and a rejection threshold are
 fitted on a part of the sample that training does not see, so that `score` is a calibrated
-probability and `rejected` marks texts below the precision asked for.
+probability and `rejected` marks texts below the precision asked for. Of a sample of fewer than LEAST_APART
+rows nothing is set apart: both are fitted on the training rows. The sample is taken in an order by a hash of id and
+text, so that the same rows give the same model however they are partitioned.
 
 Since the mean and the softmax's weights are linear, scoring uses their product: one weight a
 bucket and language, summed over the whole text inside an Arrow batch; nothing is shuffled.
@@ -30,6 +32,7 @@ from .kernel import _LOWER, _SPACE, lists, slices
 
 BUCKETS, DIM = 1 << 16, 16
 SAMPLE_PER_LANGUAGE = 600  # bound of the training sample (expected rows a language)
+LEAST_APART = 20  # rows of a sample that can spare some for calibration
 EPOCHS, RATE, PRECISION = 6, 2.0, 0.99
 UNKNOWN = "und"
 
@@ -69,7 +72,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.searchsorted(offsets, at, "right") - 1
             key, n = np.unique(doc * BUCKETS + bucket, return_counts=True)
             per = np.bincount(key // BUCKETS, minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), lists((key % BUCKETS).astype(np.int32), per, pa.int32()), lists(n.astype(np.int32), per, pa.int32())], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in ("lang", "place")), lists((key % BUCKETS).astype(np.int32), per, pa.int32()), lists(n.astype(np.int32), per, pa.int32())], ["lang", "place", "bucket", "n"])
 
 
 class Model:
@@ -116,13 +119,15 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     place = {x: i for i, x in enumerate(languages)}
     rows = []
-    for r in picked.select("lang", "text").mapInArrow(_counts, "lang string, bucket array<int>, n array<int>").toArrow().to_pylist():
+    place_of = F.xxhash64("doc_id", "text").alias("place")  # training order does not depend on partitions
+    found = picked.select("lang", place_of, "text").mapInArrow(_counts, "lang string, place long, bucket array<int>, n array<int>").toArrow()
+    for r in found.sort_by([("place", "ascending"), ("lang", "ascending")]).to_pylist():
         n = np.asarray(r["n"], np.float32)
         if len(n):
             rows.append((place[r["lang"]], np.asarray(r["bucket"]), n / n.sum()))
     if not rows:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    apart = np.arange(len(rows)) % 5 == 0 if len(rows) >= 20 else np.zeros(len(rows), bool)
+    apart = np.arange(len(rows)) % 5 == 0 if len(rows) >= LEAST_APART else np.zeros(len(rows), bool)
     embed, weight, bias = _sgd([r for r, x in zip(rows, apart, strict=True) if not x], len(languages))
     model = Model(languages, embed @ weight, bias.astype(np.float64), 1.0, 0.0)
     seen = [r for r, x in zip(rows, apart, strict=True) if x] or rows

@@ -23,6 +23,7 @@ result. Extra columns stay in `in_order`, whatever their names, and are dropped
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import md5
 from heapq import heappop, heappush
 from math import gcd, isqrt
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 BLOCK = 64
+RECIPE = 13  # weights of the registered query are 1 to this
 BROADCAST_SLOTS = 1 << 22  # slots of a period that are broadcast as one number each
 _NULL = "\x00"
 _BITS, _GROUP = 48, 1 << 12  # rows of a source that one task ranks, about
@@ -71,17 +73,31 @@ def tempered(counts: dict[str, int]) -> dict[str, int]:
     return {x: max(1, isqrt(n)) for x, n in counts.items()}
 
 
+def stated(docs: DataFrame) -> dict[str | None, int]:
+    """The registered query's recipe: a source weighs 1 + (first four hex digits of its name's MD5) modulo RECIPE,
+    so targets differ between sources of one size and do not depend on the table."""
+    names = [r["source"] for r in docs.select("source").distinct().collect()]  # one row a source
+    return {x: 1 + int(md5((x or "").encode()).hexdigest()[:4], 16) % RECIPE for x in names}
+
+
+def _key(name: str | None) -> str:
+    """A source's name inside: null apart from every name, one that is U+0000 too."""
+    return _NULL if name is None else _NULL + name if name.startswith(_NULL) else name
+
+
 def _source() -> Column:
-    return F.coalesce(F.col("source"), F.lit(_NULL))
+    source = F.col("source")
+    return F.when(source.isNull(), F.lit(_NULL)).when(source.startswith(_NULL), F.concat(F.lit(_NULL), source)).otherwise(source)
 
 
-def placed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, keep: tuple[str, ...] = ("*",)) -> DataFrame:
-    """row (a struct of docs' columns, or of those to keep), source_key, block, place (in the block), slot, release,
+def placed(docs: DataFrame, weights: dict[str | None, int] | None = None, block: int = BLOCK, keep: tuple[str, ...] = ("*",)) -> DataFrame:
+    """weights by source name, None for null. row (a struct of docs' columns, or of those to keep), source_key, block, place (in the block), slot, release,
     deadline, mixed."""
     spark = docs.sparkSession
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, _BITS // 4), 16, 10).cast("long")
     sizes = {r["s"]: r["n"] for r in docs.groupBy(_source().alias("s")).agg(F.count("*").alias("n")).collect()}  # one row a source
-    whole = reduced(tempered(sizes) if weights is None else {x: weights.get(x, 0) for x in sizes})
+    given = tempered(sizes) if weights is None else {_key(x): w for x, w in weights.items()}
+    whole = reduced({x: given.get(x, 0) for x in sizes})
     period = sum(whole.values())
     blocks = {x: -(-n // block) for x, n in sizes.items()}
     # the first block that a source lacks is due by this slot, so the mix ends before it
@@ -98,7 +114,7 @@ def placed(docs: DataFrame, weights: dict[str, int] | None = None, block: int =
     ordered = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "tie")
     ranked = rows.withColumn("rank", F.row_number().over(ordered)).join(ahead, ["source_key", "range"]).withColumn("rank", F.col("ahead") + F.col("rank") - 1)
     ranked = ranked.select("row", "source_key", F.expr(f"rank div {block}").alias("block"), (F.col("rank") % block).cast("int").alias("place"))
-    plan = spark.createDataFrame([(x, i, whole.get(x), where.get(x, [])) for i, x in enumerate(sorted(sizes))], "source_key string, nth long, w long, slots array<int>")
+    plan = spark.createDataFrame([(x, i, whole.get(x), where.get(x, [])) for i, x in enumerate(sorted(sizes))], "source_key string, nth long, w long, slots array<long>")
     if sum(map(len, where.values())) <= BROADCAST_SLOTS:
         ranked = ranked.join(F.broadcast(plan), "source_key")
         at = F.get("slots", F.expr("block % w").cast("int"))
@@ -125,23 +141,24 @@ def in_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int
 
 
 def oracle(source: str, block: int = BLOCK) -> str:
-    """mix over a table in SQL, the schedule by recursion over the slots of a period."""
+    """mix over a table with the stated weights in SQL, the schedule by recursion over the slots of a period."""
     return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(source, chr(1)) AS s, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {_BITS // 4}))::BIGINT AS key, text FROM {source}
 ), c AS (
-  SELECT s, count(*) AS n, greatest(1, floor(sqrt(count(*))))::BIGINT AS w FROM d GROUP BY s
+  SELECT s, count(*) AS n, 1 + ('0x' || substr(md5(coalesce(any_value(source), '')), 1, 4))::BIGINT % {RECIPE} AS w FROM d GROUP BY s
 ), f AS (
   SELECT s, n, w // (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) FROM c) AS w, row_number() OVER (ORDER BY s) AS i FROM c
 ), l AS (
-  SELECT list(w ORDER BY i) AS ws, sum(w)::BIGINT AS total FROM f
+  SELECT list(w ORDER BY i) AS ws, sum(w)::BIGINT AS total, min((((n + {block} - 1) // {block} + 1) * (SELECT sum(w)::BIGINT FROM f) + w - 1) // w)::BIGINT AS ends,
+         max(((n + {block} - 1) // {block} + w - 1) // w)::BIGINT * sum(w)::BIGINT AS behind, count(*) AS sources FROM f
 ), e AS (
   SELECT -1 AS t, list_transform(ws, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick, 0::BIGINT AS idx, ws, total FROM l WHERE len(ws) > 0
   UNION ALL
   SELECT t + 1, list_transform(done, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p, done[p], ws, total
   FROM (
     SELECT t, done, ws, total, list_min(list_transform(ws, lambda w, i: CASE WHEN done[i] * total // w <= t + 1
-             THEN (((done[i] + 1) * total + w - 1) // w) * 10000 + i ELSE 1000000000000000 END)) % 10000 AS p FROM e WHERE t < total - 1
+             THEN (((done[i] + 1) * total + w - 1) // w) * 10000 + i ELSE 1000000000000000 END)) % 10000 AS p FROM e WHERE t < least(total, (SELECT ends FROM l)) - 1
   )
 ), r AS (
   SELECT d.*, row_number() OVER (PARTITION BY s ORDER BY key, doc_id, text) - 1 AS rank FROM d
@@ -149,8 +166,12 @@ WITH RECURSIVE d AS (
   SELECT r.doc_id, r.source, r.rank // {block} AS block, (r.rank % {block})::INT AS place, f.w, f.i FROM r JOIN f USING (s)
 ), y AS (
   SELECT min((((n + {block} - 1) // {block}) // w) * total + e.t) AS horizon FROM f JOIN e ON e.pick = f.i AND e.idx = ((n + {block} - 1) // {block}) % w
+  WHERE (SELECT ends >= total FROM l) OR (n + {block} - 1) // {block} < w
+), p AS (
+  SELECT z.*, CASE WHEN l.ends >= l.total OR z.block < z.w THEN (z.block // z.w) * l.total + e.t END AS own, l.total, l.behind, l.sources
+  FROM z CROSS JOIN l LEFT JOIN e ON e.pick = z.i AND e.idx = z.block % z.w
 )
-SELECT doc_id, source, block, place, ((block // w) * total + e.t)::BIGINT AS slot, (block * total) // w AS release,
-       ((block + 1) * total + w - 1) // w AS deadline, (block // w) * total + e.t < horizon AS mixed
-FROM z JOIN e ON e.pick = z.i AND e.idx = z.block % z.w, y
+SELECT doc_id, source, block, place, coalesce(own, behind + block * sources + i - 1)::BIGINT AS slot, (block * total) // w AS release,
+       ((block + 1) * total + w - 1) // w AS deadline, coalesce(own < horizon, false) AS mixed
+FROM p, y
 """

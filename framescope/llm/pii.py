@@ -6,16 +6,18 @@ itself is masked: with document frequencies over all N documents,
 
     IC(c) = log2(N / df(c))        PMI(c, t) = log2(P(c | t) N / df(c))
 
-and t discloses the share PMI / IC = 1 + log2 P(c | t) / IC(c) of c. P(c | t) is df(c,t) / df(t),
-times 1 - 1 / (2 d) where d is the number of different texts that hold both: copies of one text are
-one piece of evidence, and one piece is believed by half. In documents that hold c, terms with a
+and t discloses the share PMI / IC = 1 + log2 P(c | t) / IC(c) of c, with P(c | t) = df(c,t) / df(t). The share
+is taken times 1 - 1 / (16 d) where d is the number of different texts that hold both: copies of one text
+are one piece of evidence, and evidence counts the same in a corpus of any size. In documents that hold c, terms with a
 share of at least GENERALISE are spans of kind `term`: those of REMOVE or more are deleted, the others
-replaced by their general class (NUMBER, NAME, WORD). Every entity is weighed, those in a single text
-too: there a term discloses c if it hardly occurs elsewhere, df(t) < (N / df(c)) ** (1 - GENERALISE) / 2.
+replaced by their general class (NUMBER, NAME, WORD). So a term that only documents of c hold is
+generalised from the first text on, and deleted once four texts agree; one that also stands elsewhere discloses c
+the less, the more often it does.
 
 Plan: one pass finds base spans and, only where a document has an entity, its distinct terms; df(t)
-is counted over every document, summed inside each task before the shuffle. Terms too frequent to
-disclose their entity go in the join with df(t), before pairs are counted. Rows are told apart by a
+is counted over every document, summed inside each task before the shuffle. Entities that the same rows hold
+are alike to every term: one of them, told by the sum of its rows' hashes, stands for all. Terms meet df(t) once a row,
+and those too frequent to disclose any of the row's entities go before they meet the entities. Rows are told apart by a
 number given in the first pass, never by doc_id; only rows with entities carry text across a shuffle.
 
 Null text is empty: no spans, and stays null when sanitised. Empty and blank texts have none. Rows
@@ -181,19 +183,24 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """number, telling: per row that holds one, its disclosing terms and their shares of PMI / IC (the
     largest, where a term discloses several entities)."""
     seen = cut(found.where(F.col("text").isNotNull()).select("number", "entities", "text").mapInArrow(_held, "number long, entities array<long>, same long, terms array<long>"))
-    each = seen.select("number", "same", "terms", F.explode_outer("entities").alias("entity"))
-    entities = each.groupBy("entity").agg(F.count("*").alias("df_entity"))
     total = F.lit(float(docs.count()))
+    each = seen.select("number", "same", F.explode("entities").alias("entity"))
+    mark = lambda salt: F.sum(F.xxhash64("number", F.lit(salt)).cast("decimal(38,0)")).cast("string")
+    entities = each.groupBy("entity").agg(F.count("*").alias("df_entity"), mark(1).alias("rows1"), mark(2).alias("rows2"))
+    # of entities in the same rows the least stands for all: every row that holds one holds it
+    kept = entities.where(F.col("df_entity") < total).groupBy("rows1", "rows2", "df_entity").agg(F.min("entity").alias("entity"))
     information = F.log2(total / F.col("df_entity"))
     # the most documents a term may be in if all documents of the entity hold it
-    entities = entities.where(F.col("df_entity") < total).withColumn("most", F.col("df_entity") * F.pow(F.lit(2.0), information * (1 - GENERALISE)))
+    kept = kept.select("entity", "df_entity", (F.col("df_entity") * F.pow(F.lit(2.0), information * (1 - GENERALISE))).alias("most"))
+    held = cut(each.join(kept, "entity"))
     df = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
-    single = each.join(entities, "entity").select("number", "same", "entity", "df_entity", "most", F.explode_outer("terms").alias("term"))
-    rare = cut(single.join(df, "term").where(F.col("df_term") <= F.col("most")).select("number", "same", "entity", "term", "df_entity", "df_term"))
+    limits = held.groupBy("number").agg(F.max("most").alias("most"))
+    terms = seen.join(limits, "number").select("number", "most", F.explode("terms").alias("term")).join(df, "term").where(F.col("df_term") <= F.col("most")).select("number", "term", "df_term")
+    rare = cut(terms.join(held, "number").where(F.col("df_term") <= F.col("most")).select("number", "same", "entity", "term", "df_entity", "df_term"))
     texts = rare.groupBy("entity", "term", "same").agg(F.count("*").alias("n"), F.first("df_entity").alias("df_entity"), F.first("df_term").alias("df_term"))
     pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("df_pair"), F.count("*").alias("texts"), F.first("df_entity").alias("df_entity"), F.first("df_term").alias("df_term"))
-    likely = F.col("df_pair") / F.col("df_term") * (1 - 1 / (2 * F.col("texts")))
-    pairs = pairs.select("entity", "term", (1 + F.log2(likely) / information).alias("share")).where(F.col("share") >= GENERALISE)
+    share = (1 + F.log2(F.col("df_pair") / F.col("df_term")) / information) * (1 - 1 / (16 * F.col("texts")))
+    pairs = pairs.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
     telling = rare.select("number", "entity", "term").join(pairs, ["entity", "term"]).groupBy("number", "term").agg(F.max("share").alias("share"))
     return telling.groupBy("number").agg(F.collect_list(F.struct("term", "share")).alias("telling"))
 
@@ -330,7 +337,7 @@ WITH d AS (
 ), g AS (
   SELECT h.entity, u.term, count(*) AS n, count(DISTINCT same.whole) AS texts FROM held h JOIN u USING (doc_id) JOIN same USING (doc_id) GROUP BY ALL
 ), i AS (
-  SELECT g.entity, g.term, 1 + log2(g.n / f.df * (1 - 1 / (2 * g.texts))) / log2((SELECT n FROM n) / c.df) AS share
+  SELECT g.entity, g.term, (1 + log2(g.n / f.df) / log2((SELECT n FROM n) / c.df)) * (1 - 1 / (16 * g.texts)) AS share
   FROM g JOIN f USING (term) JOIN c USING (entity) WHERE c.df < (SELECT n FROM n)
 ), l AS (
   SELECT h.doc_id, i.term, max(share) AS share FROM held h JOIN i USING (entity) JOIN u USING (doc_id, term) WHERE share >= {GENERALISE} GROUP BY ALL

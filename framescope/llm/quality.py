@@ -6,11 +6,13 @@ Each is scaled by the log ratio of its counts in good and bad documents, then a
 model is fitted by dual coordinate descent. A logistic curve fitted on rows that training does not
 see turns margins into probabilities.
 
-Training takes at most about SAMPLE rows of each label (the documented bound). Scoring runs over
+Training takes at most about SAMPLE rows of each label (the documented bound), in an order by a hash of id and
+text, so that the same rows give the same model however they are partitioned. Scoring runs over
 whole texts inside Arrow batches: one weight a bucket, nothing is shuffled.
 
 Null or empty text has no features: its score comes from the bias. Without labels of both kinds
-every score is 0.5. A document labelled twice counts twice; null labels and doc_ids teach nothing.
+every score is 0.5. Every fourth row of the sample is set apart for the curve; of fewer than LEAST_APART rows none
+is, and the curve is fitted on the training rows. A document labelled twice counts twice; null labels and doc_ids teach nothing.
 A score equal to ACCEPT is accepted. Repeated rows give repeated rows; extra columns are ignored by
 `classify` and kept by `keep`; an empty table gives an empty result. Very long texts are scored whole,
 with some hundred bytes of working memory a word.
@@ -31,6 +33,7 @@ from .kernel import Words, lists, mix, slices
 WORD_BITS, SHAPE_BITS = 18, 14
 BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 SAMPLE = 3000  # bound of the training sample (expected rows a label)
+LEAST_APART = 40  # rows of a sample that can spare some for the curve
 ACCEPT = 0.7
 _COST, _EPOCHS, _SMOOTH = 1.0, 12, 1.0
 
@@ -77,7 +80,7 @@ def _indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in slices(batch.column("text")):
             doc, key = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), lists(key.astype(np.int32), np.bincount(doc, minlength=b - a), pa.int32())], ["label", "bucket"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in ("label", "place")), lists(key.astype(np.int32), np.bincount(doc, minlength=b - a), pa.int32())], ["label", "place", "bucket"])
 
 
 class Trained:
@@ -130,12 +133,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Trained:
         return Trained(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0.0)
     share = F.when(F.col("label") == 1, min(1.0, per_label / sizes[1])).otherwise(min(1.0, per_label / sizes[0]))
     picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(_indicators, "label int, bucket array<int>").toArrow()
+    place = F.xxhash64("doc_id", "text").alias("place")  # training order and the part set apart do not depend on partitions
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", place, "text").mapInArrow(_indicators, "label int, place long, bucket array<int>").toArrow()
+    found = found.sort_by([("place", "ascending"), ("label", "ascending")])
     label = np.where(np.asarray(found.column("label")) == 1, 1.0, -1.0)
     rows = [np.asarray(x.as_py(), np.int64) for x in found.column("bucket")]
     if len({*label}) < 2:
         return Trained(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0.0)
-    apart = np.arange(len(rows)) % 4 == 0 if len(rows) >= 40 else np.zeros(len(rows), bool)
+    apart = np.arange(len(rows)) % 4 == 0 if len(rows) >= LEAST_APART else np.zeros(len(rows), bool)
     train = [r for r, x in zip(rows, apart, strict=True) if not x]
     y = label[~apart]
     good, bad = np.full(BUCKETS, _SMOOTH), np.full(BUCKETS, _SMOOTH)

@@ -11,6 +11,9 @@ from . import decontamination, html_text, jaccard_join, language_id, mixing, pii
 from .common import table
 
 
+MIX_BLOCK = 8  # rows of a block in op10_mixing, so that small tables too hold many blocks a source
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -63,7 +66,8 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.stated(docs), MIX_BLOCK)
 
 
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.oracle("documents"), "op4_pii": pii.oracle("documents"), "op5_jaccard_join": jaccard_join.oracle("documents"), "op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents"), "op9_repeats": repeats.oracle("documents"), "op10_mixing": mixing.oracle("documents"), "op11_secrets": secrets.oracle("documents"), "op12_resampling": resampling.oracle("documents", "benchmark")}
+    return {"op2_decontamination": decontamination.oracle("documents"), "op4_pii": pii.oracle("documents"), "op5_jaccard_join": jaccard_join.oracle("documents"), "op6_top_k": OP6_SQL, "op8_sharding": sharding.oracle("documents"), "op9_repeats": repeats.oracle("documents"), "op10_mixing": mixing.oracle("documents", MIX_BLOCK), "op11_secrets": secrets.oracle("documents"), "op12_resampling": resampling.oracle("documents", "benchmark")}

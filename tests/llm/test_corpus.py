@@ -62,6 +62,12 @@ def test_language_takes_edges(spark):
     assert language_id.identify(df).count() == df.count()
 
 
+def test_language_does_not_depend_on_partitions(spark):
+    df = docs(spark, [prose(i, 30, 40 if i % 2 else 60) for i in range(300)] + edge_texts())
+    one, other = ({r.doc_id: tuple(r) for r in language_id.identify(x).collect()} for x in (df.coalesce(1), df.repartition(7)))
+    assert one == other
+
+
 def slow_subwords(text):
     """Buckets of the byte n-grams, one by one."""
     b = bytes(32 if x in b" \t\n\x0b\x0c\r" else x + 32 if 65 <= x <= 90 else x for x in text.encode())
@@ -121,6 +127,14 @@ def test_quality_ignores_held_out_labels_and_takes_edges(spark):
     assert quality.classify(odd.limit(0), labels).count() == 0
 
 
+def test_quality_does_not_depend_on_partitions(spark):
+    texts = [prose(i, 30).upper() if i % 3 else prose(i, 30) for i in range(300)]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(not i % 3), 0) for i in range(0, 300)], "doc_id long, quality int, toxic int")
+    one, other = ({r.doc_id: tuple(r) for r in quality.classify(x, y).collect()} for x, y in ((df.coalesce(1), labels), (df.repartition(7), labels.repartition(5))))
+    assert one == other
+
+
 def test_dual_coordinate_descent_against_projected_gradients(monkeypatch):
     """Both solve the dual of the same hinge loss; one coordinate at a time, or all by small steps."""
     monkeypatch.setattr(quality, "_EPOCHS", 2000)
@@ -197,8 +211,7 @@ def slow_disclosure(texts):
         ic = np.log2(n / len(holders))
         for w in set().union(*(terms[i] for i in holders)):
             both = [i for i in holders if w in terms[i]]
-            p = len(both) / df_term[w] * (1 - 1 / (2 * len({tuple(texts[i].split()) for i in both})))
-            share[c, w] = 1 + np.log2(p) / ic
+            share[c, w] = (1 + np.log2(len(both) / df_term[w]) / ic) * (1 - 1 / (16 * len({tuple(texts[i].split()) for i in both}))) if ic else 0
     out = []
     for t, b, found in zip(texts, spans, entities, strict=True):
         rows = [(s, e, max((share[c, w] for c in found), default=0)) for w, s, e in slow_terms(t) if not any(x < e and s < y for _, x, y in b)]
@@ -753,6 +766,21 @@ def test_mixing_of_many_periods_and_of_a_tiny_source(spark):
     assert worst < 1 and n > 500 and len(got) == 4000 and not got.duplicated(["slot", "place"]).any()
 
 
+def test_mixing_by_the_stated_recipe(spark):
+    """The registered query's targets: unequal, kept to within a block, null apart from a source named U+0000."""
+    rows = [(i, "t", (None, "\x00", "src1", "src2", "src3")[i % 5]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = mixing.stated(df)
+    assert set(weights) == {None, "\x00", "src1", "src2", "src3"} and len(set(weights.values())) > 2
+    got = mixing.mix(df, weights, 4).toPandas()
+    mixed = got[got.mixed].drop_duplicates("slot").sort_values("slot")
+    total = sum(weights.values())
+    assert len(mixed) > 5 * total and list(mixed.slot) == list(range(len(mixed))) and len(got) == 6000
+    for s, w in weights.items():
+        done = np.cumsum([x is None if s is None else x == s for x in mixed.source])
+        assert abs(done - np.arange(1, len(done) + 1) * w / total).max() < 1
+
+
 def test_mixing_of_more_sources_than_rows_in_a_block(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
     got = mixing.mix(df, block=2).toPandas()

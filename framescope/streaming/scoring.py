@@ -1,14 +1,12 @@
-"""Scores of frame streams, and pooled statistics of clips as they complete."""
+"""Scores of frame streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framescope.operators import scoring
 from framescope.operators.pairing import KEYS
@@ -43,31 +41,3 @@ def start(
             unmatched(batch.where("ref is null").select(*KEYS), number)
 
     return pairs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-_OUT = "clip_id string, prop string, n long, min double, max double, mean double, harmonic_mean double, complete boolean"
-_STATE = "n long, low double, high double, total double, inverse double, valid boolean"
-
-
-def completed(values: DataFrame, frames: int, patience_ms: int = 600_000) -> DataFrame:
-    """Pooled statistics of each clip and prop (stream of clip_id, prop, value) once all its frames
-    have come; partial ones, marked so, after patience_ms without news. State is five numbers."""
-
-    def run(key: tuple[str, str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, low, high, total, inverse, valid = state.get if state.exists else (0, float("inf"), float("-inf"), 0.0, 0.0, True)
-        for batch in batches if not state.hasTimedOut else ():
-            v = batch["value"].dropna()
-            if len(v):
-                n, low, high, total = n + len(v), min(low, v.min()), max(high, v.max()), total + v.sum()
-                valid = bool(valid and (v > -1).all())
-                inverse += float((1 / (v[v > -1] + 1)).sum())
-        if n >= frames or state.hasTimedOut and n:
-            harmonic = float("nan") if not valid else float("inf") if inverse == 0 else n / inverse - 1
-            state.remove()
-            yield pd.DataFrame([[*key, n, low, high, total / n, harmonic, n >= frames]], columns=["clip_id", "prop", "n", "min", "max", "mean", "harmonic_mean", "complete"])
-        else:
-            state.update((n, float(low), float(high), float(total), inverse, valid))
-            state.setTimeoutDuration(patience_ms)
-
-    return values.groupBy("clip_id", "prop").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-

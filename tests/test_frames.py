@@ -432,3 +432,26 @@ def test_stored_frames_are_paired_without_a_shuffle(spark):
     pairs = pair(spark.table("kept_ref"), spark.table("kept_dist"))
     assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert score_frames(spark.table("kept_ref"), spark.table("kept_dist"), "mse", color_family="GRAY").count() == 2
+
+
+def test_logs_of_several_clips_are_one_file_each(spark, tmp_path):
+    rows = [(c, i, float(i) + k, None if i == 1 else 0.25) for k, c in enumerate(("a", "b", "c/d")) for i in range(4)]
+    scores = spark.createDataFrame(rows, "clip_id string, frame_no long, psnr double, ssim double").repartition(3)
+    for f in logs.FORMATS:
+        logs.write_clips(scores, str(tmp_path / f), f)
+        assert sorted(p.name for p in (tmp_path / f).iterdir()) == [f"a.{f}", f"b.{f}", f"c%2Fd.{f}"]
+        for c in ("a", "b", "c/d"):
+            logs.write(scores.where(F.col("clip_id") == c), str(tmp_path / f"one_{f}_{c[0]}"), f)
+            one = "".join(p.read_text() for p in sorted((tmp_path / f"one_{f}_{c[0]}").glob("part-*")))
+            assert (tmp_path / f / f"{c.replace('/', '%2F')}.{f}").read_text() == one
+    assert json.loads((tmp_path / "json" / "b.json").read_text())["frames"][3]["metrics"]["psnr"] == 4.0
+    assert not scores.storageLevel.useMemory
+    with pytest.raises(Exception, match="no log"):
+        logs.write_clips(scores.withColumn("clip_id", F.lit(None).cast("string")), str(tmp_path / "none"), "csv")
+
+
+def test_pools_of_no_values_are_nan(spark):
+    scores = spark.createDataFrame([("a", 0, None, 1.0), ("b", 0, 2.0, None), ("b", 1, None, 3.0)], "clip_id string, frame_no long, p double, q double")
+    got = {(r.clip_id, r.prop): r for r in pooling.pooled(scores).collect()}
+    assert math.isnan(got["a", "p"].mean) and math.isnan(got["a", "p"].harmonic_mean) and math.isnan(got["a", "p"].min)
+    assert got["b", "p"].mean == 2.0 and math.isclose(got["b", "p"].harmonic_mean, 2.0) and got["b", "q"].max == 3.0 and len(got) == 4

@@ -22,6 +22,7 @@ from framescope.functions import pixels
 from framescope.operators.pairing import KEYS
 from framescope.plans.features import SUFFIXES, Plan, plan
 
+ANY = "any"  # pairs of all color families in one job
 BAND = 512  # source rows of a band, about
 _SUMS = "array<double>"
 
@@ -255,7 +256,7 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool, bands: Callab
     return rows.select(*KEYS, *extra, *(["top"] if bands else []), "dtype", "bits", "unit", "plane", "first", "own", F.when(whole, F.size("ref")).otherwise(1).alias("n"), "rows", F.get("ref", F.col("plane"))["width"].alias("width"), cut("ref").alias("r"), cut("dist").alias("d"))
 
 
-def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...]):
+def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...], also: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -263,7 +264,7 @@ def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...]):
                 unit = units[r["unit"]]
                 shape = (r["n"], r["rows"], r["width"])
                 out.append(sums(unit, pixels.samples(r["r"], r["dtype"], *shape), pixels.samples(r["d"], r["dtype"], *shape), r["peak"], net, wanted, r["first"], r["own"]))
-            keep = [*KEYS, "unit", "plane", "peak"]
+            keep = [*KEYS, *also, "unit", "plane", "peak"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.float64()))], [*keep, "s"])
 
     return run
@@ -280,25 +281,33 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
     """clip_id, frame_no and a column a score for every pair.
 
     Per-plane features have a column a plane; their names take the suffixes of color_family (GRAY,
-    YUV or RGB), or of the pairs' own if it is not given: then their first row is looked up."""
+    YUV or RGB), or of the pairs' own if it is not given: then their first row is looked up. "any" takes pairs of
+    all three in one job: columns are those of all families, null where they are not a frame's own. A frame of
+    another family than the one asked for, or with more or fewer planes than its family has, fails the job."""
     plans = plan(feature, common, options)
     if color_family is None:
         first = pairs.select("color_family").first()
         color_family = first[0] if first else "GRAY"
-    if color_family not in SUFFIXES:
-        raise ValueError(f"color_family is one of {sorted(SUFFIXES)}, not {color_family!r}")
+    if color_family != ANY and color_family not in SUFFIXES:
+        raise ValueError(f"color_family is one of {sorted(SUFFIXES)} or {ANY!r}, not {color_family!r}")
+    families = list(SUFFIXES) if color_family == ANY else [color_family]
+    planes = reduce(lambda c, f: c.when(F.col("color_family") == f, len(SUFFIXES[f])), families, F.when(F.lit(False), 0))
+    fault = F.concat(F.lit("clip "), F.coalesce("clip_id", F.lit("null")), F.lit(" frame "), F.coalesce(F.col("frame_no").cast("string"), F.lit("null")), F.lit(": "), F.coalesce("color_family", F.lit("null")), F.lit(" of "), F.size("ref").cast("string"), F.lit(f" planes where {' or '.join(f'{f} of {len(SUFFIXES[f])}' for f in families)} is asked for"))
+    pairs = pairs.withColumn("ref", F.when(~F.coalesce(F.size("ref") == planes, F.lit(False)), F.raise_error(fault)).otherwise(F.col("ref")))
     needed = _shared([_units(p) for p in plans])
     units = list(dict.fromkeys(u for us in needed for u in us))
     nets = [p.options["net"] for p in plans if p.feature.name == "lpips"]
     if nets and nets[0] is None:
         raise FileNotFoundError("lpips needs its weights: pass options={'lpips': {'net': load_weights(path)}}")
-    bands = _exploded(pairs, units, any(p.feature.scope == "rgb" for p in plans))
+    bands = _exploded(pairs, units, any(p.feature.scope == "rgb" for p in plans), extra={"family": F.col("color_family")})
     ranges = reduce(lambda c, i: c.when(F.col("unit") == i, peak(F.col("dtype"), F.col("bits"), units[i].peak)), range(len(units)), F.when(F.lit(False), 0.0))
     bands = bands.withColumn("peak", ranges)
-    done = bands.mapInArrow(_run(units, nets[0] if nets else None, tuple(sorted({p.feature.name.replace("psnr", "mse") for p in plans if p.feature.name in _PLAIN}))), "clip_id string, frame_no long, unit int, plane int, peak double, s array<double>")
+    done = bands.mapInArrow(_run(units, nets[0] if nets else None, tuple(sorted({p.feature.name.replace("psnr", "mse") for p in plans if p.feature.name in _PLAIN})), ("family",)), "clip_id string, frame_no long, family string, unit int, plane int, peak double, s array<double>")
     place = {u: i for i, u in enumerate(units)}
-    n_planes = len(SUFFIXES[color_family])
+    n_planes = max(len(SUFFIXES[f]) for f in families)
     total: dict[str, Column] = {}
+    if len(families) > 1:
+        total["family"] = F.first("family").alias("family")
 
     def of(u: Unit, plane: int | None, j: int) -> Column:
         name = f"u{place[u]}_{'all' if plane is None else plane}_{j}"
@@ -309,16 +318,16 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
     columns: list[Column] = []
     for p, us in zip(plans, needed, strict=True):
         f, u = p.feature, us[0]
-        single = u.whole or color_family != "RGB" and f.scope != "per_plane"
+        single = u.whole or "RGB" not in families and f.scope != "per_plane"
         if f.scope == "per_plane":
-            for plane in range(1 if u.whole else n_planes):
-                name = f.column + ("" if u.whole else SUFFIXES[color_family][plane])
+            for family, plane, suffix in [(None, 0, "")] if u.whole else [(x, i, suffix) for x in families for i, suffix in enumerate(SUFFIXES[x])]:
+                name = f.column + suffix
                 mean = of(u, plane, _PLAIN[f.name]) / of(u, plane, 0)
                 if f.name == "psnr":
                     top = f"p{place[u]}"
                     total[top] = F.max(F.when(F.col("unit") == place[u], F.col("peak"))).alias(top)
                     mean = psnr(mean, F.col(top), p.options["eps"])
-                columns.append(mean.alias(name))
+                columns.append((mean if family is None or len(families) == 1 else F.when(F.col("family") == family, mean)).alias(name))
         elif f.name == "ssimulacra2":
             ids = [place[v] for v in us]
             total["bands"] = F.collect_list(F.when(F.col("unit").isin(ids), F.struct("unit", "s"))).alias("bands")
@@ -331,7 +340,11 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
                 reduce(lambda a, b: a * b, (F.pow(F.greatest(of(u, c, 3 * j + (1 if j == len(weights) - 1 else 2)) / of(u, c, 3 * j), F.lit(0.0)), F.lit(float(w))) for j, w in enumerate(weights)))
                 for c in range(1 if single else n_planes)
             ]
-            columns.append((reduce(lambda a, b: a + b, each) / len(each)).alias(f.column))
+            if len(families) > 1:  # the planes that are there
+                each = F.array_compact(F.array(*[F.when(of(u, c, 0).isNotNull(), v) for c, v in enumerate(each)]))
+                columns.append((F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / F.size(each)).alias(f.column))
+            else:
+                columns.append((reduce(lambda a, b: a + b, each) / len(each)).alias(f.column))
         elif f.name in ("gms", "gmsd"):
             n, mean = of(u, None, 0), of(u, None, 1) / of(u, None, 0)
             spread = F.greatest(of(u, None, 2) + of(u, None, 3) - of(u, None, 1) * of(u, None, 1) / n, F.lit(0.0)) / n

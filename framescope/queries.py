@@ -11,9 +11,9 @@ from framescope import __version__
 from framescope.functions import pixels
 from framescope.functions.pixels import LUMA, MS_SSIM_WEIGHTS, gaussian
 from framescope.metrics import score_frames
-from framescope.operators import logs, pooling, scoring
+from framescope.operators import gradients, logs, pooling, scoring
 from framescope.operators.pairing import KEYS, pair
-from framescope.sources import frames
+from framescope.sources import frames, scratch, video
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,13 +26,9 @@ def _rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair(*(frames.rgb(x, "rgb64") for x in frames.from_embeddings(spark, sf_dir)))
 
 
-def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair(*frames.synthetic(spark, 2))
-
-
-def _large(side: int, n: int, rgb: bool = False) -> Query:
+def _large(side: int, rgb: bool = False) -> Query:
     def source(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = frames.synthetic(spark, n, side)
+        found = frames.mosaics(spark, sf_dir, side)
         return pair(*((frames.rgb(x, f"rgb{side}") for x in found) if rgb else found))
 
     return source
@@ -82,6 +78,24 @@ def _map(feature: str, **options) -> Query:
     return query
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written as YUV4MPEG2 files, some a clip, and read again from the third one on."""
+    at = scratch.folder(spark)
+    for name, table in zip(("ref", "dist"), frames.from_embeddings(spark, sf_dir), strict=True):
+        video.write(table, f"{at}/{name}", "y4m", "overwrite", files=3)
+    return pair(*(video.read(spark, f"{at}/{name}", "y4m").where("frame_no >= 2") for name in ("ref", "dist")))
+
+
+def _gradient(feature: str, **options) -> Query:
+    """Gradients of 1000 times the score, pixel by pixel."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = gradients.gradients(_pairs(spark, sf_dir), feature, 1000.0, **options)
+        flat = g.select("frame_no", "top", "left", "width", F.posexplode(F.arrays_zip("dx", "dy")).alias("at", "v"))
+        return flat.select("frame_no", F.expr("top + at div width").cast("long").alias("y"), F.expr("left + at % width").cast("long").alias("x"), F.round("v.dx", 9).alias("dx"), F.round("v.dy", 9).alias("dy"))
+
+    return query
+
+
 ALL = ["mse", "psnr", "l1", "charbonnier", "huber", "ssim", "gms", "gmsd"]
 
 
@@ -103,7 +117,7 @@ def queries() -> dict[str, Query]:
         "rgb_planes": _scored(_rgb, ["mse", "psnr", "ssim", "gms", "gmsd"], "RGB"),
         "ssim_map": _map("ssim"),
         "gms_map": _map("gms"),
-        "ms_ssim": _scored(_synthetic, "ms_ssim"),
+        "ms_ssim": _scored(_large(192), "ms_ssim"),
         "ms_ssim_weights2": _scored(_pairs, "ms_ssim", weights=(0.4, 0.6)),
         "gmsd_nodown": _scored(_pairs, ["gms", "gmsd"], downsample=False),
         "pooled_scores": lambda s, d: _rounded(pooling.pooled(_scored(_pairs, ALL)(s, d))),
@@ -114,9 +128,14 @@ def queries() -> dict[str, Query]:
         "yuv420": _scored(_yuv, ["mse", "psnr", "l1", "ssim", "gmsd"], "YUV"),
         "gray10": _scored(_deep, ALL),
         "float32": _scored(_float, ALL),
-        "ssim_downsample": _scored(_large(384, 2), "ssim", downsample=True),
-        "ssimulacra2_odd6": _scored(_large(257, 6, True), "ssimulacra2", "RGB"),
+        "ssim_downsample": _scored(_large(384), "ssim", downsample=True),
+        "ssimulacra2_odd6": _scored(_large(129, True), "ssimulacra2", "RGB"),
         "lpips_random": _scored(_rgb, "lpips", "RGB", options={"lpips": {"net": scoring.random_net()}}),
+        "clip_files": _scored(_files, ["psnr", "ssim"]),
+        "ssim_gradients": _gradient("ssim"),
+        "ms_ssim_gradients": _gradient("ms_ssim", weights=(0.4, 0.6)),
+        "impl_sql": lambda s, d: _rounded(score_frames(*frames.from_embeddings(s, d), ALL, impl="sql")),
+        "impl_sql_ms_ssim": lambda s, d: _rounded(score_frames(*frames.from_embeddings(s, d), "ms_ssim", impl="sql", weights=(0.4, 0.6))),
         "append_scores": _appended, "reduction_mean": _reduced,
         "log_json": _log("json"), "log_xml": _log("xml"), "log_csv": _log("csv"), "log_sub": _log("sub"),
     }
@@ -149,18 +168,19 @@ _YUV = f"""{_RGB},
 raw4 AS (SELECT * FROM raw3 WHERE c = 0 OR x < 32 AND y < 32)"""
 
 
-def _syn(side: int = 192, n: int = 2, rgb: bool = False) -> str:
+def _wide(side: int, rgb: bool = False) -> str:
     return f"""
-k AS (SELECT unnest(range({n * side * side})) AS id),
-i AS (SELECT id // {side * side} AS f, 0 AS c, id // {side} % {side} AS y, id % {side} AS x FROM k),
-j AS (SELECT *, (7 * x + 3 * y + 29 * (x // 16) * (y // 16) + 31 * f) % 256 AS r FROM i),
-flat AS (SELECT *, greatest(0, least(255, r + (5 * x + 11 * y + 7 * f) % 23 - 11)) AS d FROM j),
-raw AS (SELECT {'f // 3 AS f, f % 3 AS c' if rgb else 'f, c'}, y, x, r, d FROM flat)"""
+e AS (SELECT vec_id // {side} AS f, 0 AS c, vec_id % {side} AS y, unnest(range({side})) AS x, embedding FROM embeddings),
+g AS (SELECT f FROM e GROUP BY f HAVING count(*) = {side * side}),
+j AS (SELECT f, c, y, x, embedding[x % 64 + 1]::DOUBLE AS v FROM e JOIN g USING (f)),
+i AS (SELECT f, c, y, x, greatest(0, least(255, floor(128 + 400 * CASE WHEN x // 64 % 2 = 0 THEN v ELSE -v END + 9 * (x // 64))))::BIGINT AS r FROM j),
+flat AS (SELECT *, greatest(0, least(255, r + (7 * x + 13 * y + 5 * f) % 17 - 8)) AS d FROM i),
+raw AS (SELECT {'f // 3 AS f, f % 3 AS c' if rgb else 'f, c'}, y, x, r, d FROM flat{' WHERE f // 3 < (SELECT count(*) FROM g) // 3' if rgb else ''})"""
 
 
 _SOURCES = {
-    "emb": (_EMB, "raw"), "rgb": (_RGB, "raw3"), "syn": (_syn(), "raw"), "deep": (_emb(10), "raw"), "float": (_FLOAT, "raw1"), "yuv": (_YUV, "raw4"),
-    "syn384": (_syn(384), "raw"), "syn257": (_syn(257, 6, True), "raw"),
+    "emb": (_EMB, "raw"), "rgb": (_RGB, "raw3"), "deep": (_emb(10), "raw"), "float": (_FLOAT, "raw1"), "yuv": (_YUV, "raw4"),
+    "wide192": (_wide(192), "raw"), "wide384": (_wide(384), "raw"), "wide129": (_wide(129, True), "raw"),
 }
 
 
@@ -359,12 +379,46 @@ def _log_sql(format: str) -> str:
 
 def _downsample_sql(clip: str, side: int) -> str:
     """Means of 2 x 2 boxes with a replicated edge, every second one, then SSIM."""
-    text, w, h = _px(f"syn{side}", side, side)
+    text, w, h = _px(f"wide{side}", side, side)
     edge = lambda v: f"(1 + ({v} = 0)::INT + ({v} = {side - 1})::INT)"
     small = f"small AS (SELECT f, c, (y + 1) // 2 AS y, (x + 1) // 2 AS x, sum({edge('y')} * {edge('x')} * r) / 4 AS r, sum({edge('y')} * {edge('x')} * d) / 4 AS d FROM px GROUP BY ALL)"
     return f"WITH {text},\n{small},\n{_ssim_cte('ss', 'small', w // 2 + 1, h // 2 + 1)}\nSELECT '{clip}' AS clip_id, f::BIGINT AS frame_no, round(avg(s), 6) AS float_ssim FROM ss GROUP BY f"
 
 
+def _gradient_ctes(name: str, source: str, width: int, height: int, on_full: str, on_contrast: str, scalars: str = "") -> str:
+    """CTEs that end in {name}(f, c, y, x, dx, dy): derivatives by the window means, spread back to every pixel
+    whose windows they came from. on_full, on_contrast: dL by each value of the SSIM and the contrast map."""
+    taps, half, c1, c2 = [float(t) for t in gaussian(11, 1.5)], 127.5, (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    a, b = f"(r - {half!r})", f"(d - {half!r})"
+    back = lambda c: " + ".join(f"{t!r} * coalesce({f'lag({c}, {i}) OVER w' if i else c}, 0)" for i, t in enumerate(taps))
+    across, down = (", ".join(f"{back(c)} AS {c}" for c in ("ax", "ay", "sq", "cr")) for _ in range(2))
+    return f"""{_stencil(f"{name}_m", source, {"mx": a, "my": b, "xx": f"{a} * {a}", "yy": f"{b} * {b}", "xy": f"{a} * {b}"}, taps, width, height)},
+{name}_v AS (SELECT f, c, y, x, mx, my, mx + {half!r} AS ux, my + {half!r} AS uy, xx - mx * mx + yy - my * my + {c2!r} AS below, 2 * (xy - mx * my) + {c2!r} AS above FROM {name}_m),
+{name}_w AS (SELECT *, above / below AS cs, ux * ux + uy * uy + {c1!r} AS power, (2 * ux * uy + {c1!r}) / (ux * ux + uy * uy + {c1!r}) AS light FROM {name}_v),
+{name}_k AS (SELECT *, {on_full} * cs AS by_light, 2 * ({on_full} * light + {on_contrast}) / below AS cr FROM {name}_w {scalars}),
+{name}_c AS (SELECT f, c, y, x, 2 * by_light * (uy - ux * light) / power + cr * (cs * mx - my) AS ax, 2 * by_light * (ux - uy * light) / power + cr * (cs * my - mx) AS ay, -cs * cr / 2 AS sq, cr FROM {name}_k),
+{name}_g AS (SELECT p.f, p.c, p.y, p.x, {a} AS r, {b} AS d, ax, ay, sq, cr FROM {source} p LEFT JOIN {name}_c q ON p.f = q.f AND p.c = q.c AND p.y = q.y AND p.x = q.x),
+{name}_h AS (SELECT f, c, y, x, r, d, {across} FROM {name}_g WINDOW w AS (PARTITION BY f, c, y ORDER BY x)),
+{name}_d AS (SELECT f, c, y, x, r, d, {down} FROM {name}_h WINDOW w AS (PARTITION BY f, c, x ORDER BY y)),
+{name} AS (SELECT f, c, y, x, ax + 2 * r * sq + d * cr AS dx, ay + 2 * d * sq + r * cr AS dy FROM {name}_d)"""
+
+
+def _gradient_sql() -> str:
+    share = repr(1000.0 / 54**2)
+    return f"WITH {_px('emb', 64, 64)[0]},\n{_gradient_ctes('ga', 'px', 64, 64, share, '0')}\nSELECT f::BIGINT AS frame_no, y::BIGINT AS y, x::BIGINT AS x, round(dx, 9) AS dx, round(dy, 9) AS dy FROM ga"
+
+
+def _ms_gradient_sql(a: float, b: float) -> str:
+    """Two scales: the product rule gives each one's share, and half a frame's gradient is spread over its blocks."""
+    ctes = [
+        _px("emb", 64, 64)[0], _half_cte("hp", "px", 64, 64), _ssim_cte("z0", "px", 64, 64), _ssim_cte("z1", "hp", 32, 32),
+        "t0 AS (SELECT f, avg(cs) AS m0 FROM z0 GROUP BY f)", "t1 AS (SELECT f, avg(s) AS m1 FROM z1 GROUP BY f)",
+        f"t AS (SELECT f, CASE WHEN m0 > 0 AND m1 > 0 THEN 1000 * {a!r} * m0 ** {a!r} * m1 ** {b!r} / m0 / {54**2} ELSE 0 END AS g0, CASE WHEN m0 > 0 AND m1 > 0 THEN 1000 * {b!r} * m0 ** {a!r} * m1 ** {b!r} / m1 / {22**2} ELSE 0 END AS g1 FROM t0 JOIN t1 USING (f))",
+        _gradient_ctes("ga", "px", 64, 64, "0", "g0", "JOIN t USING (f)"), _gradient_ctes("gb", "hp", 32, 32, "g1", "0", "JOIN t USING (f)"),
+    ]
+    return f"WITH {', '.join(ctes)}\nSELECT ga.f::BIGINT AS frame_no, ga.y::BIGINT AS y, ga.x::BIGINT AS x, round(ga.dx + gb.dx / 4, 9) AS dx, round(ga.dy + gb.dy / 4, 9) AS dy FROM ga JOIN gb ON ga.f = gb.f AND ga.c = gb.c AND ga.y // 2 = gb.y AND ga.x // 2 = gb.x"
+
+
 def oracle_sql() -> dict[str, str]:
     batch, _ = _scores_sql(["psnr", "mse", "l1"], "emb64")
     worst, _ = _scores_sql(["psnr"], "emb64")
@@ -383,7 +437,7 @@ def oracle_sql() -> dict[str, str]:
         "rgb_planes": _sql(["mse", "psnr", "ssim", "gms", "gmsd"], "rgb64", source="rgb", planes="r,g,b"),
         "ssim_map": maps(_ssim_cte("ss", "px", 64, 64), "ss", "s"),
         "gms_map": maps(f"{_half_cte('hp', 'px', 64, 64)},\n{_gms_cte('gq', 'hp', 32, 32)}", "gq", "q"),
-        "ms_ssim": _ms_ssim_sql("syn192", "syn", 192, MS_SSIM_WEIGHTS),
+        "ms_ssim": _ms_ssim_sql("emb192", "wide192", 192, MS_SSIM_WEIGHTS),
         "ms_ssim_weights2": _ms_ssim_sql("emb64", "emb", 64, (0.4, 0.6)),
         "gmsd_nodown": _sql(["gms", "gmsd"], down=False),
         "pooled_scores": _pool_sql(ALL),
@@ -395,8 +449,11 @@ def oracle_sql() -> dict[str, str]:
         "yuv420": _sql(["mse", "psnr", "l1", "ssim", "gmsd"], "yuv64", source="yuv", planes="y,cb,cr"),
         "gray10": _sql(ALL, "emb64_10", source="deep", peak=1023.0),
         "float32": _sql(ALL, "emb64_f32", source="float", peak=1.0),
-        "ssim_downsample": _downsample_sql("syn384", 384),
-        "ssimulacra2_odd6": _ssimulacra2_sql("rgb257", "syn257", 257),
+        "ssim_downsample": _downsample_sql("emb384", 384),
+        "ssimulacra2_odd6": _ssimulacra2_sql("rgb129", "wide129", 129),
+        "clip_files": _sql(["psnr", "ssim"]) + " WHERE frame_no >= 2",
+        "ssim_gradients": _gradient_sql(), "ms_ssim_gradients": _ms_gradient_sql(0.4, 0.6),
+        "impl_sql": _sql(ALL), "impl_sql_ms_ssim": _ms_ssim_sql("emb64", "emb", 64, (0.4, 0.6)),
         "append_scores": f"WITH {appended},\nds AS (SELECT f::BIGINT AS frame_no, {bytes_('d')} AS dist_md5 FROM raw GROUP BY f)\nSELECT clip_id, frame_no, 'GRAY' AS color_family, 8 AS bits, dist_md5, round(psnr, 6) AS psnr, round(l1, 6) AS l1 FROM sc JOIN ds USING (frame_no)",
         "reduction_mean": f"WITH {mean}\nSELECT round(10 * log10(65025.0) - 10 * log10(avg(mse)), 6) AS psnr, round(avg(l1), 6) AS l1, round(avg(float_ssim), 6) AS float_ssim FROM sc",
     }

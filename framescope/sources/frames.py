@@ -117,6 +117,22 @@ def from_embeddings(spark: SparkSession, sf_dir: str, bits: int = 8) -> tuple[Da
     return _frames(d, name, 64, 64, "r", bits), _frames(d, name, 64, 64, "d", bits)
 
 
+def mosaics(spark: SparkSession, sf_dir: str, side: int) -> tuple[DataFrame, DataFrame]:
+    """side x side frames, a row a vector, side consecutive vectors each: the vector's entries over and over, every
+    second time with their signs turned, each time a little brighter. Vectors that fill no frame are left out."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    entry = F.col("embedding")
+    nth = lambda x: F.floor(x / 64)
+
+    def pixel(x: Column) -> Column:
+        v = F.get(entry, (x % 64).cast("int")).cast("double")
+        return _clip(F.floor(128 + 400 * F.when(nth(x) % 2 == 0, v).otherwise(-v) + 9 * nth(x)).cast("long"))
+
+    rows = e.select(F.expr(f"vec_id div {side}").alias("f"), (F.col("vec_id") % side).alias("y"), F.transform(F.sequence(F.lit(0), F.lit(side - 1)), pixel).alias("r"))
+    d = rows.withColumn("d", F.transform("r", lambda v, x: _clip(v + (7 * x + 13 * F.col("y") + 5 * F.col("f")) % 17 - 8)))
+    return _frames(d, f"emb{side}", side, side, "r"), _frames(d, f"emb{side}", side, side, "d")
+
+
 def as_float(frames: DataFrame, clip: str) -> DataFrame:
     """8-bit frames as float32 ones, samples over 256."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -455,3 +455,25 @@ def test_pools_of_no_values_are_nan(spark):
     got = {(r.clip_id, r.prop): r for r in pooling.pooled(scores).collect()}
     assert math.isnan(got["a", "p"].mean) and math.isnan(got["a", "p"].harmonic_mean) and math.isnan(got["a", "p"].min)
     assert got["b", "p"].mean == 2.0 and math.isclose(got["b", "p"].harmonic_mean, 2.0) and got["b", "q"].max == 3.0 and len(got) == 4
+
+
+def test_mixed_families_in_one_job(spark):
+    """A clip of each family in one table: every frame has its own family's columns, equal to those of a job of its own."""
+    made = {f: noisy(40, 44, i, planes=1 if f == "GRAY" else 3) for i, f in enumerate(("GRAY", "YUV", "RGB"))}
+    side = lambda k: [table(spark, [made[f][k]], f).withColumn("clip_id", F.lit(f)) for f in made]
+    whole = [a.unionByName(b).unionByName(c) for a, b, c in (side(0), side(1))]
+    features, options = ["psnr", "l1", "ssim", "gmsd", "ms_ssim"], {"ms_ssim": {"weights": (0.5, 0.5)}}
+    got = {r.clip_id: r.asDict() for r in score_frames(*whole, features, color_family="any", options=options).collect()}
+    for r, d, f in zip(side(0), side(1), made):
+        alone = one(score_frames(r, d, features, color_family=f, options=options))
+        own = {k: v for k, v in got[f].items() if v is not None}
+        assert own.keys() == alone.keys() and not {k: (own[k], v) for k, v in alone.items() if own[k] != v and abs(own[k] - v) > 1e-9}
+    assert {"psnr", "psnr_cb", "psnr_g", "float_ssim"} <= set(got["RGB"])
+    with pytest.raises(Exception, match="where GRAY of 1 is asked for"):
+        score_frames(*whole, "psnr", color_family="GRAY").collect()
+    with pytest.raises(Exception, match="of 3 planes where GRAY of 1"):
+        three = table(spark, [made["RGB"][0]], "GRAY")
+        score_frames(three, three, "psnr", color_family="any").collect()
+    with pytest.raises(Exception, match="CMYK of 1 planes"):
+        other = table(spark, [made["GRAY"][0]], "CMYK")
+        score_frames(other, other, "psnr", color_family="any").collect()

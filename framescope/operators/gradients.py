@@ -107,8 +107,8 @@ def gradients(pairs: DataFrame, feature: str = "ssim", upstream: DataFrame | flo
     stripe's top row, left column, height and width, dx, dy (row by row). Where a border is cropped there are no
     stripes, as gradients are 0 there; luma gives each of the three planes its share.
 
-    upstream: dL by the score, for all frames; or, for ssim, dL by every value of its map, as a table like that
-    of similarity_map (clip_id, frame_no, c, width, data): a frame and plane without a row there gets none. A
+    upstream: dL by the score, for all frames; or, for ssim, dL by every value of its map, as a table of whole
+    maps (clip_id, frame_no, c, width, data): a frame and plane without a row there gets none. A
     scale of MS-SSIM whose mean is 0 or less is clamped: the frame's score is 0 there, and so are its gradients."""
     p = plan(feature, options, None)[0]
     if p.feature.name not in ("ssim", "ms_ssim") or p.options.get("downsample"):
@@ -123,7 +123,7 @@ def gradients(pairs: DataFrame, feature: str = "ssim", upstream: DataFrame | flo
     if unit.kind == "pyramid":
         pairs = pairs.join(_scale_weights(pairs, unit, p.options["weights"], float(upstream)), list(KEYS))
     extra = {"g": F.col("weights")} if unit.kind == "pyramid" else {"g": F.lit(None).cast("array<array<double>>")}
-    rows = _exploded(pairs, [unit], False, bands=lambda i, u: _pieces(u, scales), extra=extra | {"planes": planes, "tall": F.get("ref", F.lit(0))["height"]})
+    rows = _exploded(pairs, [unit], False, bands=lambda i, u: _pieces(u, scales), extra=extra | {"planes": planes, "tall": F.get("ref", F.lit(0))["height"]}, top=True)
     rows = rows.withColumn("peak", peak(F.col("dtype"), F.col("bits"), unit.peak))
     if by_map:
         # the rows of the map that a piece covers: as many as its own less the window's reach

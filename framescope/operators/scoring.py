@@ -203,9 +203,9 @@ def _ssimulacra2(bands: Column, units: list[int]) -> Column:
     return F.get(F.transform(cubic, lambda v: F.when(v > 0, 100.0 - 10.0 * F.pow(v, F.lit(0.6276336467831387))).otherwise(100.0)), F.lit(0))
 
 
-def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool, bands: Callable | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool, bands: Callable | None = None, extra: dict[str, Column] | None = None, top: bool = False) -> DataFrame:
     """One row a band: unit, plane, rows, width, and its bytes of both frames. bands: another way to cut a
-    unit's planes; extra: further columns of the pair."""
+    unit's planes; extra: further columns of the pair; top: the band's first row too."""
     rgb = F.col("color_family") == "RGB"
     if rgb_only:
         pairs = pairs.withColumn("ref", F.when(~F.col("color_family").isin("RGB", "GRAY"), F.raise_error(F.lit("RGB frames are needed; convert first"))).otherwise(F.col("ref")))
@@ -253,17 +253,17 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool, bands: Callab
         joined = F.when(many == 1, part(F.get(side, F.lit(0)))).otherwise(F.concat(*[part(F.get(side, F.lit(j))) for j in range(3)]))
         return F.when(whole, joined).otherwise(one)
 
-    return rows.select(*KEYS, *extra, *(["top"] if bands else []), "dtype", "bits", "unit", "plane", "first", "own", F.when(whole, F.size("ref")).otherwise(1).alias("n"), "rows", F.get("ref", F.col("plane"))["width"].alias("width"), cut("ref").alias("r"), cut("dist").alias("d"))
+    return rows.select(*KEYS, *extra, *(["top"] if top else []), "dtype", "bits", "unit", "plane", "first", "own", F.when(whole, F.size("ref")).otherwise(1).alias("n"), "rows", F.get("ref", F.col("plane"))["width"].alias("width"), cut("ref").alias("r"), cut("dist").alias("d"))
 
 
 def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...], also: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                unit = units[r["unit"]]
-                shape = (r["n"], r["rows"], r["width"])
-                out.append(sums(unit, pixels.samples(r["r"], r["dtype"], *shape), pixels.samples(r["d"], r["dtype"], *shape), r["peak"], net, wanted, r["first"], r["own"]))
+            out, both = [], [batch.column(k) for k in "rd"]
+            small = [x for x in batch.schema.names if x not in "rd"]
+            for i, r in enumerate(batch.select(small).to_pylist()):
+                x, y = (pixels.samples(v[i].as_buffer(), r["dtype"], r["n"], r["rows"], r["width"]) for v in both)  # no copy
+                out.append(sums(units[r["unit"]], x, y, r["peak"], net, wanted, r["first"], r["own"]))
             keep = [*KEYS, *also, "unit", "plane", "peak"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.float64()))], [*keep, "s"])
 
@@ -403,8 +403,9 @@ def _grown(m: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def similarity_map(pairs: DataFrame, feature: str, options: dict[str, dict] | None = None, **common) -> DataFrame:
-    """clip_id, frame_no, c, height, width, data (row by row): the map of ssim, gms, gmsd or lpips. A
-    task holds a frame; only bytes and finished Arrow lists are kept, never Python numbers."""
+    """clip_id, frame_no, c, top, height, width, data (row by row): the map of ssim, gms, gmsd or lpips, in stripes
+    of its rows from `top` on. ssim and gms are worked on band by band; lpips, and ssim with downsample, see a
+    frame at once and give one stripe. Only bytes and finished Arrow lists are kept, never Python numbers."""
     p = plan(feature, common, options)[0]
     if p.feature.kind not in ("ssim", "gms", "lpips") or p.feature.name == "ms_ssim":
         raise ValueError(f"{feature} has no map")
@@ -414,7 +415,8 @@ def similarity_map(pairs: DataFrame, feature: str, options: dict[str, dict] | No
 
     def maps(x: np.ndarray, y: np.ndarray, peak: float) -> np.ndarray:
         if unit.crop:
-            x, y = (v[:, unit.crop : v.shape[1] - unit.crop, unit.crop : v.shape[2] - unit.crop] for v in (x, y))
+            rows = slice(0, None) if unit.banded else slice(unit.crop, x.shape[1] - unit.crop)  # bands leave the border's rows out
+            x, y = (v[:, rows, unit.crop : v.shape[2] - unit.crop] for v in (x, y))
         if unit.luma:
             x, y = pixels.luma(x, unit.luma, peak), pixels.luma(y, unit.luma, peak)
         if unit.kind == "lpips":
@@ -429,18 +431,20 @@ def similarity_map(pairs: DataFrame, feature: str, options: dict[str, dict] | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                m = maps(*(pixels.decode(r[k], r["dtype"], r["n"], r["rows"], r["width"]) for k in ("r", "d")), r["peak"])
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c not in "rd"}
+                m = maps(*(pixels.decode(batch.column(k)[i].as_buffer(), r["dtype"], r["n"], r["rows"], r["width"]) for k in "rd"), r["peak"])
                 n, size = len(m), m[0].size
                 data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(m.ravel()))
                 same = lambda v, t: pa.array([v] * n, t)  # noqa: B023, E731
+                top = (r["top"] - unit.crop) >> unit.scale if unit.banded else 0
                 yield pa.RecordBatch.from_arrays(
-                    [same(r["clip_id"], pa.string()), same(r["frame_no"], pa.int64()), pa.array(range(n), pa.int32()), same(m.shape[1], pa.int32()), same(m.shape[2], pa.int32()), data],
-                    ["clip_id", "frame_no", "c", "height", "width", "data"])
+                    [same(r["clip_id"], pa.string()), same(r["frame_no"], pa.int64()), pa.array(range(n) if n > 1 else [r["plane"]], pa.int32()), same(top, pa.int32()), same(m.shape[1], pa.int32()), same(m.shape[2], pa.int32()), data],
+                    ["clip_id", "frame_no", "c", "top", "height", "width", "data"])
 
-    rows = _exploded(pairs, [Unit("pixel", 0, True, 0, None, None, (None,))], unit.kind == "lpips")
+    units = [unit] if unit.banded else [Unit("pixel", 0, True, 0, None, None, (None,))]
+    rows = _exploded(pairs, units, unit.kind == "lpips", top=True)
     rows = rows.withColumn("peak", peak(F.col("dtype"), F.col("bits"), unit.peak))
-    return rows.mapInArrow(run, "clip_id string, frame_no long, c int, height int, width int, data array<double>")
+    return rows.mapInArrow(run, "clip_id string, frame_no long, c int, top int, height int, width int, data array<double>")
 
 
 def random_net(seed: int = 0) -> dict:

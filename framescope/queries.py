@@ -12,7 +12,7 @@ from framescope.functions import pixels
 from framescope.functions.pixels import LUMA, MS_SSIM_WEIGHTS, gaussian
 from framescope.metrics import score_frames
 from framescope.operators import gradients, logs, pooling, scoring
-from framescope.operators.pairing import KEYS, pair
+from framescope.operators.pairing import KEYS, mismatches, pair
 from framescope.sources import frames, scratch, video
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +72,8 @@ def _identical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _map(feature: str, **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = scoring.similarity_map(_pairs(spark, sf_dir), feature, **options)
-        flat = m.select("frame_no", "width", F.posexplode("data").alias("at", "v"))
-        return flat.select("frame_no", F.expr("at div width").cast("long").alias("y"), F.expr("at % width").cast("long").alias("x"), F.round("v", 6).alias("v"))
+        flat = m.select("frame_no", "top", "width", F.posexplode("data").alias("at", "v"))
+        return flat.select("frame_no", F.expr("top + at div width").cast("long").alias("y"), F.expr("at % width").cast("long").alias("x"), F.round("v", 6).alias("v"))
 
     return query
 
@@ -86,6 +86,24 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair(*(video.read(spark, f"{at}/{name}", "y4m").where("frame_no >= 2") for name in ("ref", "dist")))
 
 
+def _mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults between stored tables, told from metadata: every third reference frame is missing, every fourth
+    distorted one, and frame 5 has another shape."""
+    at = scratch.folder(spark)
+    r, d = frames.from_embeddings(spark, sf_dir)
+    turned = F.transform("planes", lambda p: F.struct((p["height"] / 2).cast("int").alias("height"), (p["width"] * 2).alias("width"), p["data"].alias("data")))
+    r.where("frame_no % 3 <> 1").write.parquet(f"{at}/ref")
+    d.where("frame_no % 4 <> 2").withColumn("planes", F.when(F.col("frame_no") == 5, turned).otherwise(F.col("planes"))).write.parquet(f"{at}/dist")
+    return mismatches(frames.read(spark, f"{at}/ref"), frames.read(spark, f"{at}/dist"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of all three families, scored in one job."""
+    gray = frames.from_embeddings(spark, sf_dir)
+    both = [x.unionByName(frames.yuv420(x, "yuv64")).unionByName(frames.rgb(x, "rgb64")) for x in gray]
+    return _rounded(score_frames(*both, ["psnr", "ssim", "gmsd"], color_family=scoring.ANY))
+
+
 def _gradient(feature: str, **options) -> Query:
     """Gradients of 1000 times the score, pixel by pixel."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +149,7 @@ def queries() -> dict[str, Query]:
         "ssim_downsample": _scored(_large(384), "ssim", downsample=True),
         "ssimulacra2_odd6": _scored(_large(129, True), "ssimulacra2", "RGB"),
         "lpips_random": _scored(_rgb, "lpips", "RGB", options={"lpips": {"net": scoring.random_net()}}),
+        "frame_mismatches": _mismatches, "mixed_families": _mixed,
         "clip_files": _scored(_files, ["psnr", "ssim"]),
         "ssim_gradients": _gradient("ssim"),
         "ms_ssim_gradients": _gradient("ms_ssim", weights=(0.4, 0.6)),
@@ -419,6 +438,24 @@ def _ms_gradient_sql(a: float, b: float) -> str:
     return f"WITH {', '.join(ctes)}\nSELECT ga.f::BIGINT AS frame_no, ga.y::BIGINT AS y, ga.x::BIGINT AS x, round(ga.dx + gb.dx / 4, 9) AS dx, round(ga.dy + gb.dy / 4, 9) AS dy FROM ga JOIN gb ON ga.f = gb.f AND ga.c = gb.c AND ga.y // 2 = gb.y AND ga.x // 2 = gb.x"
 
 
+def _mismatch_sql() -> str:
+    return f"""WITH {_EMB}, n AS (SELECT DISTINCT f FROM raw)
+SELECT 'emb64' AS clip_id, f::BIGINT AS frame_no, CASE WHEN f % 3 = 1 THEN 'has no reference frame' WHEN f % 4 = 2 THEN 'has no distorted frame' ELSE 'differs in format or size' END AS fault
+FROM n WHERE (f % 3 = 1) <> (f % 4 = 2) OR f = 5 AND f % 3 <> 1"""
+
+
+def _mixed_sql() -> str:
+    """The three families' own queries, one under the other, each with its own columns."""
+    planes = {"emb64": ("emb", ""), "yuv64": ("yuv", "y,cb,cr"), "rgb64": ("rgb", "r,g,b")}
+    every = ["psnr", *(f"psnr_{x}" for x in ("y", "cb", "cr", "r", "g", "b")), "float_ssim", "gmsd"]
+    parts = []
+    for clip, (source, names) in planes.items():
+        text, columns = _scores_sql(["psnr", "ssim", "gmsd"], clip, source=source, planes=names)
+        picked = ", ".join(f"round({c}, 6) AS {c}" if c in columns else f"NULL::DOUBLE AS {c}" for c in every)
+        parts.append(f"SELECT * FROM (WITH {text} SELECT clip_id, frame_no, {picked} FROM sc)")
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     batch, _ = _scores_sql(["psnr", "mse", "l1"], "emb64")
     worst, _ = _scores_sql(["psnr"], "emb64")
@@ -451,6 +488,7 @@ def oracle_sql() -> dict[str, str]:
         "float32": _sql(ALL, "emb64_f32", source="float", peak=1.0),
         "ssim_downsample": _downsample_sql("emb384", 384),
         "ssimulacra2_odd6": _ssimulacra2_sql("rgb129", "wide129", 129),
+        "frame_mismatches": _mismatch_sql(), "mixed_families": _mixed_sql(),
         "clip_files": _sql(["psnr", "ssim"]) + " WHERE frame_no >= 2",
         "ssim_gradients": _gradient_sql(), "ms_ssim_gradients": _ms_gradient_sql(0.4, 0.6),
         "impl_sql": _sql(ALL), "impl_sql_ms_ssim": _ms_ssim_sql("emb64", "emb", 64, (0.4, 0.6)),

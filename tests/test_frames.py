@@ -477,3 +477,40 @@ def test_mixed_families_in_one_job(spark):
     with pytest.raises(Exception, match="CMYK of 1 planes"):
         other = table(spark, [made["GRAY"][0]], "CMYK")
         score_frames(other, other, "psnr", color_family="any").collect()
+
+
+def test_maps_come_in_stripes(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BAND", 16)
+    (x,), (y,) = noisy(60, 44, 3)
+    r, d = table(spark, [[x]]), table(spark, [[y]])
+
+    def whole(rows, h, w):
+        out = np.full((h, w), np.nan)
+        for m in rows:
+            out[m.top : m.top + m.height] = np.array(m.data).reshape(m.height, m.width)
+        return out
+
+    rows = Metric("ssim").map(r, d).collect()
+    assert len(rows) == 4 and np.allclose(whole(rows, 50, 34), ssim2d(x, y)[0], atol=1e-9)
+    rows = Metric("gms", {"crop_border": 2}).map(r, d).collect()
+    want = gms2d(half2d(x[2:-2, 2:-2]), half2d(y[2:-2, 2:-2]))
+    assert len(rows) > 1 and np.allclose(whole(rows, *want.shape), want, atol=1e-9)
+
+
+def test_mismatches_are_found_without_samples(spark, tmp_path):
+    x, y = noisy(20, 20, 1)
+    table(spark, [x, x, x, x]).write.parquet(str(tmp_path / "r"))
+    bad = table(spark, [y]).unionByName(table(spark, [noisy(20, 22, 1)[0]], first=1)).unionByName(table(spark, [y], first=2)).unionByName(table(spark, [y, y], first=2)).unionByName(table(spark, [y], first=9))
+    bad.where("frame_no <> 4").write.parquet(str(tmp_path / "d"))
+    r, d = (frames.read(spark, str(tmp_path / k)) for k in "rd")
+    from framescope.operators.pairing import check, mismatches
+
+    found = mismatches(r, d)
+    got = {x.frame_no: x.fault for x in found.collect()}
+    assert got == {1: "differs in format or size", 2: "stands more than once", 9: "has no reference frame"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "height" in plan and "data:binary" not in plan
+    with pytest.raises(ValueError, match="3 frames do not pair: clip c frame 1 differs"):
+        score_frames(r, d, "psnr", on_mismatch="check", color_family="GRAY")
+    assert score_frames(r.where("frame_no = 0"), d.where("frame_no = 0"), "psnr", on_mismatch="check", color_family="GRAY").count() == 1
+    check(r, r)

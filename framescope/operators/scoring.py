@@ -60,7 +60,7 @@ def _units(p: Plan) -> list[Unit]:
     if f.kind == "gms":
         return [Unit("gms", int(o["downsample"]), *base, (o["T"], o["eps"]))]
     if f.kind == "ssimulacra2":
-        return [Unit("ssimulacra2", s, *base) for s in range(pixels.SCALES)]
+        return [Unit("ssimulacra2", 0, *base)]
     return [Unit(f.kind, 0, *base, (f.function,) if f.kind == "custom" else ())]
 
 
@@ -78,7 +78,7 @@ def sums(unit: Unit, x: np.ndarray, y: np.ndarray, peak: float, net: dict | None
     if unit.kind == "ssimulacra2":
         if len(x) == 1:
             x, y = (np.repeat(v, 3, axis=0) for v in (x, y))
-        return pixels.ssimulacra2_sums(x, y, peak, unit.scale, first, own)
+        return pixels.ssimulacra2_sums(x, y, peak, first, own)
     halvings = 0 if unit.luma else unit.scale
     for _ in range(halvings):
         x, y = pixels.halved(x), pixels.halved(y)
@@ -152,21 +152,17 @@ def peak(dtype: Column, bits: Column, given: float | None = None) -> Column:
     return F.when(~dtype.isin("f16", "bf16", "f32", "f64") & bits.isNotNull(), F.expr("double(shiftleft(1L, bits) - 1)")).otherwise(by_type)
 
 
-def _strips(i: int, u: Unit, step: int, p: Column, inner: Column, across: Column, fault: Column) -> Column:
-    """Bands of a scale of SSIMULACRA 2: sizes are halved upwards, the blur reaches over a band's edges but
-    not over the frame's, and a scale is there if the one before has 8 pixels a side."""
-    up = lambda n, s: F.shiftright(n + ((1 << s) - 1), s)
-    tall = up(inner, u.scale)
-    there = F.lit(True) if not u.scale else up(F.least(inner, across), u.scale - 1) >= 8
-    count = F.when(there, F.ceil(tall / step).cast("int")).otherwise(0)
+def _strips(i: int, u: Unit, p: Column, inner: Column, fault: Column) -> Column:
+    """Bands of all scales of SSIMULACRA 2 at once: whole blocks of the coarsest scale, with its blur's reach
+    above and below."""
+    step, reach = pyramid_step(pixels.SCALES), -(-pixels.REACH << (pixels.SCALES - 1))
+    last = F.ceil(inner / step).cast("int") - 1
 
     def band(b: Column) -> Column:
-        a = b * step
-        low, high = F.greatest(F.lit(0), a - pixels.REACH), F.least(tall, a + step + pixels.REACH)
-        top, end = F.shiftleft(low, u.scale), F.least(inner, F.shiftleft(high, u.scale))
-        return F.struct(F.lit(i).alias("unit"), p.alias("plane"), (top + u.crop).alias("top"), (end - top).alias("rows"), (a - low).alias("first"), F.least(F.lit(step), tall - a).alias("own"))
+        low, end = F.greatest(F.lit(0), b * step - reach), F.least(inner, b * step + step + reach)
+        return F.struct(F.lit(i).alias("unit"), p.alias("plane"), (low + u.crop).alias("top"), (end - low).alias("rows"), (b * step - low).alias("first"), F.when(b == last, 0).otherwise(step).alias("own"))
 
-    return F.transform(fault.otherwise(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))), band)
+    return F.transform(fault.otherwise(F.sequence(F.lit(0), last)), band)
 
 
 def pyramid_step(scales: int) -> int:
@@ -187,18 +183,22 @@ def _tall(i: int, u: Unit, p: Column, inner: Column, fault: Column) -> Column:
     return F.transform(fault.otherwise(F.sequence(F.lit(0), last)), band)
 
 
-def _ssimulacra2(bands: Column, units: list[int]) -> Column:
-    """The score from a frame's bands (unit, pixels and 18 sums; a few a scale). The weights are laid out by
-    channel, scale, norm and map for the scales there are."""
-    n, total = F.size(F.array_distinct(F.transform(bands, lambda x: x["unit"]))), F.lit(0.0)
-    for k, unit in enumerate(units):
-        weights = [[float(pixels.WEIGHTS[(((j // 6) * scales + k) * 2 + j // 3 % 2) * 3 + j % 3]) if k < scales else 0.0 for j in range(18)] for scales in range(1, len(units) + 1)]
-        own = F.filter(bands, lambda x: x["unit"] == unit)  # noqa: B023
-        sums = F.aggregate(own, F.array_repeat(F.lit(0.0), 19), lambda s, x: F.zip_with(s, x["s"], lambda v, w: v + w))
-        means = F.transform(F.slice(sums, 2, 18), lambda v, j: F.pow(v / F.get(sums, F.lit(0)), F.when(F.floor(j / 3) % 2 == 1, 0.25).otherwise(1.0)))
-        part = F.aggregate(F.zip_with(means, F.get(F.lit(weights), n - 1), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
-        total = total + F.when(F.size(own) > 0, part).otherwise(0.0)
+def _ssimulacra2(bands: Column) -> Column:
+    """The score from a frame's bands: of every scale pixels and 18 sums, zeros where a scale is not there. The
+    weights are laid out by channel, scale, norm and map for the scales there are."""
+    scales, each = pixels.SCALES, 19
+    sums = F.aggregate(bands, F.array_repeat(F.lit(0.0), scales * each), lambda s, x: F.zip_with(s, x, lambda v, w: v + w))
+    n = sum((F.when(F.get(sums, F.lit(k * each)) > 0, 1).otherwise(0) for k in range(scales)), F.lit(0))
+    weights = [[[float(pixels.WEIGHTS[(((j // 6) * there + k) * 2 + j // 3 % 2) * 3 + j % 3]) if k < there else 0.0 for j in range(18)] for k in range(scales)] for there in range(1, scales + 1)]
+
+    def part(own: Column, w: Column) -> Column:
+        means = F.transform(F.slice(own, 2, 18), lambda v, j: F.pow(v / F.get(own, F.lit(0)), F.when(F.floor(j / 3) % 2 == 1, 0.25).otherwise(1.0)))
+        total = F.aggregate(F.zip_with(means, w, lambda v, x: v * x), F.lit(0.0), lambda s, v: s + v)
+        return F.when(F.get(own, F.lit(0)) > 0, total).otherwise(0.0)
+
     # arrays of one element name a value, so that it is not written out each time it is used
+    split = F.transform(F.sequence(F.lit(0), F.lit(scales - 1)), lambda k: F.slice(sums, k * each + 1, each))
+    total = F.aggregate(F.zip_with(split, F.get(F.lit(weights), n - 1), part), F.lit(0.0), lambda s, v: s + v)
     cubic = F.transform(F.array(total * 0.9562382616834844), lambda v: 2.326765642916932 * v - 0.020884521182843837 * v * v + 6.248496625763138e-05 * v * v * v)
     return F.get(F.transform(cubic, lambda v: F.when(v > 0, 100.0 - 10.0 * F.pow(v, F.lit(0.6276336467831387))).otherwise(100.0)), F.lit(0))
 
@@ -221,7 +221,7 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool, bands: Callab
             out = F.shiftright(inner, u.scale) - u.halo
             fault = F.concat(F.lit(f"{u.kind} at scale {u.scale} needs {_least(u)} pixels a side after cropping, not "), inner.cast("string"), F.lit(" x "), across.cast("string"))
             if u.kind == "ssimulacra2":
-                return _strips(i, u, step, p, inner, across, F.when(small, F.raise_error(fault).cast("array<int>")))
+                return _strips(i, u, p, inner, F.when(small, F.raise_error(fault).cast("array<int>")))
             if u.kind == "pyramid":
                 return _tall(i, u, p, inner, F.when(small, F.raise_error(fault).cast("array<int>")))
             last = F.greatest(F.lit(0), F.ceil(out / step).cast("int") - 1) if u.banded else F.lit(0)
@@ -329,9 +329,8 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
                     mean = psnr(mean, F.col(top), p.options["eps"])
                 columns.append((mean if family is None or len(families) == 1 else F.when(F.col("family") == family, mean)).alias(name))
         elif f.name == "ssimulacra2":
-            ids = [place[v] for v in us]
-            total["bands"] = F.collect_list(F.when(F.col("unit").isin(ids), F.struct("unit", "s"))).alias("bands")
-            columns.append(_ssimulacra2(F.col("bands"), ids).alias(f.column))
+            total["bands"] = F.collect_list(F.when(F.col("unit") == place[u], F.col("s"))).alias("bands")  # a few a frame
+            columns.append(_ssimulacra2(F.col("bands")).alias(f.column))
         elif f.name == "ssim":
             columns.append((of(u, None, 1) / of(u, None, 0)).alias(f.column))
         elif f.name == "ms_ssim":

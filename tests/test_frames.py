@@ -338,6 +338,10 @@ def test_plan_slices_bands_before_python(spark):
 def test_shared_units(spark):
     plans = features.plan(["psnr", "mse", "l1"])
     assert len({u for p in plans for u in scoring._units(p)}) == 1
+    for name in ("ms_ssim", "ssimulacra2"):  # all scales from one band
+        assert len(scoring._units(features.plan(name)[0])) == 1
+    shared = scoring._shared([scoring._units(p) for p in features.plan(["ssim", "ms_ssim"])])
+    assert shared[0] == shared[1]
     assert pair is not None
 
 

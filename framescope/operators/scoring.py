@@ -15,12 +15,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope.functions import pixels
 from framescope.operators.pairing import KEYS
 from framescope.plans.features import SUFFIXES, Plan, plan
+from framescope.sources.weights import load as load_weights  # noqa: F401
+from framescope.sources.weights import net as named_net
 
 ANY = "any"  # pairs of all color families in one job
 BAND = 512  # source rows of a band, about
@@ -256,14 +259,14 @@ def _exploded(pairs: DataFrame, units: list[Unit], rgb_only: bool, bands: Callab
     return rows.select(*KEYS, *extra, *(["top"] if top else []), "dtype", "bits", "unit", "plane", "first", "own", F.when(whole, F.size("ref")).otherwise(1).alias("n"), "rows", F.get("ref", F.col("plane"))["width"].alias("width"), cut("ref").alias("r"), cut("dist").alias("d"))
 
 
-def _run(units: list[Unit], net: dict | None, wanted: tuple[str, ...], also: tuple[str, ...] = ()):
+def _run(units: list[Unit], net: Broadcast | None, wanted: tuple[str, ...], also: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, both = [], [batch.column(k) for k in "rd"]
             small = [x for x in batch.schema.names if x not in "rd"]
             for i, r in enumerate(batch.select(small).to_pylist()):
                 x, y = (pixels.samples(v[i].as_buffer(), r["dtype"], r["n"], r["rows"], r["width"]) for v in both)  # no copy
-                out.append(sums(units[r["unit"]], x, y, r["peak"], net, wanted, r["first"], r["own"]))
+                out.append(sums(units[r["unit"]], x, y, r["peak"], net and net.value, wanted, r["first"], r["own"]))
             keep = [*KEYS, *also, "unit", "plane", "peak"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.float64()))], [*keep, "s"])
 
@@ -298,11 +301,12 @@ def score(pairs: DataFrame, feature: object, *, options: dict[str, dict] | None
     units = list(dict.fromkeys(u for us in needed for u in us))
     nets = [p.options["net"] for p in plans if p.feature.name == "lpips"]
     if nets and nets[0] is None:
-        raise FileNotFoundError("lpips needs its weights: pass options={'lpips': {'net': load_weights(path)}}")
+        raise FileNotFoundError("lpips needs its weights: pass options={'lpips': {'net': name or load_weights(path)}}")
+    net = pairs.sparkSession.sparkContext.broadcast(named_net(nets[0])) if nets else None
     bands = _exploded(pairs, units, any(p.feature.scope == "rgb" for p in plans), extra={"family": F.col("color_family")})
     ranges = reduce(lambda c, i: c.when(F.col("unit") == i, peak(F.col("dtype"), F.col("bits"), units[i].peak)), range(len(units)), F.when(F.lit(False), 0.0))
     bands = bands.withColumn("peak", ranges)
-    done = bands.mapInArrow(_run(units, nets[0] if nets else None, tuple(sorted({p.feature.name.replace("psnr", "mse") for p in plans if p.feature.name in _PLAIN})), ("family",)), "clip_id string, frame_no long, family string, unit int, plane int, peak double, s array<double>")
+    done = bands.mapInArrow(_run(units, net, tuple(sorted({p.feature.name.replace("psnr", "mse") for p in plans if p.feature.name in _PLAIN})), ("family",)), "clip_id string, frame_no long, family string, unit int, plane int, peak double, s array<double>")
     place = {u: i for i, u in enumerate(units)}
     n_planes = max(len(SUFFIXES[f]) for f in families)
     total: dict[str, Column] = {}
@@ -410,7 +414,8 @@ def similarity_map(pairs: DataFrame, feature: str, options: dict[str, dict] | No
         raise ValueError(f"{feature} has no map")
     unit, net = _units(p)[0], p.options.get("net")
     if unit.kind == "lpips" and net is None:
-        raise FileNotFoundError("lpips needs its weights: pass options={'lpips': {'net': load_weights(path)}}")
+        raise FileNotFoundError("lpips needs its weights: pass options={'lpips': {'net': name or load_weights(path)}}")
+    net = pairs.sparkSession.sparkContext.broadcast(named_net(net)) if net is not None else None
 
     def maps(x: np.ndarray, y: np.ndarray, peak: float) -> np.ndarray:
         if unit.crop:
@@ -420,7 +425,7 @@ def similarity_map(pairs: DataFrame, feature: str, options: dict[str, dict] | No
             x, y = pixels.luma(x, unit.luma, peak), pixels.luma(y, unit.luma, peak)
         if unit.kind == "lpips":
             x, y = (np.repeat(v, 3 // len(v), axis=0) for v in (x, y))
-            return sum(_grown(m, *x.shape[1:]) for m in pixels.lpips_maps(x, y, peak, net))[None]
+            return sum(_grown(m, *x.shape[1:]) for m in pixels.lpips_maps(x, y, peak, net.value))[None]
         for _ in range(unit.scale):
             x, y = pixels.halved(x), pixels.halved(y)
         if unit.kind == "ssim" and unit.args[4]:
@@ -456,14 +461,3 @@ def random_net(seed: int = 0) -> dict:
             values.append(x)
         last = channels
     return net
-
-
-def load_weights(path: str) -> dict:
-    """Trunk weights from an .npz: format_version 1; weight0.., bias0.., lin0.. and the arrays
-    stride, padding and pool_before, one entry a layer."""
-    with np.load(path) as z:
-        if int(z.get("format_version", 0)) != 1:
-            raise ValueError(f"{path} is not of format_version 1")
-        n = len(z["stride"])
-        each = lambda name: [np.asarray(z[f"{name}{i}"], np.float64) for i in range(n)]
-        return {"weight": each("weight"), "bias": each("bias"), "lin": [x.ravel() for x in each("lin")], "stride": z["stride"].tolist(), "padding": z["padding"].tolist(), "pool": z["pool_before"].tolist()}

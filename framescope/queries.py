@@ -104,6 +104,11 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(score_frames(*both, ["psnr", "ssim", "gmsd"], color_family=scoring.ANY))
 
 
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-bit frames reshaped to 32 x 128 and cast to float32, in their old range."""
+    return pair(*(frames.staged(x, 32, 128, "f32") for x in frames.from_embeddings(spark, sf_dir, bits=10)))
+
+
 def _gradient(feature: str, **options) -> Query:
     """Gradients of 1000 times the score, pixel by pixel."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +154,7 @@ def queries() -> dict[str, Query]:
         "ssim_downsample": _scored(_large(384), "ssim", downsample=True),
         "ssimulacra2_odd6": _scored(_large(129, True), "ssimulacra2", "RGB"),
         "lpips_random": _scored(_rgb, "lpips", "RGB", options={"lpips": {"net": scoring.random_net()}}),
-        "frame_mismatches": _mismatches, "mixed_families": _mixed,
+        "staged_frames": _scored(_staged, ["psnr", "l1", "huber"], data_range=1023.0), "frame_mismatches": _mismatches, "mixed_families": _mixed,
         "clip_files": _scored(_files, ["psnr", "ssim"]),
         "ssim_gradients": _gradient("ssim"),
         "ms_ssim_gradients": _gradient("ms_ssim", weights=(0.4, 0.6)),
@@ -488,7 +493,7 @@ def oracle_sql() -> dict[str, str]:
         "float32": _sql(ALL, "emb64_f32", source="float", peak=1.0),
         "ssim_downsample": _downsample_sql("emb384", 384),
         "ssimulacra2_odd6": _ssimulacra2_sql("rgb129", "wide129", 129),
-        "frame_mismatches": _mismatch_sql(), "mixed_families": _mixed_sql(),
+        "staged_frames": _sql(["psnr", "l1", "huber"], "emb64_10", source="deep", peak=1023.0), "frame_mismatches": _mismatch_sql(), "mixed_families": _mixed_sql(),
         "clip_files": _sql(["psnr", "ssim"]) + " WHERE frame_no >= 2",
         "ssim_gradients": _gradient_sql(), "ms_ssim_gradients": _ms_gradient_sql(0.4, 0.6),
         "impl_sql": _sql(ALL), "impl_sql_ms_ssim": _ms_ssim_sql("emb64", "emb", 64, (0.4, 0.6)),

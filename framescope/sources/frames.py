@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from framescope.functions.pixels import WIDTH
+from framescope.functions.pixels import NUMPY, WIDTH, samples
 
 SCHEMA = "clip_id string, frame_no long, color_family string, bits int, dtype string, planes array<struct<height:int,width:int,data:binary>>"
 
@@ -145,6 +145,33 @@ def as_float(frames: DataFrame, clip: str) -> DataFrame:
     return out.mapInArrow(run, out.schema)
 
 
+def staged(frames: DataFrame, height: int, width: int, dtype: str | None = None, bits: int | None = None) -> DataFrame:
+    """Frames, of a table or of a stream, in one shape and sample type: planes of as many samples are reshaped to
+    height x width row by row, others fail the job; samples are cast (towards zero, modulo the type's range, where
+    it is narrower). bits is given to all frames; without it they keep theirs if their samples' type stays."""
+    def cast(data: bytes, old: str) -> bytes:
+        values = samples(data, old, 1, 1, -1)[0, 0]
+        if dtype == "bf16":
+            return (values.astype("<f4").view("<u4") >> 16).astype("<u2").tobytes()
+        return values.astype(NUMPY[dtype]).tobytes() if dtype else data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            planes, types = [], batch.column("dtype").to_pylist()
+            for old, ps in zip(types, batch.column("planes").to_pylist(), strict=True):
+                for p in ps or ():
+                    if p["height"] * p["width"] != height * width:
+                        raise ValueError(f"a plane of {p['height']} x {p['width']} samples has no shape {height} x {width}")
+                planes.append(None if ps is None else [{"height": height, "width": width, "data": p["data"] if dtype in (None, old) else cast(p["data"], old)} for p in ps])
+            i = batch.schema.get_field_index("planes")
+            yield batch.set_column(i, batch.schema.field(i), pa.array(planes, batch.schema.field(i).type))
+
+    done = frames.mapInArrow(run, frames.schema)
+    kept = F.lit(bits).cast("int") if bits is not None else F.when(F.col("dtype") == (dtype or F.col("dtype")), F.col("bits"))
+    done = done.withColumn("bits", kept)
+    return done if dtype is None else done.withColumn("dtype", F.lit(dtype))
+
+
 def yuv420(frames: DataFrame, clip: str) -> DataFrame:
     """Each three consecutive 64 x 64 GRAY frames as one YUV frame: the first is luma, the upper left
     quarters of the others are chroma."""

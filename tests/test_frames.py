@@ -518,3 +518,43 @@ def test_mismatches_are_found_without_samples(spark, tmp_path):
         score_frames(r, d, "psnr", on_mismatch="check", color_family="GRAY")
     assert score_frames(r.where("frame_no = 0"), d.where("frame_no = 0"), "psnr", on_mismatch="check", color_family="GRAY").count() == 1
     check(r, r)
+
+
+def test_staging_casts_and_reshapes(spark):
+    (x,), (y,) = noisy(6, 8, 1)
+    df = table(spark, [[x]], dtype="u16", bits=10).withColumn("ts", F.lit("kept"))
+    got = frames.staged(df, 4, 12, "f32").first()
+    assert (got.dtype, got.bits, got.ts, got.planes[0].height, got.planes[0].width) == ("f32", None, "kept", 4, 12)
+    assert np.array_equal(np.frombuffer(got.planes[0].data, "<f4"), x.ravel())
+    same = frames.staged(df, 8, 6).first()
+    assert (same.dtype, same.bits) == ("u16", 10) and bytes(same.planes[0].data) == x.astype("<u2").tobytes()
+    half = frames.staged(table(spark, [[x + 0.5]], dtype="f64"), 6, 8, "u8", 8).first()
+    assert np.array_equal(np.frombuffer(half.planes[0].data, "u1"), x.ravel()) and half.bits == 8
+    back = pixels.samples(frames.staged(df, 6, 8, "bf16").first().planes[0].data, "bf16", 1, 6, 8)
+    assert abs(back[0] - x).max() <= 1
+    with pytest.raises(Exception, match="has no shape 5 x 5"):
+        frames.staged(df, 5, 5).collect()
+
+
+def test_nets_are_found_by_name(spark, tmp_path, monkeypatch):
+    from framescope.sources import weights
+
+    random_net(tmp_path / "lpips_alex.npz")
+    monkeypatch.delenv(weights.ONE, raising=False)
+    monkeypatch.setenv(weights.FOLDER, str(tmp_path))
+    assert weights.available_nets() == ["alex"]
+    x, y = noisy(64, 64, 2, planes=3)
+    r, d = table(spark, [x], "RGB"), table(spark, [y], "RGB")
+    by_name = one(score_frames(r, d, "lpips", options={"lpips": {"net": "alex"}}))["lpips"]
+    assert by_name == one(score_frames(r, d, "lpips", options={"lpips": {"net": weights.load(tmp_path / "lpips_alex.npz")}}))["lpips"]
+    with pytest.raises(FileNotFoundError, match="no weights of 'vgg'"):
+        score_frames(r, d, "lpips", options={"lpips": {"net": "vgg"}})
+    monkeypatch.setenv(weights.ONE, str(tmp_path / "none.npz"))
+    with pytest.raises(FileNotFoundError, match="is no file"):
+        weights.path("alex")
+    np.savez(tmp_path / "old.npz", format_version=2, stride=[1])
+    with pytest.raises(ValueError, match="format_version 2"):
+        weights.load(tmp_path / "old.npz")
+    np.savez(tmp_path / "short.npz", format_version=1, stride=[1])
+    with pytest.raises(ValueError, match="lacks"):
+        weights.load(tmp_path / "short.npz")

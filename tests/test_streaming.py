@@ -103,3 +103,19 @@ def test_frames_without_a_partner_are_told(spark, tmp_path):
     q.awaitTermination(5)
     q.stop()
     assert {x.frame_no for x in got} == {2, 3} and [x.frame_no for x in lost] == [0] and scoring.dropped(q) == 0
+
+
+def test_staged_streams_are_scored(spark, tmp_path):
+    """Frames of another shape and type in a stream, cast and reshaped on the way in."""
+    r, d = frames.synthetic(spark, 2, 32)
+    stamped(r, str(tmp_path / "r"))
+    stamped(d, str(tmp_path / "d"))
+    schema = frames.SCHEMA + ", ts timestamp"
+    streams = [frames.staged(spark.readStream.schema(schema).parquet(str(tmp_path / x)), 16, 64, "f32") for x in ("r", "d")]
+    got = []
+    q = scoring.start(scoring.paired(*streams), "mse", lambda df, _: got.extend(df.collect()), str(tmp_path / "check"), data_range=255.0)
+    q.awaitTermination(60)
+    from framescope.metrics import score_frames
+
+    want = {x.frame_no: x.mse for x in score_frames(r, d, "mse", color_family="GRAY").collect()}
+    assert {x.frame_no: x.mse for x in got} == want

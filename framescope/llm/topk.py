@@ -7,10 +7,13 @@ its length prunes (a prefix by falling length); where it is high, the query's he
 F bound the product by q_F.p_F + |q_rest| |p_rest| first. Survivors' products are verified.
 
 A query block first meets the longest buckets, up to SEEDS of them and SEED_BYTES, one after the
-other, each tightening its thresholds for the next; then it is sent, with them, to those of the other
-buckets that its thresholds leave. Blocks and buckets are packed matrices, so no row pairs are ever
-formed; each pair of them gives at most k rows a query, and a window keeps k a query, limited in each
-task before the shuffle.
+other, each tightening its thresholds for the next. The rest is a grid: blocks of like length make rows of about
+CELL_BYTES, buckets of like length columns, and a cell is one task's work. Every vector is sent once for each
+row, every query once for each column of cells that the thresholds leave (a cell's longest product against
+the least threshold in it), so the shuffle grows with rows x columns of large tiles, not with
+blocks x buckets. Inside a cell a block meets the buckets by falling length, its thresholds tightening from each to
+the next. Blocks and buckets are packed matrices, so no row pairs are ever formed; a cell gives at most k
+rows a query, and a window keeps k a query, limited in each task before the shuffle.
 
 Products are exact: components are quantised to integers, multiplied in float64 while below 2**53
 (else in Python integers; a scaled component past 2**53 or a score past 64 bits fails the job). Vectors that are null or hold null or non-finite components, and rows of
@@ -35,7 +38,8 @@ from .common import cut, floored, usable
 
 BUCKET, BLOCK = 4096, 512
 SEEDS, SEED_BYTES = 4, 32 << 20
-BROADCAST_BUCKETS = 1 << 20  # buckets whose lengths are broadcast
+CELL_BYTES = 48 << 20  # of one side of a cell
+BROADCAST_PARTS = 1 << 20  # parts whose places in the grid are broadcast
 _LOW_COSINE = 0.3  # under it, coordinates prune too little to pay
 _FOCUS = 16
 _PACKED = "dim int, n long, longest double, ids binary, rows binary, matrix binary"
@@ -144,6 +148,38 @@ def _rows(q: Side, found: dict[int, Hits]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "query_row", "vec_id", "vec_row", "score"])
 
 
+def _tightened(q: Side, p: Side, floor: np.ndarray, found: dict[int, Hits], k: int) -> None:
+    """Add one bucket's best to what was found, and raise the thresholds to each query's k-th best."""
+    for i, hits in best(q, p, floor, k).items():
+        found[i] = _first(tuple(np.concatenate(x) for x in zip(found[i], hits, strict=True)), k) if i in found else hits
+        if len(found[i][0]) >= k:
+            floor[i] = max(floor[i], found[i][2][k - 1])
+
+
+def _rows_schema() -> pa.Schema:
+    return pa.schema([(x, pa.int64()) for x in ("query_id", "query_row", "vec_id", "vec_row", "score")])
+
+
+def _grid(packed: DataFrame, key: str, longest: Column, lowest: Column) -> DataFrame | None:
+    """dim, part, tile, longest, lowest: neighbouring parts (partitions of packed) make tiles of about CELL_BYTES;
+    longest and lowest are their tile's. One row a part is read by the driver; None if there are no parts."""
+    parts = packed.groupBy("dim", F.shiftright(key, 33).alias("part")).agg(F.sum("n").alias("n"), longest.alias("longest"), lowest.alias("lowest")).collect()
+    tiles, at, room, of = [], -1, 0, None
+    for r in sorted(parts, key=lambda r: (r["dim"], r["part"])):
+        size = r["n"] * 8 * (r["dim"] + 2)
+        if r["dim"] != of or size > room:
+            at, room, of = at + 1, CELL_BYTES + CELL_BYTES // 4, r["dim"]
+        room -= size
+        tiles.append((r["dim"], r["part"], at, r["longest"], r["lowest"]))
+    if not tiles:
+        return None
+    top, low = {}, {}
+    for _, _, t, a, b in tiles:
+        top[t], low[t] = max(top.get(t, a), a), min(low.get(t, b), b)
+    rows = [(dim, part, t, top[t], low[t]) for dim, part, t, _, _ in tiles]
+    return packed.sparkSession.createDataFrame(rows, "dim int, part long, tile int, longest double, lowest double")
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
     """vectors: id and v columns; queries: the rows that ask. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -153,19 +189,25 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0)
     sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a dimension
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n = max(1, -(-sum(sizes.values()) // BUCKET))
     members = rows.select("id", "row", "dim", "v", "norm")
-    # equal-count buckets by falling length; the id makes a range key with few ties
-    buckets = cut(members.repartitionByRange(n, "dim", F.desc("norm"), "id").mapInArrow(_packed(BUCKET), _PACKED).withColumn("bucket", F.monotonically_increasing_id()))
+    bytes_ = sum(n * 8 * (dim + 2) for dim, n in sizes.items())
+    # equal-count parts by falling length; the id makes a range key with few ties
+    parts = max(1, -(-bytes_ // CELL_BYTES))
+    buckets = cut(members.repartitionByRange(parts, "dim", F.desc("norm"), "id").mapInArrow(_packed(BUCKET), _PACKED).withColumn("bucket", F.monotonically_increasing_id()))
     asking = rows.where("asks").select("id", "row", "dim", "v", "norm")
-    m = max(1, -(-asking.count() // BLOCK))
-    blocks = asking.repartitionByRange(m, "dim", F.desc("norm"), "id").mapInArrow(_packed(BLOCK), _PACKED).select("dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("matrix").alias("q_matrix"), F.col("longest").alias("q_longest"))
-    lengths = sorted(((r["dim"], -r["longest"], r["bucket"]) for r in buckets.select("dim", "longest", "bucket").collect()))  # one row a bucket
-    seeds, room, taken = [], SEED_BYTES, {}
-    for dim, _, bucket in sorted(lengths, key=lambda x: (-sizes[x[0]], x)):
-        if taken.get(dim, 0) < SEEDS and (room >= BUCKET * (dim + 2) * 8 or not seeds):
-            seeds.append(bucket)
-            room, taken[dim] = room - BUCKET * (dim + 2) * 8, taken.get(dim, 0) + 1
+    asked = asking.agg(F.sum(8 * (F.col("dim") + 2))).first()[0]
+    if not asked:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    packed = asking.repartitionByRange(max(1, -(-asked // CELL_BYTES)), "dim", F.desc("norm"), "id").mapInArrow(_packed(BLOCK), _PACKED)
+    blocks = packed.select("dim", "n", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("matrix").alias("q_matrix"), F.col("longest").alias("q_longest"))
+    # at most SEEDS rows a dimension
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("longest"), "bucket"))
+    ahead = buckets.select("dim", "longest", "bucket", nth.alias("nth")).where(F.col("nth") <= SEEDS).collect()
+    seeds, room = [], SEED_BYTES
+    for r in sorted(ahead, key=lambda r: (-sizes[r["dim"]], r["dim"], r["nth"])):
+        if room >= BUCKET * (r["dim"] + 2) * 8 or not seeds:
+            seeds.append(r["bucket"])
+            room -= BUCKET * (r["dim"] + 2) * 8
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks with their thresholds, the least of them, and the best of the seeds as an Arrow file."""
@@ -175,42 +217,50 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0)
                 q = Side(r, "q_")
                 floor, found = np.full(len(q.ids), -np.inf), {}
                 for p in sorted(r["seeds"] or (), key=lambda x: -x["longest"]):
-                    for i, hits in best(q, Side(p | {"dim": r["dim"]}), floor, k).items():
-                        found[i] = _first(tuple(np.concatenate(x) for x in zip(found[i], hits, strict=True)), k) if i in found else hits
-                        if len(found[i][0]) >= k:
-                            floor[i] = found[i][2][k - 1]
+                    _tightened(q, Side(p | {"dim": r["dim"]}), floor, found, k)
                 least.append(floor)
                 answer = _rows(q, found)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, answer.schema) as writer:
                     writer.write_batch(answer)
                 answers.append(sink.getvalue().to_pybytes())
-            keep = ["dim", "q_ids", "q_rows", "q_matrix", "q_longest"]
+            keep = ["dim", "n", "q_ids", "q_rows", "q_matrix", "q_longest"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(x) for x in keep), pa.array([x.tobytes() for x in least], pa.binary()), pa.array([float(x.min(initial=np.inf)) for x in least], pa.float64()), pa.array(answers, pa.binary())],
                 [*keep, "least", "lowest", "answers"])
 
     # a few matrices of at most SEED_BYTES in all: their size is bounded, so they may be broadcast
     first = buckets.where(F.col("bucket").isin(seeds)).groupBy("dim").agg(F.collect_list(F.struct("longest", "ids", "rows", "matrix")).alias("seeds"))
-    kept = "dim int, q_ids binary, q_rows binary, q_matrix binary, q_longest double"
-    blocks = cut(blocks.join(F.broadcast(first), "dim", "left").select("dim", "q_ids", "q_rows", "q_matrix", "q_longest", "seeds").mapInArrow(seeded, f"{kept}, least binary, lowest double, answers binary"))
-    others = len(lengths) - len(seeds)
+    kept = "dim int, n long, q_ids binary, q_rows binary, q_matrix binary, q_longest double"
+    blocks = blocks.join(F.broadcast(first), "dim", "left").select("dim", "n", "q_ids", "q_rows", "q_matrix", "q_longest", "seeds").mapInArrow(seeded, f"{kept}, least binary, lowest double, answers binary")
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()))
     found = blocks.select("answers").mapInArrow(_unpacked, _FOUND)
-    if others:
-        reach = buckets.where(~F.col("bucket").isin(seeds)).select("dim", "longest", "bucket")  # three numbers a bucket
-        reach = F.broadcast(reach) if others <= BROADCAST_BUCKETS else reach
-        sent = blocks.join(reach, "dim").where(F.col("longest") * F.col("q_longest") >= F.col("lowest") * (1 - 1e-12))
-        sent = sent.select("dim", "q_ids", "q_rows", "q_matrix", "least", "bucket")
-
-        def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    q = Side(r, "q_")
-                    yield _rows(q, best(q, Side(r), np.frombuffer(r["least"]), k))
-
-        # buckets and query blocks both grow with the table: never broadcast
-        met = sent.join(buckets.select("bucket", "ids", "rows", "matrix").hint("merge"), "bucket")
-        found = found.unionByName(met.select("dim", "q_ids", "q_rows", "q_matrix", "least", "ids", "rows", "matrix").mapInArrow(answered, _FOUND))
+    rest = buckets.where(~F.col("bucket").isin(seeds))
+    lines, columns = _grid(blocks, "block", F.max("q_longest"), F.min("lowest")), _grid(rest, "bucket", F.max("longest"), F.lit(0.0))
+    if columns is not None:
+        at = lambda df, name: df.select("dim", "tile", F.col("longest").alias(f"{name}_longest"), "lowest").distinct()
+        reached = F.col("r_longest") * F.col("c_longest") >= F.col("r.lowest") * (1 - 1e-12)
+        cells = at(lines, "r").alias("r").join(at(columns, "c").alias("c"), "dim").where(reached).select("dim", F.col("r.tile").alias("line"), F.col("c.tile").alias("column"))
+        placed = lambda df, key, grid, name: df.join(F.broadcast(grid) if grid.count() <= BROADCAST_PARTS else grid, (df["dim"] == grid["of"]) & (F.shiftright(key, 33) == grid["part"])).select(df["*"], F.col("tile").alias(name))
+        cells = cut(cells)  # a row a cell
+        asks = placed(blocks.drop("answers", "lowest"), "block", lines.withColumnRenamed("dim", "of"), "line").join(cells, ["dim", "line"])
+        holds = placed(rest, "bucket", columns.withColumnRenamed("dim", "of"), "column").join(cells, ["dim", "column"])
+
+        def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+            """A cell: each block meets the buckets by falling length."""
+            members = [Side(r) for r in sorted(right.to_pylist(), key=lambda r: (-r["longest"], r["bucket"]))]
+            out = []
+            for r in left.to_pylist():
+                q, floor, hits = Side(r, "q_"), np.frombuffer(r["least"]).copy(), {}
+                for p in members:
+                    _tightened(q, p, floor, hits, k)
+                out.append(_rows(q, hits))
+            return pa.Table.from_batches(out, _rows_schema())
+
+        # both sides grow with the table: tiles are dealt by cell, never broadcast
+        by_cell = lambda df, *names: df.select("dim", "line", "column", *names).groupBy("dim", "line", "column")
+        met = by_cell(asks, "q_ids", "q_rows", "q_matrix", "least").cogroup(by_cell(holds, "bucket", "longest", "ids", "rows", "matrix")).applyInArrow(answered, _FOUND)
+        found = found.unionByName(met)
     by = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

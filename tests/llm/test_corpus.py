@@ -457,7 +457,9 @@ def test_hamming_index_guarantees_the_radius():
 # ---- top k ----
 
 @pytest.mark.parametrize("kind", ["unit", "skewed", "ties"])
-def test_top_k(spark, monkeypatch, kind):
+@pytest.mark.parametrize("cell", [48 << 20, 9000])
+def test_top_k(spark, monkeypatch, kind, cell):
+    monkeypatch.setattr(topk, "CELL_BYTES", cell)  # 9000: about ten columns and a few lines of cells
     monkeypatch.setattr(topk, "BUCKET", 50)
     monkeypatch.setattr(topk, "BLOCK", 7)
     rng = np.random.default_rng(6)
@@ -490,6 +492,7 @@ def slow_top_k(rows, k):
 
 @pytest.mark.parametrize("seeds", [4, 1, 0])
 def test_top_k_edges(spark, monkeypatch, seeds):
+    monkeypatch.setattr(topk, "CELL_BYTES", 48 << 20 if seeds else 2000)
     monkeypatch.setattr(topk, "SEEDS", seeds)
     monkeypatch.setattr(topk, "BUCKET", 30)
     monkeypatch.setattr(topk, "BLOCK", 4)

@@ -160,15 +160,15 @@ def _rows_schema() -> pa.Schema:
     return pa.schema([(x, pa.int64()) for x in ("query_id", "query_row", "vec_id", "vec_row", "score")])
 
 
-def _grid(packed: DataFrame, key: str, longest: Column, lowest: Column) -> DataFrame | None:
-    """dim, part, tile, longest, lowest: neighbouring parts (partitions of packed) make tiles of about CELL_BYTES;
+def _grid(packed: DataFrame, key: str, longest: Column, lowest: Column, most: int) -> DataFrame | None:
+    """dim, part, tile, longest, lowest: neighbouring parts (partitions of packed) make tiles of about `most` bytes;
     longest and lowest are their tile's. One row a part is read by the driver; None if there are no parts."""
     parts = packed.groupBy("dim", F.shiftright(key, 33).alias("part")).agg(F.sum("n").alias("n"), longest.alias("longest"), lowest.alias("lowest")).collect()
     tiles, at, room, of = [], -1, 0, None
     for r in sorted(parts, key=lambda r: (r["dim"], r["part"])):
         size = r["n"] * 8 * (r["dim"] + 2)
         if r["dim"] != of or size > room:
-            at, room, of = at + 1, CELL_BYTES + CELL_BYTES // 4, r["dim"]
+            at, room, of = at + 1, most + most // 4, r["dim"]
         room -= size
         tiles.append((r["dim"], r["part"], at, r["longest"], r["lowest"]))
     if not tiles:
@@ -191,8 +191,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     members = rows.select("id", "row", "dim", "v", "norm")
     bytes_ = sum(n * 8 * (dim + 2) for dim, n in sizes.items())
-    # equal-count parts by falling length; the id makes a range key with few ties
-    parts = max(1, -(-bytes_ // CELL_BYTES))
+    # equal-count parts by falling length; the id makes a range key with few ties. Small tables make smaller
+    # columns, so that there are cells for all cores
+    tile = min(CELL_BYTES, max(1 << 20, bytes_ // (2 * spark.sparkContext.defaultParallelism)))
+    parts = max(1, -(-bytes_ // tile))
     buckets = cut(members.repartitionByRange(parts, "dim", F.desc("norm"), "id").mapInArrow(_packed(BUCKET), _PACKED).withColumn("bucket", F.monotonically_increasing_id()))
     asking = rows.where("asks").select("id", "row", "dim", "v", "norm")
     asked = asking.agg(F.sum(8 * (F.col("dim") + 2))).first()[0]
@@ -236,7 +238,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0)
     blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()))
     found = blocks.select("answers").mapInArrow(_unpacked, _FOUND)
     rest = buckets.where(~F.col("bucket").isin(seeds))
-    lines, columns = _grid(blocks, "block", F.max("q_longest"), F.min("lowest")), _grid(rest, "bucket", F.max("longest"), F.lit(0.0))
+    lines, columns = _grid(blocks, "block", F.max("q_longest"), F.min("lowest"), CELL_BYTES), _grid(rest, "bucket", F.max("longest"), F.lit(0.0), tile)
     if columns is not None:
         at = lambda df, name: df.select("dim", "tile", F.col("longest").alias(f"{name}_longest"), "lowest").distinct()
         reached = F.col("r_longest") * F.col("c_longest") >= F.col("r.lowest") * (1 - 1e-12)

@@ -229,3 +229,55 @@ def test_top_k_fails_on_components_past_exact_doubles(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2e17, 1.0])], "id long, v array<double>")
     with pytest.raises(Exception, match="2\\*\\*53"):
         topk.top_k(rows, F.col("id") == 0).collect()
+
+
+# ---- features of the quality classifier, one word at a time ----
+
+M64 = (1 << 64) - 1
+
+
+def mix64(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & M64
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & M64
+    return x ^ x >> 33
+
+
+def slow_features(text):
+    from framescope.llm import quality as q
+
+    base, out = 0x9E3779B97F4A7C15, set()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    lower = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    hashed = [mix64(sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(w)) & M64) for w in lower]
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    shapes = []
+    for i, w in enumerate(words):
+        caps, letters = sum(65 <= b <= 90 for b in w), sum(map(letter, w))
+        case = 0 if not letters else 3 if caps > 1 and 2 * caps >= letters else 2 if 65 <= w[0] <= 90 else 1
+        tail = 1 if letter(w[-1]) else 2 if 48 <= w[-1] <= 57 else w[-1]
+        if tail > 2:
+            before = min(w[-2], 128) if len(w) > 1 else 0
+            tail = tail * 256 + (1 if letter(before) else before)
+        shapes.append(mix64(tail * 64 + case * 4 + 2 * (i > 0 and hashed[i] == hashed[i - 1]) + (len(w) > 24)))
+    two = [mix64((a * 5 + b) & M64) for a, b in zip(shapes, shapes[1:])]
+    out |= {h >> 64 - q.WORD_BITS for h in hashed}
+    out |= {mix64((a * 3 + b) & M64) >> 64 - q.WORD_BITS for a, b in zip(hashed, hashed[1:])}
+    for s in (*shapes, *two, *(mix64((a * 7 + b) & M64) for a, b in zip(two, shapes[2:]))):
+        out.add((1 << q.WORD_BITS) + (s >> 64 - q.SHAPE_BITS))
+    return sorted(out)
+
+
+def test_quality_features_against_slow_ones():
+    import pyarrow as pa
+
+    from framescope.llm import kernel, quality
+
+    texts = ["", "one", "One TWO two two.", "A!! b?! C3PO x" + "y" * 40 + " x,", "été À日本 ß\n\tend.", prose(4, 200), "WORD " * 30, "a.b. c!!! 12, 3", None]
+    rows = [[] for _ in texts]
+    for a, b, data, offsets in kernel.slices(pa.array(texts), 60):
+        doc, key = quality.features(data, offsets)
+        for d, k in zip(doc, key):
+            rows[a + d].append(int(k))
+    assert rows == [slow_features(t or "") for t in texts]

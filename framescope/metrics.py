@@ -71,4 +71,4 @@ psnr, mse, l1, charbonnier, huber, ssim, ms_ssim, gms, gmsd, lpips, ssimulacra2
 
 def engine_status() -> dict[str, str]:
     """Versions of what computes the scores."""
-    return {"engine": "spark", "spark": pyspark.__version__, "kernels": f"numpy {np.__version__}, float64", "transfer": f"arrow {pa.__version__}"}
+    return {"engine": "spark", "spark": pyspark.__version__, "kernels": f"numpy {np.__version__}, float64", "transfer": f"arrow {pa.__version__}", "impl": "arrow, sql"}

@@ -107,8 +107,9 @@ def gradients(pairs: DataFrame, feature: str = "ssim", upstream: DataFrame | flo
     stripe's top row, left column, height and width, dx, dy (row by row). Where a border is cropped there are no
     stripes, as gradients are 0 there; luma gives each of the three planes its share.
 
-    upstream: dL by the score, for all frames; or, for ssim, dL by every value of its map, as a table of whole
-    maps (clip_id, frame_no, c, width, data): a frame and plane without a row there gets none. A
+    upstream: dL by the score, for all frames; or, for ssim, dL by every value of its map, as a table of maps
+    (clip_id, frame_no, c, width, data), whole or in stripes that also have their top row, as similarity_map gives them;
+    a frame's stripes are put together in one row. A frame and plane without a row there gets no gradient. A
     scale of MS-SSIM whose mean is 0 or less is clamped: the frame's score is 0 there, and so are its gradients."""
     p = plan(feature, options, None)[0]
     if p.feature.name not in ("ssim", "ms_ssim") or p.options.get("downsample"):
@@ -127,6 +128,9 @@ def gradients(pairs: DataFrame, feature: str = "ssim", upstream: DataFrame | flo
     rows = rows.withColumn("peak", peak(F.col("dtype"), F.col("bits"), unit.peak))
     if by_map:
         # the rows of the map that a piece covers: as many as its own less the window's reach
+        if "top" in upstream.columns:  # stripes, as similarity_map gives them
+            parts = upstream.groupBy(*KEYS, "c").agg(F.first("width").alias("width"), F.sort_array(F.collect_list(F.struct("top", "data"))).alias("parts"))
+            upstream = parts.select(*KEYS, "c", "width", F.flatten(F.transform("parts", lambda p: p["data"])).alias("data"))
         given = upstream.select(*KEYS, F.col("c").alias("plane"), F.col("data").alias("up"), F.col("width").alias("up_width"))
         rows = rows.join(given, [*KEYS, "plane"])
         rows = rows.withColumn("up", F.slice("up", (F.col("top") - unit.crop) * F.col("up_width") + 1, (F.col("rows") - unit.halo) * F.col("up_width")))

@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from framescope.functions.pixels import WIDTH
-from framescope.sources.frames import SCHEMA, shapes
+from framescope.sources.frames import CHROMA, SCHEMA, shapes
 
 NAME = "framescope_clips"
 SPLIT_BYTES = 128 << 20  # of a partition, about
 _BATCH_BYTES = 8 << 20
 _PLANE = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
 ARROW = pa.schema([("clip_id", pa.string()), ("frame_no", pa.int64()), ("color_family", pa.string()), ("bits", pa.int32()), ("dtype", pa.string()), ("planes", pa.list_(_PLANE))])
-# Fixed values of the format: how often each chroma tag halves chroma across and down.
-CHROMA = {"420": (1, 1), "420jpeg": (1, 1), "420mpeg2": (1, 1), "420paldv": (1, 1), "422": (1, 0), "444": (0, 0), "mono": None}
 MARK = b"FRAME\n"
 
 

@@ -80,6 +80,9 @@ def test_ssim_gradient_of_a_map(spark, monkeypatch):
     given = spark.createDataFrame([("c", 0, 0, w - 6, up.ravel().tolist())], "clip_id string, frame_no long, c int, width int, data array<double>")
     pairs = pair(table(spark, [[x]], dtype="f64"), table(spark, [[y]], dtype="f64"))
     dx, dy = whole(g.gradients(pairs, "ssim", given, win_size=7, data_range=255.0).collect(), h, w)[0]
+    stripes = spark.createDataFrame([("c", 0, 0, t, w - 6, up[t : t + 20].ravel().tolist()) for t in (40, 0, 20)], "clip_id string, frame_no long, c int, top int, width int, data array<double>")
+    again = whole(g.gradients(pairs, "ssim", stripes, win_size=7, data_range=255.0).collect(), h, w)[0]
+    assert np.array_equal(again[0], dx) and np.array_equal(again[1], dy)
     loss = lambda a, b: (maps(a, b, 255.0, 7)[0] * up).sum()
     assert np.allclose([dx[s] for s in SPOTS], differences(lambda v: loss(v, y), x, SPOTS), rtol=1e-5, atol=1e-9)
     assert np.allclose([dy[s] for s in SPOTS], differences(lambda v: loss(x, v), y, SPOTS), rtol=1e-5, atol=1e-9)

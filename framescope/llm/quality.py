@@ -135,9 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Trained:
     picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     place = F.xxhash64("doc_id", "text").alias("place")  # training order and the part set apart do not depend on partitions
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", place, "text").mapInArrow(_indicators, "label int, place long, bucket array<int>").toArrow()
-    found = found.sort_by([("place", "ascending"), ("label", "ascending")])
-    label = np.where(np.asarray(found.column("label")) == 1, 1.0, -1.0)
-    rows = [np.asarray(x.as_py(), np.int64) for x in found.column("bucket")]
+    order = np.lexsort((np.asarray(found.column("label")), np.asarray(found.column("place"))))
+    label = np.where(np.asarray(found.column("label"))[order] == 1, 1.0, -1.0)
+    lists_ = found.column("bucket").combine_chunks()
+    at, keys = np.asarray(lists_.offsets), np.asarray(lists_.values)
+    rows = [keys[at[i] : at[i + 1]] for i in order]  # views of the one buffer that came
     if len({*label}) < 2:
         return Trained(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0.0)
     apart = np.arange(len(rows)) % 4 == 0 if len(rows) >= LEAST_APART else np.zeros(len(rows), bool)

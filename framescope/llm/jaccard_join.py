@@ -112,9 +112,11 @@ def _ranks(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     seen = np.zeros(1 << _COUNTERS, np.uint32)
     for r in parts.repartition("chunk").mapInArrow(_summed, "chunk int, seen binary").collect():  # all counters once
         seen[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["seen"], np.uint32)
-    rank = np.empty(1 << _COUNTERS, np.uint16)
-    rank[np.argsort(seen, kind="stable")] = np.arange(1 << _COUNTERS) >> (_COUNTERS - 16)
-    return rank, np.ceil(np.log2(np.maximum(seen / SPLIT, 1))).astype(np.uint8)
+    rank, bits = np.empty(1 << _COUNTERS, np.uint16), np.empty(1 << _COUNTERS, np.uint8)
+    rank[np.argsort(seen, kind="stable")] = np.repeat(np.arange(1 << 16, dtype=np.uint16), 1 << (_COUNTERS - 16))
+    for i in range(0, len(seen), _CHUNK):  # piece by piece: the driver's memory is small
+        bits[i : i + _CHUNK] = np.ceil(np.log2(np.maximum(seen[i : i + _CHUNK] / SPLIT, 1)))
+    return rank, bits
 
 
 def _prefixes(ranks):
